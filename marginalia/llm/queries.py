@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import boilerplate, pii
+from . import boilerplate, language, pii
 
 
 def queries() -> dict:
     """Name → callable(spark, sf_dir)."""
     return {
         "p1_found": pii.p1_found,
+        "p2_found": language.p2_found,
         "p6_found": boilerplate.p6_found,
     }
 
