@@ -26,7 +26,7 @@ from .learn import fit_logistic
 #: Lines beyond this length are judged by length, separators and ending alone (counted over the whole line).
 LONG = 220
 #: Labelled pages drawn for training.
-TRAINING_PAGES = 2500
+TRAINING_PAGES = 3500
 #: Lines whose evidence a worker keeps for reuse; the memo is emptied when full, so this bounds memory, not results.
 MEMO = 200_000
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
@@ -68,11 +68,14 @@ def _training_pages(rnd: random.Random) -> Iterator[list[tuple[str, int]]]:
             else:
                 page += [(bullet + m, 0) for m in menu]
             if rnd.random() < 0.5:
-                page.append((" > ".join([rnd.choice(menu), *(fill(rnd.choice(phrases.TITLES[lang])) for _ in range(2))]), 0))
+                last = rnd.choice([fill(rnd.choice(phrases.TITLES[lang]))] * 4 + [rnd.choice(phrases.FAILED[lang]), "{{ page_title }}", "%SITE_NAME%"])
+                page.append((" > ".join([rnd.choice(menu), fill(rnd.choice(phrases.TITLES[lang])), last]), 0))
         notice = framed and rnd.random() < 0.25  # a page that holds a notice or a heading and little else
         for _ in range(1 if notice else rnd.randint(1, 6)):
             kind = 0.02 + 0.6 * rnd.random() if notice else rnd.random()
-            if kind < 0.04:
+            if notice and rnd.random() < 0.5 or rnd.random() < 0.04:
+                page += [(fill(rnd.choice(phrases.NOTICES[lang] + phrases.FILLERS[lang])), 1)] * rnd.choice([1, 1, 2])
+            elif kind < 0.04:
                 page += [(fill(rnd.choice(["at ", "  at "]) + "{N}.{N}(" + rnd.choice(["view.py", "page.php", "store.java"]) + ":{d})"), 1) for _ in range(rnd.randint(1, 6))]
             elif kind < 0.5:
                 page.append((" ".join(phrases.sentence(lang, rnd) + rnd.choice(["", "", "", "", " («" + fill(rnd.choice(phrases.TITLES[lang])) + "»)"]) if rnd.random() < 0.4 else fill(rnd.choice(phrases.MAIN[lang][9:])) for _ in range(1 if notice else rnd.choice([1, 1, 2, 3, 5]))), 1))
@@ -108,7 +111,7 @@ class LineModel:
         rnd = random.Random(7)
         pages = list(_training_pages(rnd))
         lines = [x for p in pages for x in p]
-        slots = {w for table in (phrases.FURNITURE, phrases.MENU, phrases.TITLES, phrases.MAIN, phrases.FIELDS, {k: sum(v, []) for k, v in phrases.PROSE.items()}) for ts in table.values() for t in ts for w in _tokens(re.sub(r"\{[NCdF]\}|\{date\}", " ", t))}
+        slots = {w for table in (phrases.FURNITURE, phrases.MENU, phrases.TITLES, phrases.MAIN, phrases.FIELDS, phrases.NOTICES, phrases.FILLERS, {k: sum(v, []) for k, v in phrases.PROSE.items()}) for ts in table.values() for t in ts for w in _tokens(re.sub(r"\{[NCdF]\}|\{date\}", " ", t))}
         self.words = slots
         index: dict[str, int] = {"bias": 0}
         rows = [[index.setdefault(f, len(index)) for f in {"bias", *self.features(t)}] for t, _ in lines]

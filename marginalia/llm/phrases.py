@@ -84,7 +84,7 @@ MAIN = {
         "{C} | {N} | {d} March {d}", "{C} / {N} / {d} August {d}", "{C} · {N} · {d} July {d}", "Office hours are by appointment only.", "Please bring a pencil and your student card to every test.", "The front desk opens at eight and closes at noon.",
         "The ticket {C} is still open.", "Room {d} is closed from {d}.", "The {N} Library keeps copy {d}.", "Invoice {d} covers the years {d}.", "The bus stops on {N} Road near hall {d}.", "The {N} Prize goes to {C}.",
         "For questions about {N} contact Dr {N} at {N}.", "Room keys are held by {N} {N}, {d} {N} Lane.", "The registrar will review the grading scale in the summer term.", "Every first-year student must submit the form.", "A tutor for {C} can explain the course outline of {C}.",
-        "The help desk explains what error {d} means and whom to tell.", "The library team may collect every unpaid invoice.", "Version {d} of the form is due on {date}.", "Follow @{N} for news about {C}.",
+        "The help desk explains what error {d} means and whom to tell.", "The course on JavaScript shows how scripts are enabled in a browser.", "A template must be filled in by hand before it is handed in.", "The portal of {N} sets three cookies and the help desk explains what each of them stores.", "The library team may collect every unpaid invoice.", "Version {d} of the form is due on {date}.", "Follow @{N} for news about {C}.",
         "{d} Not Found", "{d} Internal Server Error. Something went wrong on our side, please try again later.", "Access denied. You do not have permission to view this page.", "Please enable JavaScript to view this page.",
         "Checking that you are not a robot. Cookies and scripts must be allowed.", "Error establishing a database connection", "The request timed out (gateway {d}).", "Warning: connection refused in /srv/www/db.inc on line {d}", "at {N}.{N}(view.py:{d})", "at {N}.{N}(page.php:{d})", "at {N}.{N}(store.java:{d})", "({N})", "The winner, {N} {N} (student no. {d}), will be informed.", "The desk opens at {d} and closes at {d}.",
         "{d} Service unavailable: the site is down for maintenance.", "Oops! That page has gone missing.", "You need to turn on scripts in your browser to use this app.", "This page needs a modern browser with scripts on.", "{d} – page not found. The address you asked for does not exist on this server.",
@@ -119,6 +119,31 @@ MAIN = {
         "يوضح مركز الدعم معنى الخطأ {d}.",
     ],
 }
+# Titles of pages that failed.
+FAILED = {"en": ["404 Not Found", "Page not found", "Error"], "fr": ["Page introuvable", "Erreur"], "de": ["Seite nicht gefunden", "Fehler"], "es": ["Página no encontrada", "Error"], "ar": ["الصفحة غير موجودة", "خطأ"]}
+# Whole bodies of pages that failed, want scripts or check for robots.
+NOTICES = {
+    "en": ["{d} Not Found", "{d} – page not found. The address you asked for does not exist on this server.", "{d} Internal Server Error. Something went wrong on our side, please try again later.", "Access denied. You do not have permission to view this page.", "Access denied. You do not have permission to view this resource.",
+           "Please enable JavaScript to view this page.", "This application requires a modern browser with scripting switched on.", "You need to turn on scripts in your browser to run this app.", "Loading… if nothing happens, your browser blocks scripts.", "Checking that you are not a robot. Cookies and scripts must be allowed.",
+           "Error establishing a database connection", "The request timed out (gateway {d}).", "Warning: mysqli_connect(): connection refused in /srv/www/db.inc on line {d}", "{d} Service unavailable: the site is down for maintenance.", "Oops! That page has wandered off.", "Sorry, we could not find what you were looking for.",
+           "Your session has expired. Please sign in again to continue.", "Please verify that you are human before you continue.", "Your browser is not supported, please update it.", "This site is temporarily unavailable.", "Too many requests, please slow down.", "Bad gateway. The server returned an invalid response."],
+    "fr": ["Erreur {d} : la page demandée est introuvable.", "Erreur interne du serveur, veuillez réessayer plus tard.", "Accès refusé : vous n'avez pas le droit de voir cette page.", "Veuillez activer JavaScript pour afficher cette page.", "Votre navigateur bloque les scripts : le contenu ne peut pas être affiché.", "Le site est fermé pour maintenance.",
+           "Votre session a expiré, veuillez vous reconnecter.", "Vérification que vous n'êtes pas un robot.", "La page demandée n'existe pas.", "Cette application exige un navigateur récent avec les scripts activés."],
+    "de": ["Fehler {d}: Die gewünschte Seite wurde nicht gefunden.", "Interner Serverfehler, bitte versuchen Sie es später noch einmal.", "Zugriff verweigert: Sie dürfen diese Seite nicht sehen.", "Bitte schalten Sie JavaScript ein, um diese Seite zu sehen.", "Ihr Browser blockiert Skripte, der Inhalt kann nicht angezeigt werden.", "Die Seite wird gerade gewartet.",
+           "Ihre Sitzung ist abgelaufen, bitte melden Sie sich neu an.", "Wir prüfen, ob Sie ein Roboter sind.", "Die gesuchte Seite gibt es nicht.", "Diese Anwendung braucht einen aktuellen Browser mit Skripten."],
+    "es": ["Error {d}: no se ha encontrado la página solicitada.", "Error interno del servidor, inténtelo más tarde.", "Acceso denegado: no tiene permiso para ver esta página.", "Active JavaScript para ver esta página.", "Su navegador bloquea los scripts y el contenido no se puede mostrar.", "El sitio está cerrado por mantenimiento.",
+           "Su sesión ha caducado, vuelva a entrar.", "Comprobando que usted no es un robot.", "La página que busca no existe.", "Esta aplicación requiere un navegador actual con scripts activados."],
+    "ar": ["خطأ {d}: الصفحة المطلوبة غير موجودة.", "حدث خطأ داخلي في الخادم، يرجى المحاولة لاحقا.", "تم رفض الوصول: ليس لديك إذن لعرض هذه الصفحة.", "يرجى تفعيل جافا سكريبت لعرض هذه الصفحة.", "متصفحك يمنع البرامج النصية ولا يمكن عرض المحتوى.", "الموقع مغلق للصيانة.",
+           "انتهت جلستك، يرجى تسجيل الدخول من جديد.", "نتحقق من أنك لست روبوتا.", "الصفحة التي تبحث عنها غير موجودة."],
+}
+# Filler text other than scrambled Latin.
+FILLERS = {
+    "en": ["This is sample copy for the layout. Headline here, body copy here.", "Text goes here. Replace this text with your own text.", "xxx xxx xxx tbd tbd content to follow content to follow", "Dummy text for the layout. Title here, content here.", "Placeholder text, to be replaced.", "Insert your text here."],
+    "fr": ["Votre texte ici. Remplacez ce texte par le vôtre.", "Texte d'exemple pour la maquette. Titre ici, corps ici.", "Faux texte pour la mise en page. Contenu à venir."],
+    "de": ["Hier steht Ihr Text. Ersetzen Sie diesen Text durch Ihren eigenen.", "Mustertext für das Layout. Überschrift hier, Inhalt hier.", "Blindtext für die Gestaltung. Titel hier, Text hier.", "Inhalt folgt."],
+    "es": ["Texto de muestra para la maqueta. Título aquí, cuerpo aquí.", "Su texto aquí. Sustituya este texto por el suyo.", "Texto de relleno para el diseño. Contenido pendiente."],
+    "ar": ["نص تجريبي للتصميم. العنوان هنا والمحتوى هنا.", "ضع النص هنا. استبدل هذا النص بنصك.", "هنا يكتب النص. المحتوى لاحقا."],
+}
 LATIN = ("Va", "Lu", "Mor", "Kes", "Tol", "Ben", "Sar", "Ru", "Del", "Fi", "Gor", "Has"), ("and", "il", "ora", "eb", "um", "ist", "enn"), ("ric", "mel", "dan", "sor", "via", "beck", "low")
 ARABIC = ("با", "سلـ".replace("ـ", ""), "مر", "كا", "تو", "هد", "فر"), ("را", "يم", "ون", "ال"), ("ية", "وف", "بار", "دا", "سن")
 
@@ -179,6 +204,25 @@ PROSE = {
     ),
 }
 
+MORE = {
+    "en": (["The {N} laboratory", "The {F} society", "The careers centre", "The computing help desk", "The alumni network", "The timetable group", "The {N} programme"], ["is going to summarise", "may compare", "should verify", "can discuss", "will extend", "must approve", "should prepare", "can publish"],
+           ["the insurance certificate", "the laboratory safety rules", "the minutes of the last meeting", "the internship agreement", "the opening hours of the reading room", "a short motivation letter", "the draft thesis outline", "the credit transfer form", "a certified transcript", "the list of required papers", "the course outline of {C}", "the {N} travel grant", "the {N} survey results"],
+           ["in groups of {d}", "at the {N} building", "through the student portal", "in the summer term", "for up to {d} participants", "outside the usual hours"]),
+    "fr": (["Le laboratoire {N}", "Le club de {F}", "Le centre informatique", "Le jury d'examen", "L'association {N}", "Le programme {N}", "La commission des bourses"], ["souhaite résumer", "peut comparer", "doit présenter", "va prolonger", "devrait approuver", "vient de préparer", "doit expliquer"],
+           ["l'attestation d'assurance", "les règles de sécurité du laboratoire", "le compte rendu de la séance", "la convention de stage", "les horaires de la salle de lecture", "une courte lettre de motivation", "le plan du mémoire", "le formulaire de transfert", "un relevé de notes certifié", "la liste des pièces demandées", "la bourse de voyage {N}", "les résultats de l'enquête {N}"],
+           ["par groupes de {d}", "dans le bâtiment {N}", "sur le portail des étudiants", "pour {d} participants", "avant le {d} juin {d}"]),
+    "de": (["Das Labor {N}", "Der Kreis für {F}", "Die Praktikumsstelle", "Der Wohnheimdienst", "Der Verein {N}", "Das Programm {N}", "Die Stundenplangruppe"], ["muss", "darf", "kann", "soll", "möchte", "wird"],
+           ["den Versicherungsnachweis", "die Regeln im Labor", "das Protokoll der letzten Sitzung", "den Praktikumsvertrag", "die Öffnungszeiten des Lesesaals", "ein kurzes Motivationsschreiben", "den Entwurf der Abschlussarbeit", "das Formular zur Anrechnung", "ein beglaubigtes Zeugnis", "die Liste der nötigen Unterlagen", "den Reisezuschuss {N}", "die Ergebnisse der Umfrage {N}"],
+           ["in Gruppen zu {d} besprechen", "im Gebäude {N} verlängern", "über das Studierendenportal veröffentlichen", "für bis zu {d} Personen archivieren", "spätestens am {d}. März {d} genehmigen"]),
+    "es": (["El laboratorio {N}", "El club de {F}", "El centro de cálculo", "El tribunal de examen", "La asociación {N}", "El programa {N}", "La oficina de prácticas", "El equipo de horarios"], ["debe resumir", "puede comparar", "va a presentar", "debería ampliar", "quiere aprobar", "acaba de preparar", "debe explicar", "puede sustituir"],
+           ["el certificado del seguro", "las normas del laboratorio", "el acta de la última reunión", "el convenio de prácticas", "el horario de la sala de lectura", "una breve carta de motivación", "el esquema del trabajo final", "el formulario de traslado", "un expediente certificado", "la lista de papeles exigidos", "la ayuda de viaje {N}", "los resultados de la encuesta {N}"],
+           ["en grupos de {d}", "en el edificio {N}", "en el portal de estudiantes", "para {d} participantes", "antes del {d} junio {d}"]),
+    "ar": (["يبدأ مختبر {N}", "يفضل نادي {F}", "يتولى مركز الحاسوب", "يواصل فريق الجداول", "ينوي نادي {N}", "يستطيع برنامج {N}", "يفضل كل متقدم من الخارج"], ["مناقشة", "مقارنة", "تلخيص", "تمديد", "استبدال", "اعتماد", "إعداد"],
+           ["شهادة التأمين", "قواعد السلامة في المختبر", "محضر الاجتماع الأخير", "اتفاقية التدريب", "مواعيد قاعة المطالعة", "رسالة الدافع القصيرة", "مخطط الرسالة الأولي", "نموذج نقل الساعات", "كشف الدرجات المصدق", "قائمة الوثائق المطلوبة", "منحة السفر {N}", "نتائج استبيان {N}"],
+           ["في مجموعات من {d}", "في مبنى {N}", "عبر بوابة الطلاب", "لعدد يصل إلى {d} مشاركا", "قبل {d} يونيو {d}"]),
+}
+PROSE = {lang: tuple(a + b for a, b in zip(PROSE[lang], MORE[lang], strict=True)) for lang in PROSE}
+
 
 def sentence(lang: str, rnd: random.Random) -> str:
     """One invented sentence of plain prose."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, language, pii
+from . import boilerplate, language, pii, residue
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "p1_found": pii.p1_found,
         "p2_found": language.p2_found,
+        "p3_found": residue.p3_found,
         "p6_found": boilerplate.p6_found,
     }
 
