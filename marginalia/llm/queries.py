@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, language, pii, residue
+from . import boilerplate, language, pii, repeated, residue
 
 
 def queries() -> dict:
@@ -11,10 +11,13 @@ def queries() -> dict:
         "p1_found": pii.p1_found,
         "p2_found": language.p2_found,
         "p3_found": residue.p3_found,
+        "p4_found": repeated.p4_found,
         "p6_found": boilerplate.p6_found,
     }
 
 
 def oracles() -> dict:
     """Name → DuckDB SQL."""
-    return {}
+    return {
+        "p4_found": repeated.P4_SQL,
+    }
