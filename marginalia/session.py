@@ -41,3 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files, so a lost executor costs no replay."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, written to the checkpoint folder, with a broadcast hint if it has at most ``rows`` rows.
+
+    Without the hint Spark joins by shuffle and splits skewed partitions at run time.
+    """
+    from pyspark.sql import functions as F
+
+    done = cut(df)
+    return F.broadcast(done) if done.count() <= rows else done
