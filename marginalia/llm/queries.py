@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, language, pii, repeated, residue
+from . import boilerplate, language, neardup, pii, repeated, residue
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "p2_found": language.p2_found,
         "p3_found": residue.p3_found,
         "p4_found": repeated.p4_found,
+        "p5_found": neardup.p5_found,
         "p6_found": boilerplate.p6_found,
     }
 

@@ -98,6 +98,26 @@ def filler(lines: list[str], model: NoticeModel) -> bool:
     return False
 
 
+def verdict(title: str | None, main: list[str], notices: NoticeModel, fillers: NoticeModel, said: dict[str, float] | None = None) -> tuple[str | None, float]:
+    """(reason, log odds) by title and main lines alone: placeholder, filler, notice (open until judged) or None."""
+    if any(c in (title or "") or any(c in l for l in main) for c in "{%[<T_") and _PLACEHOLDER.search("\n".join([title or "", *main])):
+        return "placeholder", 9.0
+    body = [l for l in main if not _TECHNICAL.match(l)]
+    if filler([title or "", *body], fillers):
+        return "filler", 9.0
+    if not body or sum(len(_WORD.findall(l)) for l in body) > LITTLE:
+        return None, 0.0
+    said = {} if said is None else said
+    odds = []
+    for l in body:
+        if l not in said:
+            if len(said) > 100_000:
+                said.clear()
+            said[l] = notices.odds(l)
+        odds.append(said[l])
+    return "notice", min(odds)
+
+
 def template_residue(pages: DataFrame) -> DataFrame:
     """(page_id, reason STRING, score DOUBLE) of pages that are template residue, filler or a notice.
 
@@ -116,28 +136,16 @@ def template_residue(pages: DataFrame) -> DataFrame:
             rows = []
             for i, url, title, lines, flags in zip(ids, urls, titles, lines_of, flags_of, strict=True):
                 main = [l for l, f in zip(lines, flags.tolist(), strict=True) if f]
-                if any(c in (title or "") or any(c in l for l in main) for c in "{%[<T_") and _PLACEHOLDER.search("\n".join([title or "", *main])):
-                    rows.append((i, "placeholder", 9.0, None, None, None))
+                reason, odds = verdict(title, main, notices, fillers, said)
+                if reason in ("placeholder", "filler"):
+                    rows.append((i, reason, odds, None, None, None))
                     continue
-                body = [l for l in main if not _TECHNICAL.match(l)]
-                words = [w for l in body for w in _WORD.findall(l.lower())]
-                if filler([title or "", *body] if len(words) <= 400 else [title or "", *(l for l in body if "ipsum" in l.lower() or "lorem" in l.lower() or len(l) <= 200)], fillers):
-                    rows.append((i, "filler", 9.0, None, None, None))
+                if reason is None:
                     continue
-                if not body or len(words) > LITTLE:
-                    continue
-                odds, longest = 0.0, 0
-                per_line = []
-                for l in body:
-                    o = said.get(l)
-                    if o is None:
-                        if len(said) > 100_000:
-                            said.clear()
-                        o = said[l] = notices.odds(l)
-                    per_line.append(o)
-                odds = min(per_line)
+                body = [l for l in main if not _TECHNICAL.match(l)]
+                words = {w for l in body for w in _WORD.findall(l.lower())}
                 slug = {w for w in re.findall(r"[^\W\d_]{4,}", (url or "").rpartition("/")[2].lower())} | {w for w in re.findall(r"[^\W\d_]{5,}", (title or "").lower())}
-                overlap = bool(slug & set(words))
+                overlap = bool(slug & words)
                 odds += -1.5 if overlap else 0.5 if slug else 0.0
                 message = "\n".join(re.sub(r"\d+", "0", l.strip().lower()) for l in body)
                 host = (url or "").partition("//")[2].partition("/")[0].lower()
