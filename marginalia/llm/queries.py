@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, language, neardup, pii, repeated, residue
+from . import boilerplate, language, neardup, packing, pii, repeated, residue, splitting
 
 
 def queries() -> dict:
@@ -14,6 +14,9 @@ def queries() -> dict:
         "p4_found": repeated.p4_found,
         "p5_found": neardup.p5_found,
         "p6_found": boilerplate.p6_found,
+        "p7_found": splitting.p7_found,
+        "p7_pieces": splitting.p7_pieces,
+        "p8_containers": packing.p8_containers,
     }
 
 
@@ -21,4 +24,5 @@ def oracles() -> dict:
     """Name → DuckDB SQL."""
     return {
         "p4_found": repeated.P4_SQL,
+        "p7_found": splitting.P7_SQL,
     }
