@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, language, neardup, packing, pii, repeated, residue, splitting
+from . import boilerplate, language, leakage, neardup, packing, pii, repeated, residue, splitting
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "p7_found": splitting.p7_found,
         "p7_pieces": splitting.p7_pieces,
         "p8_containers": packing.p8_containers,
+        "p9_found": leakage.p9_found,
+        "p9_near": leakage.p9_near,
     }
 
 
