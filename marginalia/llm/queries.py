@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, language, leakage, neardup, packing, pii, repeated, residue, splitting
+from . import boilerplate, language, leakage, neardup, packing, pii, repeated, residue, spam, splitting
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "p8_containers": packing.p8_containers,
         "p9_found": leakage.p9_found,
         "p9_near": leakage.p9_near,
+        "p10_found": spam.p10_found,
     }
 
 
