@@ -31,7 +31,7 @@ REPEATS, SAMPLED = 10, 8
 _BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|tr|th|table|h[1-6])\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 #: Words with their combining marks (Latin accents, Arabic vowel signs and the like).
-_RAW = re.compile("[\\ẁ-ͯ҃-֑҇-ֽؐ-ًؚ-ٰٟۖ-ۜ۟-ۨ]+")
+_RAW = re.compile(r"[\w\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e8]+")
 _PLAIN = re.compile(r"[^\W_]+")
 MEMO = 500_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
