@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 
+from . import text_plans
+
+
 def _modules():
-    return ()
+    return (text_plans,)
 
 
 def queries() -> dict:
