@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-from . import text_plans
+from . import page_plans, question_plans, text_plans
 
 
 def _modules():
-    return (text_plans,)
+    return (text_plans, question_plans, page_plans)
 
 
 def queries() -> dict:
