@@ -9,12 +9,16 @@ from ..functions import text as T
 from ..session import broadcast_if_small
 
 
+def _adder(text: Column):
+    return lambda total, term: total + T.count_of(text, term)
+
+
 def category_score(weighted: list[tuple[Column, float]], terms: list[str]) -> Column:
     """Sum over texts and terms of weight times occurrences; null texts count nothing."""
     total = F.lit(0.0)
     for text, weight in weighted:
         # a fold over the terms keeps the generated code small, however long the lexicon
-        hits = F.aggregate(F.array(*[F.lit(t) for t in terms]), F.lit(0).cast("bigint"), lambda a, t, text=text: a + T.count_of(text, t))
+        hits = F.aggregate(F.array(*[F.lit(t) for t in terms]), F.lit(0).cast("bigint"), _adder(text))
         total = total + F.coalesce(hits, F.lit(0)) * weight
     return total
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-from . import page_plans, question_plans, text_plans
+from . import log_plans, page_plans, question_plans, search_plans, text_plans
 
 
 def _modules():
-    return (text_plans, question_plans, page_plans)
+    return (text_plans, question_plans, page_plans, search_plans, log_plans)
 
 
 def queries() -> dict:
