@@ -24,16 +24,16 @@ def running(df: DataFrame, key: str, order: str, values: dict[str, tuple[str, Co
 
 
 def request_metrics(log: DataFrame, block: int = 50_000) -> DataFrame:
-    """Per request in order of ``seq``: running mean of response times over successes, consecutive failures since the
+    """Per request in order of ``seq``: running mean of response times over successes (whole microseconds, exact), consecutive failures since the
     last success, last time of use and last error of its model."""
     ok = F.coalesce("success", F.lit(False))
     log = log.withColumn("__ok", ok.cast("int"))
     sums = running(log, "model", "seq", {
-        "n_ok": ("sum", F.col("__ok")), "n_failed": ("sum", 1 - F.col("__ok")), "t_ok": ("sum", F.when(ok, F.coalesce("response_time", F.lit(0.0))).otherwise(0.0)), "last_used": ("max", F.when(ok, F.col("ts"))),
+        "n_ok": ("sum", F.col("__ok")), "n_failed": ("sum", 1 - F.col("__ok")), "t_ok": ("sum", F.when(ok, F.round(F.coalesce("response_time", F.lit(0.0)) * 1_000_000).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), "last_used": ("max", F.when(ok, F.col("ts"))),
         "last_failure": ("max", F.when(~ok, F.struct("seq", "error"))),
     }, block)
     # failures up to the last success; it only grows, so a running maximum carries it
     done = running(sums, "model", "seq", {"settled": ("max", F.when(F.col("__ok") == 1, F.col("n_failed")))}, block)
     return done.select(
-        "seq", "model", F.when(F.col("n_ok") > 0, F.col("t_ok") / F.col("n_ok")).alias("mean_time"), (F.col("n_failed") - F.coalesce("settled", F.lit(0))).alias("failures"), "last_used", F.col("last_failure.error").alias("last_error"), F.col("n_ok").alias("successes"),
+        "seq", "model", F.when(F.col("n_ok") > 0, F.expr("t_ok div n_ok")).alias("mean_micros"), (F.col("n_failed") - F.coalesce("settled", F.lit(0))).alias("failures"), "last_used", F.col("last_failure.error").alias("last_error"), F.col("n_ok").alias("successes"),
     )

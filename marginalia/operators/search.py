@@ -8,6 +8,8 @@ equi-joins. No pair of a question and a page is formed unless they share a term.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,31 +168,44 @@ def combined(basic: Column, cos: Column) -> Column:
     return F.when(F.coalesce(cos, F.lit(0.0)) > 0, basic * 0.6 + cos * 0.4).otherwise(basic)
 
 
-def snippet(content: Column, terms: Column, most: int = 500) -> Column:
+def best_passage(content: str | None, terms: list[str] | None, most: int = 500) -> str | None:
     """The sentences that match best, joined from the best down, up to ``most`` characters (stopping at the first overflow).
 
-    Without terms or matches the start of the text; if the result is short, the best sentence with its neighbours where
-    these fit. One expression over arrays: sentences are scored, sorted and packed per row.
+    Without terms the start of the text; without matches its start and ``...``; if the result is short, the best sentence
+    with its neighbours where these fit.
     """
-    clean = T.clean_for_search(content)
-    parts = T.sentence_parts(clean)
-    score = lambda p: F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, t: a + T.count_of(F.lower(p), F.lower(t)) * F.length(t))
-    rated = F.filter(F.transform(parts, lambda p, i: F.struct(-score(T.strip(p)), i.alias("i"), T.strip(p).alias("p"))), lambda x: (x["p"] != "") & (x["col1"] < 0))
-    ranked = F.array_sort(rated)
-    start = F.struct(F.lit("").alias("s"), F.lit(False).alias("done"))
-
-    def step(acc, x):
-        stop = acc["done"] | (F.length(acc["s"]) + F.length(x["p"]) > most)
-        grown = F.when(acc["s"] == "", x["p"]).otherwise(F.concat(acc["s"], F.lit(" "), x["p"]))
-        return F.struct(F.when(stop, acc["s"]).otherwise(grown).alias("s"), stop.alias("done"))
-
-    packed = F.aggregate(ranked, start, step)["s"]
-    best = F.get(ranked, F.lit(0))["i"]
-    around = T.strip(F.array_join(F.slice(parts, F.greatest(best, F.lit(1)), F.least(best + 2, F.size(parts)) - F.greatest(best, F.lit(1)) + 1), " "))
-    out = F.when((F.length(packed) < most // 2) & (F.length(around) <= most), around).otherwise(packed)
-    return (
-        F.when(content.isNull() | (content == "") | (F.size(F.coalesce(terms, F.array().cast("array<string>"))) == 0), F.substring(content, 1, most))
-        .when(F.length(clean) <= most, clean)
-        .when(F.size(ranked) == 0, F.concat(F.substring(clean, 1, most), F.lit("...")))
-        .otherwise(F.when(F.length(out) == most, F.concat(out, F.lit("..."))).otherwise(out))
-    )
+    if not content or not terms:
+        return content[:most] if content else content
+    text = re.sub("<[^>]+>", "", re.sub(r"\s+", " ", content.strip()))
+    if len(text) <= most:
+        return text
+    parts = re.split("[.!?]+", text)
+    rated = []
+    for i, part in enumerate(parts):
+        low = part.strip().lower()
+        score = sum(low.count(t.lower()) * len(t) for t in terms if t)
+        if low and score:
+            rated.append((-score, i, part.strip()))
+    if not rated:
+        return text[:most] + "..."
+    rated.sort()
+    out = ""
+    for _, _, part in rated:
+        if len(out) + len(part) > most:
+            break
+        out = f"{out} {part}" if out else part
+    if len(out) < most // 2:
+        best = rated[0][1]
+        around = " ".join(parts[max(0, best - 1) : best + 2]).strip()
+        out = around if len(around) <= most else out
+    return out + "..." if len(out) == most else out
+
+
+def snippet(content: Column, terms: Column, most: int = 500) -> Column:
+    """``best_passage`` as a vectorised function; meant for the few rows left after ranking."""
+
+    @F.pandas_udf("string")
+    def run(c, t):
+        return type(c)([best_passage(x, None if y is None else list(y), most) for x, y in zip(c, t, strict=True)], dtype=object)
+
+    return run(content, terms)

@@ -71,7 +71,7 @@ def errors_by_kind(spark, d):
 
 def request_metrics(spark, d):
     m = running.request_metrics(_requests(spark, d), block=1000)
-    return m.select("seq", "model", F.round("mean_time", 6).alias("mean_time"), "failures", "last_used", "last_error", "successes")
+    return m.select("seq", "model", "mean_micros", "failures", "last_used", "last_error", "successes")
 
 
 def retry_delays(spark, d):
@@ -85,7 +85,7 @@ _TTL = """WITH RECURSIVE a AS (SELECT DISTINCT seq, cache_key, ts, category, CAS
   r AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts, seq) AS i FROM a),
   f AS (SELECT cache_key, seq, i, ts + to_seconds(life) AS until, false AS hit FROM r WHERE i = 1
     UNION ALL SELECT r.cache_key, r.seq, r.i, CASE WHEN r.ts <= f.until THEN f.until ELSE r.ts + to_seconds(r.life) END, r.ts <= f.until FROM f JOIN r ON r.cache_key = f.cache_key AND r.i = f.i + 1)"""
-_METRICS = """WITH r AS (SELECT DISTINCT * FROM request_log), s AS (SELECT seq, model, success, ts, error, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER w AS ok, sum(CASE WHEN success THEN coalesce(response_time, 0) END) OVER w AS t, max(CASE WHEN success THEN ts END) OVER w AS last_used,
+_METRICS = """WITH r AS (SELECT DISTINCT * FROM request_log), s AS (SELECT seq, model, success, ts, error, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER w AS ok, sum(CASE WHEN success THEN CAST(round(coalesce(response_time, 0) * 1000000) AS BIGINT) END) OVER w AS t, max(CASE WHEN success THEN ts END) OVER w AS last_used,
   arg_max(error, seq) FILTER (NOT coalesce(success, false)) OVER w AS last_error FROM r WINDOW w AS (PARTITION BY model ORDER BY seq ROWS UNBOUNDED PRECEDING)),
   g AS (SELECT *, sum(CASE WHEN coalesce(success, false) THEN 0 ELSE 1 END) OVER (PARTITION BY model, ok ORDER BY seq ROWS UNBOUNDED PRECEDING) AS failures FROM s)"""
 SQL = {
@@ -100,6 +100,6 @@ SQL = {
     "requests_by_model": "SELECT model, count(*) AS n, count(*) FILTER (success) AS n_ok, round(count(*) FILTER (success) / greatest(count(*), 1), 6) AS success_rate, round(avg(CASE WHEN success THEN response_time END), 6) AS mean_time, max(ts) AS last_seen, count(DISTINCT provider) AS n_providers FROM (SELECT DISTINCT * FROM request_log) GROUP BY model",
     "requests_by_provider": "SELECT coalesce(provider, 'unknown') AS provider, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT DISTINCT * FROM request_log) GROUP BY 1",
     "errors_by_kind": "WITH c AS (SELECT model, CASE WHEN contains(lower(error), 'rate limit') THEN 'rate_limit' WHEN contains(lower(error), 'timeout') THEN 'timeout' WHEN contains(lower(error), 'http') THEN 'http' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT DISTINCT * FROM request_log) WHERE error IS NOT NULL GROUP BY ALL) SELECT model, list(kind ORDER BY kind) AS kinds, list(n ORDER BY kind) AS counts FROM c GROUP BY model",
-    "request_metrics": _METRICS + " SELECT seq, model, round(CASE WHEN ok > 0 THEN t / ok END, 6) AS mean_time, CAST(failures AS BIGINT) AS failures, last_used, last_error, CAST(ok AS BIGINT) AS successes FROM g",
+    "request_metrics": _METRICS + " SELECT seq, model, CAST(CASE WHEN ok > 0 THEN t // ok END AS BIGINT) AS mean_micros, CAST(failures AS BIGINT) AS failures, last_used, last_error, CAST(ok AS BIGINT) AS successes FROM g",
     "retry_delays": _METRICS + " SELECT seq, CAST(least(failures, 3) AS BIGINT) AS attempt, CAST(least(failures, 3) AS DOUBLE) AS delay FROM g WHERE failures > 0",
 }
