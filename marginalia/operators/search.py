@@ -58,8 +58,8 @@ def words_with_term(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def exact_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_key: str) -> DataFrame:
-    """(question, page, score DOUBLE, matched ARRAY sorted): the exact part of the term score.
+def exact_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_key: str, top: int | None = None, least: float = 0.1, listed: bool = True) -> DataFrame:
+    """(question, page, score DOUBLE, matched ARRAY sorted): the exact part of the term score; with ``top`` also the rank.
 
     For every term and field: occurrences times a tenth of the term's length times the field's boost; the sum is divided
     by the question's number of terms and raised by a fifth if more than one term matched.
@@ -67,10 +67,20 @@ def exact_scores(questions: DataFrame, pages: DataFrame, question_key: str, page
     index = cut(postings(page_fields(pages, page_key)))
     asked = cut(question_terms(questions, question_key))
     found = words_with_term(index.select("word").distinct(), asked.select("term").distinct())
-    per_term = index.join(found, "word").groupBy("term", "page").agg(F.sum(F.col("weight") * F.col("hits")).alias("w"))
-    pairs = asked.join(per_term, "term").groupBy("question", "page").agg(F.sum(F.col("w") * F.length("term") / 10.0).alias("s"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched"))
-    score = F.col("s") / F.col("n_terms") * F.when(F.size("matched") > 1, 1.2).otherwise(1.0)
-    return pairs.select("question", "page", score.alias("score"), "matched")
+    per_term = cut(index.join(found, "word").groupBy("term", "page").agg(F.sum(F.col("weight") * F.col("hits") * F.length("term") / 10.0).alias("w")))
+    return _ranked(asked, per_term, top, least, listed)
+
+
+def _ranked(asked: DataFrame, per_term: DataFrame, top: int | None, least: float, listed: bool = True) -> DataFrame:
+    """Scores of pairs of a question and a page; ranked by plain sums first, terms listed for the kept pairs only."""
+    pairs = asked.join(per_term, "term").groupBy("question", "page").agg(F.sum("w").alias("s"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
+    scores = pairs.select("question", "page", (F.col("s") / F.col("n_terms") * F.when(F.col("n") > 1, 1.2).otherwise(1.0)).alias("score"))
+    if top is not None:
+        scores = cut(best_pages(scores, top, least))
+    if not listed:
+        return scores
+    matched = scores.select("question", "page").join(asked, "question").join(per_term, ["term", "page"]).groupBy("question", "page").agg(F.array_sort(F.collect_set("term")).alias("matched"))
+    return scores.join(matched, ["question", "page"])
 
 
 def best_pages(scores: DataFrame, n: int = 10, least: float = 0.1) -> DataFrame:
@@ -116,7 +126,7 @@ def fuzzy_words(vocabulary: DataFrame, terms: DataFrame, least: float = 0.8) ->
     return likely.select("term", "word", similarity_udf()("low", "word").alias("similarity")).filter(F.col("similarity") > least)
 
 
-def full_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_key: str) -> DataFrame:
+def full_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_key: str, top: int | None = None, least: float = 0.1) -> DataFrame:
     """(question, page, score, matched): exact and fuzzy parts together; an exact word hit counts in both."""
     index = cut(postings(page_fields(pages, page_key)))
     asked = cut(question_terms(questions, question_key))
@@ -124,9 +134,8 @@ def full_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_
     exact = words_with_term(vocabulary, terms).select("term", "word", (F.col("hits") * F.length("term") / 10.0).alias("s"))
     fuzzy = fuzzy_words(vocabulary, terms).select("term", "word", (F.col("similarity") * F.length("term") / 15.0 * 0.5).alias("s"))
     found = cut(exact.unionByName(fuzzy).groupBy("term", "word").agg(F.sum("s").alias("s")))
-    per_term = index.join(found, "word").groupBy("term", "page").agg(F.sum(F.col("weight") * F.col("s")).alias("w"))
-    pairs = asked.join(per_term, "term").groupBy("question", "page").agg(F.sum("w").alias("s"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched"))
-    return pairs.select("question", "page", (F.col("s") / F.col("n_terms") * F.when(F.size("matched") > 1, 1.2).otherwise(1.0)).alias("score"), "matched")
+    per_term = cut(index.join(found, "word").groupBy("term", "page").agg(F.sum(F.col("weight") * F.col("s")).alias("w")))
+    return _ranked(asked, per_term, top, least)
 
 
 def tfidf(docs: DataFrame, key: str, text: str, stopwords: list[str] = fixed.STOPWORDS_EN, features: int = 5000, bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
