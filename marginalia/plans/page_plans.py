@@ -58,8 +58,9 @@ def web_categories(spark, d):
     """Category of each page by weighted substring counts; ties to the first declared."""
     p = table(spark, d, "pages")
     joined = F.lower(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), "\n"))
-    weighted = [(F.lower("title"), 3.0), (F.lower("relevant_content"), 1.0), (joined, 2.0)]
-    return p.select("page_id", C.best_category(weighted, fixed.PAGE_CATEGORIES).alias("web_category"))
+    low = p.select("page_id", F.lower("title").alias("t"), F.lower("relevant_content").alias("c"), joined.alias("k"))  # lower case once, not once a term
+    weighted = [(F.col("t"), 3.0), (F.col("c"), 1.0), (F.col("k"), 2.0)]
+    return low.select("page_id", C.best_category(weighted, fixed.PAGE_CATEGORIES).alias("web_category"))
 
 
 def lexicon_categories(spark, d):
