@@ -86,7 +86,7 @@ def test_streaming(spark, tmp_path):
     _run(logs.ttl_hits(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "ttl_stream")
     got = {r.seq: r.hit for r in spark.table("ttl_stream").collect()}
     assert got == {i: False for i in range(8)}
-    log = spark.createDataFrame([(1, "m", 0, True, 5), (1, "m", 0, True, 5), (2, "m", 10, False, 7), (3, "m", 90000, True, 1)], "seq long, model string, t long, success boolean, tokens long").withColumn("ts", F.timestamp_seconds("t"))
+    log = spark.createDataFrame([(1, "m", 100, True, 5), (1, "m", 100, True, 5), (2, "m", 110, False, 7), (3, "m", 90000, True, 1)], "seq long, model string, t long, success boolean, tokens long").withColumn("ts", F.timestamp_seconds("t"))
     log.coalesce(1).write.parquet(str(tmp_path / "log"))
     _run(logs.windowed_requests(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))), "req_stream")
     assert [(r.n, r.n_ok, r.tokens) for r in spark.table("req_stream").collect()] == [(2, 1, 12)]
