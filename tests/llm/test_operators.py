@@ -1,5 +1,6 @@
 """Training-data operators: held-out accuracy, exact round trips, brute force, and edge cases."""
 
+import math
 import random
 import re
 
@@ -161,6 +162,18 @@ def test_near_duplicates(spark, empty, odd):
     assert 40 < neardup.guaranteed_matches(0.6) < neardup.guaranteed_matches(0.8)
 
 
+def test_index_recall():
+    rnd = np.random.default_rng(12)
+    x = rnd.integers(0, 256, (20_000, neardup.POSITIONS), np.uint8)
+    y = np.where(rnd.random(x.shape) < 0.6, x, rnd.integers(0, 256, x.shape, np.uint8))
+    lost = sum(int((~(neardup.index_keys(x[i : i + 1000]) == neardup.index_keys(y[i : i + 1000])).any(1)).sum()) for i in range(0, len(x), 1000))
+    assert lost <= 10
+    n, k = neardup.POSITIONS, neardup.GROUP
+    exact = lambda p: sum(math.comb(n, m) * p**m * (1 - p) ** (n - m) * (1 - math.comb(m, k) / math.comb(n, k)) ** neardup.GROUPS for m in range(n + 1))
+    assert exact(0.6 + 0.4 / 256) < 4e-4 and exact(0.7 + 0.3 / 256) < 1e-8
+    assert exact(0.6 + 0.4 / 256) <= neardup.missed(0.6) < 2.5e-5 and neardup.missed(0.7) < 1e-8
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 def test_line_model_held_out():
     right = n = 0
