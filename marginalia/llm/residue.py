@@ -37,6 +37,11 @@ _PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|%[A-Z][A-Z_]{2,40}%|\[(?:YOUR|INSERT|ENTER|insert|your|enter|add)\b[^\[\]\n]{1,60}\]|\bTODO:|\{[a-z_]+(?:\.[a-z_]+)?\}"
     r"|<(?:(?:site|page|course|department|dept|first|last|body|user|your)[ _](?:name|title|text|here)|deadline|body|name|title)>|__[A-Z][A-Z_]{2,30}__|(?<![\w%])%[sd](?!\w)"
 )
+# One delimiter on both sides of an identifier, doubled or single. Signs that also serve as emphasis, and
+# single ones, count only around compound names such as page_title.
+_DOUBLED = re.compile(r"([@#$%^&])\1{1,2}[A-Za-z][A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*\1{2}|([*~|+=:_!])\2{1,2}[A-Za-z]{2,}(?:[._][A-Za-z]{2,})+\2{2}")
+_SINGLE = re.compile(r"([@#$%^])(?<!\w.)[A-Za-z]{2,}(?:[._][A-Za-z]{2,})+\1(?!\w)")
+_PAIRS = tuple(c * 2 for c in "@#$%^&*~|+=:_!")
 _TECHNICAL = re.compile(r"\s*(?:at [\w.$]+\([^)]*:\d+\)|(?:id )?[\[(#]?(?:id )?[0-9a-f]{6,16}[\])]?)\s*$")
 _WORD = re.compile(r"\w+")
 _FILLER = set(FILLER)
@@ -100,7 +105,8 @@ def filler(lines: list[str], model: NoticeModel) -> bool:
 
 def verdict(title: str | None, main: list[str], notices: NoticeModel, fillers: NoticeModel, said: dict[str, float] | None = None) -> tuple[str | None, float]:
     """(reason, log odds) by title and main lines alone: placeholder, filler, notice (open until judged) or None."""
-    if any(c in (title or "") or any(c in l for l in main) for c in "{%[<T_") and _PLACEHOLDER.search("\n".join([title or "", *main])):
+    whole = "\n".join([title or "", *main])
+    if _PLACEHOLDER.search(whole) or _SINGLE.search(whole) or any(c in whole for c in _PAIRS) and _DOUBLED.search(whole):
         return "placeholder", 9.0
     body = [l for l in main if not _TECHNICAL.match(l)]
     if filler([title or "", *body], fillers):

@@ -110,6 +110,16 @@ def test_residue(spark, odd, empty):
     assert residue.template_residue(odd).count() >= 0
 
 
+def test_placeholder_delimiters():
+    models = residue.notice_models()
+    said = lambda title, line: residue.verdict(title, [line], *models)[0]
+    real = "Every first-year student must submit the form before the end of the term, and the office answers within three days. "
+    for form in ("@@user.first_name@@", "@@title@@", "##dept_name##", "$$deadline$$", "%%body%%", "%page_title%", "@site_name@", "#course.name#", "**page_title**", "__site_name__"):
+        assert said("News – " + form, real) == said("News", real + form) == "placeholder", form
+    for text in ("Write to a.b@mail.quenby.test or @help_desk, see #open_day and #term.", "The **deadline** is near!! Pay 5 $ or 10 %, $x$ and $$y$$ are numbers.", "/search?first_name&last_name&page", "== Rules == and | a | b |, 1 @@ 2"):
+        assert said("News", real + text) != "placeholder", text
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 def test_suffix_array_brute_force():
     rnd = random.Random(2)
