@@ -44,6 +44,9 @@ _SINGLE = re.compile(r"([@#$%^])(?<!\w.)[A-Za-z]{2,}(?:[._][A-Za-z]{2,})+\1(?!\w
 _PAIRS = tuple(c * 2 for c in "@#$%^&*~|+=:_!")
 _TECHNICAL = re.compile(r"\s*(?:at [\w.$]+\([^)]*:\d+\)|(?:id )?[\[(#]?(?:id )?[0-9a-f]{6,16}[\])]?)\s*$")
 _WORD = re.compile(r"\w+")
+_SENTENCE = re.compile(r"(?<=[.!?؟…])\s+")
+#: Lines and sentences whose log odds a model keeps for reuse; the memo is emptied when full.
+MEMO = 100_000
 _FILLER = set(FILLER)
 
 
@@ -67,6 +70,10 @@ class NoticeModel:
         rows = [[index.setdefault(f, len(index)) for f in self._features(t)] for t in lines]
         w = fit_logistic(rows, np.array(labels), len(index), epochs=200, l2=1e-4)
         self.weights = {f: float(w[i]) for f, i in index.items()}
+        self.said: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "said": {}}
 
     def _features(self, line: str) -> set[str]:
         out = {"bias", *(f for f in _shape(line) if f[0] != "b")}
@@ -79,7 +86,12 @@ class NoticeModel:
 
     def odds(self, line: str) -> float:
         """Log odds; features never seen weigh nothing."""
-        return sum(self.weights.get(f, 0.0) for f in self._features(line))
+        known = self.said.get(line)
+        if known is None:
+            if len(self.said) >= MEMO:
+                self.said.clear()
+            known = self.said[line] = sum(self.weights.get(f, 0.0) for f in self._features(line))
+        return known
 
 
 @lru_cache(maxsize=1)
@@ -91,14 +103,19 @@ def notice_models() -> tuple[NoticeModel, NoticeModel]:
 def filler(lines: list[str], model: NoticeModel) -> bool:
     """Whether the lines hold a passage of scrambled Latin or of layout filler."""
     for line in lines:
-        low = line.lower()
-        if "ipsum" in low or "dolor" in low or "lorem" in low or "quis" in low:
-            run = 0
-            for w in _WORD.findall(low):
-                run = run + 1 if w in _FILLER else 0
-                if run >= 5:
-                    return True
-        if len(line) <= 200 and any(_tokens(part) and model.odds(part) > SURE for part in {line, *re.split(r"(?<=[.!?])\s+", line)} if len(part) > 8):
+        run = 0
+        for w in _WORD.findall(line.lower()):
+            run = run + 1 if w in _FILLER else 0
+            if run >= 5:
+                return True
+        parts = [p for p in _SENTENCE.split(line) if _tokens(p)]
+        odds = [model.odds(p) for p in parts]
+        if any(o > SURE and len(p) > 8 for p, o in zip(parts, odds, strict=True)):
+            return True
+        # neighbours are scored together where one of them leans towards filler; whole lines up to the training lines' length
+        if any(max(odds[i : i + 2]) > 0 and model.odds(f"{parts[i]} {parts[i + 1]}") > SURE for i in range(len(parts) - 1)):
+            return True
+        if 8 < len(line) <= 200 and parts and model.odds(line) > SURE:
             return True
     return False
 

@@ -120,6 +120,18 @@ def test_placeholder_delimiters():
         assert said("News", real + text) != "placeholder", text
 
 
+def test_filler_in_long_lines():
+    rnd = random.Random(5)
+    model = residue.notice_models()[1]
+    for lang, texts in phrases.FILLERS.items():
+        real = [" ".join(phrases.sentence(lang, rnd) for _ in range(n)) for n in (4, 3)]
+        assert not residue.filler(real, model)
+        for text in texts:
+            if text[-1] == ".":
+                assert residue.filler([f"{real[0]} {text} {real[1]}"], model), text
+        assert residue.filler([f"{real[0]} donec vitae nunc porta morbi justo. {real[1]}"], model)
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 def test_suffix_array_brute_force():
     rnd = random.Random(2)
