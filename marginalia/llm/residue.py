@@ -3,7 +3,7 @@
 Detectors read title and main lines for unfilled placeholders and filler passages. A page of little information whose
 main lines look like notices is compared with its address: terms of the address slug and title that the body lacks speak
 for a wrong answer, and so do other addresses, on this host and on others, that answer with the same message. Wording,
-mismatch and duplication are added as log odds.
+mismatch and duplication are added as log odds; duplication is a share with a bound, so it does not grow with the table.
 
 Edge cases: a null text has no main lines, so only its title can hit; blank pages and pages without main lines hit by
 title alone; a null address has no slug terms and counts as no mismatch; repeated rows count once per address.
@@ -32,6 +32,9 @@ from .learn import fit_logistic
 LITTLE = 40
 #: Log odds from which a page is a notice, and from which wording alone decides.
 LEAST, SURE = 0.0, 2.0
+#: Log odds that duplication adds at most; the share of a host's short pages at which it adds 1; addresses added to each
+#: host so that a few pages prove little. The bound leaves content-like wording (below -1) as content at any share.
+BOUND, NOTABLE, PRIOR = 4.0, 0.03, 30
 # Forms of unfilled placeholders.
 _PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|%[A-Z][A-Z_]{2,40}%|\[(?:YOUR|INSERT|ENTER|insert|your|enter|add)\b[^\[\]\n]{1,60}\]|\bTODO:|\{[a-z_]+(?:\.[a-z_]+)?\}"
@@ -179,10 +182,16 @@ def template_residue(pages: DataFrame) -> DataFrame:
     seen = pages.select("page_id", "url", "title", "relevant_content").mapInArrow(run, "page_id bigint, reason string, score double, message bigint, url string, host string")
     seen = cut(seen)
     decided = seen.filter((F.col("reason") != "notice") | (F.col("score") >= SURE))
-    open_ = seen.filter((F.col("reason") == "notice") & (F.col("score") < SURE) & (F.col("score") > -6.0))
-    counts = seen.filter(F.col("reason") == "notice").groupBy("message").agg(F.count_distinct("url").alias("urls"), F.count_distinct("host").alias("hosts"))
-    # each doubling of the addresses that give the same message counts for a page, and more so across hosts
-    judged = open_.join(counts, "message").withColumn("score", F.col("score") + F.log2("urls") + 0.5 * F.log2(F.greatest("hosts", F.lit(1))) - 1.0)
+    open_ = seen.filter((F.col("reason") == "notice") & (F.col("score") < SURE) & (F.col("score") >= LEAST + 3.0 - BOUND))
+    # addresses that give a message, as a share of those with little information: on the host, or over all hosts
+    short = seen.filter(F.col("reason") == "notice")
+    here = short.groupBy("message", "host").agg(F.count_distinct("url").alias("n"))
+    sizes = here.groupBy("host").agg(F.sum("n").alias("size"))
+    total = sizes.agg(F.sum("size").alias("total"))
+    counts = here.join(sizes, "host").join(here.groupBy("message").agg(F.sum("n").alias("everywhere")), "message").crossJoin(F.broadcast(total))
+    share = lambda n, of: F.greatest(n - 1, F.lit(0)) / (of + PRIOR)
+    counts = counts.select("message", "host", F.greatest(share(F.col("n"), F.col("size")), share(F.col("everywhere"), F.col("total"))).alias("share"))
+    judged = open_.join(counts, ["message", "host"]).withColumn("score", F.col("score") + F.least(F.log2(1 + F.col("share") / NOTABLE), F.lit(BOUND)) - 1.0)
     return decided.unionByName(judged.filter(F.col("score") >= LEAST + 2.0).select(*decided.columns)).select("page_id", "reason", "score")
 
 

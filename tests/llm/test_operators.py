@@ -132,6 +132,14 @@ def test_filler_in_long_lines():
         assert residue.filler([f"{real[0]} donec vitae nunc porta morbi justo. {real[1]}"], model)
 
 
+def test_duplication_is_bounded(spark):
+    text = "The server room is closed on Monday."
+    assert -6 < residue.notice_models()[0].odds(text) < -1
+    for copies in (4, 400):
+        df = pages(spark, [{"title": None, "url": f"https://h{i % 24}.test/{i}", "relevant_content": text} for i in range(copies)])
+        assert residue.template_residue(df).count() == 0
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 def test_suffix_array_brute_force():
     rnd = random.Random(2)
