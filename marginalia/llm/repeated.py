@@ -1,10 +1,12 @@
-"""Lines repeated over one source's documents, by suffix arrays over line identifiers.
+"""Lines repeated over one source's documents, counted by line identifiers.
 
-A line's identifier is a hash of its letters in lower case. Every partition of the scan concatenates the identifiers of
-each source's documents (documents end in separators of their own), builds the suffix array by prefix doubling and reads
-repeated blocks off the longest common prefixes. A block that stands on a share of a source's rows stands on that share
-of the rows of some partition, so blocks frequent in a partition are candidates and none is lost; candidates are then
-counted exactly over all rows. No source is ever gathered into one task.
+A line's identifier is a hash of its letters in lower case. Every partition of the scan counts the identifiers of each
+source's documents. A line that stands on a share of a source's rows stands on that share of the rows of some partition,
+so lines frequent in a partition are candidates and none is lost; candidates are then counted exactly over all rows. No
+source is ever gathered into one task.
+
+``repeated_blocks`` also reads longer blocks off a suffix array (prefix doubling, longest common prefixes). They hold
+only lines that are candidates already; as a case is defined by single lines, they change no row.
 
 Edge cases: null text has no lines but its row counts for the source; lines without letters have no identifier and end
 blocks; a null source_url and url give the source ``''``; each of repeated rows counts; a line repeated within a row
