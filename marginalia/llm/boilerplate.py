@@ -19,18 +19,27 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import phrases
 from .learn import fit_logistic
 
-#: Lines beyond this length are judged by length, separators and ending alone (counted over the whole line).
-LONG = 220
+#: Pairs of neighbouring words are features of lines of at most this many words; single words are of all lines.
+PAIRED = 24
+#: Letters of a word's beginning that count as a feature too.
+STEM = 5
+#: Words from which a closed sentence anchors the body of a page.
+ANCHOR = 13
 #: Labelled pages drawn for training.
 TRAINING_PAGES = 3500
 #: Lines whose evidence a worker keeps for reuse; the memo is emptied when full, so this bounds memory, not results.
 MEMO = 200_000
+#: Longer lines are not kept, as they seldom recur.
+MEMO_LENGTH = 220
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
 _BULLET = re.compile(r"\s*(?:([•*›»–-])\s|\d{1,2}\.\s)")
+ENDS = (".", "!", "?", "؟", "…", ".)", ".»", "»)", ".\"")
+_PIECES = re.compile(r"\s+[|·/»>›]\s+|\s{2,}")
 _MARKS = ("|", "·", "/", "»", ">", ";", "#", "©", ":", "@", "(", "?", "!", "_", "{", "%", "[", "<")
 
 
@@ -44,103 +53,129 @@ def _shape(line: str) -> list[str]:
         out.append("b" + (b.group(1) or "1"))
     if text[-1] in ".?!؟":
         out.append("end" + text[-1])
+    parts = _PIECES.split(text)
+    if len(parts) > 2:
+        words = text.count(" ") + 1
+        out.append("pieces%d" % min(len(parts), 6))
+        out.append("piece%d%d" % (min(3, words // len(parts)), any(c.isdigit() for c in text)))
     return out
 
 
 def _tokens(line: str) -> list[str]:
-    return ["0" if t[0].isdigit() else t for t in _TOKEN.findall(line.lower())]
+    return [t if t > ":" else "0" for t in _TOKEN.findall(line.lower())]
 
 
 def _training_pages(rnd: random.Random) -> Iterator[list[tuple[str, int]]]:
-    """Pages of labelled lines (1: main text) in one language each, framed or bare, in the layouts seen on the web."""
+    """Pages of labelled lines (1: main text) in one language each, framed or bare."""
     for _ in range(TRAINING_PAGES):
         lang = rnd.choice(list(phrases.MENU))
-        fill = lambda t: phrases.fill(t, lang, rnd)  # noqa: E731, B023
-        furn = lambda: fill(rnd.choice(phrases.FURNITURE[lang]))  # noqa: E731, B023
+        yield _disturb(_training_page(lang, rnd), rnd)
+
+
+def _training_page(lang: str, rnd: random.Random) -> list[tuple[str, int]]:
+    fill = lambda t: phrases.fill(t, lang, rnd)
+    furn = lambda: fill(rnd.choice(phrases.FURNITURE[lang]))
+    page: list[tuple[str, int]] = []
+    framed = rnd.random() < 0.75
+    if framed:
+        page += [(furn(), 0) for _ in range(rnd.randint(0, 3))]
+        menu = rnd.sample(phrases.MENU[lang], rnd.randint(3, 11))
         bullet = rnd.choice(["", "", "• ", "- ", "› ", "* "])
-        page: list[tuple[str, int]] = []
-        framed = rnd.random() < 0.75
-        if framed:
-            page += [(furn(), 0) for _ in range(rnd.randint(0, 2))]
-            menu = rnd.sample(phrases.MENU[lang], rnd.randint(4, 11))
-            if rnd.random() < 0.5:
-                page.append((rnd.choice(["  ", " | ", " · ", " / ", " » "]).join(menu), 0))
-            else:
-                page += [(bullet + m, 0) for m in menu]
-            if rnd.random() < 0.5:
-                last = rnd.choice([fill(rnd.choice(phrases.TITLES[lang]))] * 4 + [rnd.choice(phrases.FAILED[lang]), "{{ page_title }}", "%SITE_NAME%"])
-                page.append((" > ".join([rnd.choice(menu), fill(rnd.choice(phrases.TITLES[lang])), last]), 0))
-        notice = framed and rnd.random() < 0.25  # a page that holds a notice or a heading and little else
-        for _ in range(1 if notice else rnd.randint(1, 6)):
-            kind = 0.02 + 0.6 * rnd.random() if notice else rnd.random()
-            if notice and rnd.random() < 0.5 or rnd.random() < 0.04:
-                page += [(fill(rnd.choice(phrases.NOTICES[lang] + phrases.FILLERS[lang])), 1)] * rnd.choice([1, 1, 2])
-            elif kind < 0.04:
-                page += [(fill(rnd.choice(["at ", "  at "]) + "{N}.{N}(" + rnd.choice(["view.py", "page.php", "store.java"]) + ":{d})"), 1) for _ in range(rnd.randint(1, 6))]
-            elif kind < 0.5:
-                page.append((" ".join(phrases.sentence(lang, rnd) + rnd.choice(["", "", "", "", " («" + fill(rnd.choice(phrases.TITLES[lang])) + "»)"]) if rnd.random() < 0.4 else fill(rnd.choice(phrases.MAIN[lang][9:])) for _ in range(1 if notice else rnd.choice([1, 1, 2, 3, 5]))), 1))
-                if not notice and rnd.random() < 0.6:
-                    page.append(("word, " * rnd.randint(30, 90) + "end.", 1))
+        page += [(rnd.choice(["  ", " | ", " · ", " / ", " » "]).join(menu), 0)] if rnd.random() < 0.5 else [(bullet + m, 0) for m in menu]
+        if rnd.random() < 0.5:
+            last = fill(rnd.choice(phrases.TITLES[lang])) if rnd.random() < 0.75 else rnd.choice([*phrases.FAILED[lang], "{{ title }}", "%TITLE%"])
+            page.append((rnd.choice([" > ", " / ", " » ", " › "]).join([rnd.choice(menu), fill(rnd.choice(phrases.TITLES[lang])), last][rnd.randint(0, 1) :]), 0))
+        page += [(furn(), 0) for _ in range(rnd.choice([0, 0, 1, 2]))]
+    if rnd.random() < 0.25:  # a page that holds a notice, filler or a heading and little else
+        page += [(fill(rnd.choice(phrases.NOTICES[lang] if rnd.random() < 0.75 else phrases.FILLERS[lang])), 1)] * rnd.choice([1, 1, 1, 2])
+        if rnd.random() < 0.4:
+            page.append((rnd.choice([fill("  at {N}.{N}(core.{C}:{d})"), fill("({N})"), fill(rnd.choice(phrases.HEADINGS[lang])), "[%08x]" % rnd.getrandbits(32)]), 1))
+    else:
+        for _ in range(rnd.randint(1, 6)):
+            kind = rnd.random()
+            if kind < 0.5:
+                text = " ".join(phrases.main_line(lang, rnd) for _ in range(rnd.choice([1, 1, 2, 3, 5])))
+                page.append((text + (f" («{fill(rnd.choice(phrases.TITLES[lang]))}»)" if rnd.random() < 0.1 else ""), 1))
             elif kind < 0.7:
-                page.append((fill(rnd.choice(phrases.MAIN[lang][:4])), 1))
-            elif kind < 0.9:
+                page.append((fill(rnd.choice(phrases.HEADINGS[lang])), 1))
+            elif kind < 0.88:
                 mark = rnd.choice(["• ", "- ", "* ", "n"])
-                page += [((f"{i + 1}. " if mark == "n" else mark) + fill(rnd.choice(phrases.MAIN[lang][4:8])), 1) for i in range(rnd.randint(1, 4))]
+                page += [((f"{i + 1}. " if mark == "n" else mark) + fill(rnd.choice(phrases.ENTRIES[lang])), 1) for i in range(rnd.randint(1, 5))]
+            elif kind < 0.96:
+                s = rnd.choice([" | ", " / ", " · ", "  "])
+                page += [(fill("{C}" + s + "{N}" + s + "{d} {N} {d}"), 1) for _ in range(rnd.randint(1, 4))]
             else:
-                page += [(fill("{C}" + s + "{N}" + s + "{d} x {d}"), 1) for s in rnd.choices([" | ", " / ", " · "], k=1) for _ in range(rnd.randint(1, 4))]
-            if framed and rnd.random() < 0.25:
+                page.append((fill(rnd.choice(phrases.NOTICES[lang] + phrases.FILLERS[lang])), 1))
+            if framed and rnd.random() < 0.2:
                 page.append((furn(), 0))
-        if framed:
-            if rnd.random() < 0.5:
-                head = {"en": 29, "fr": 22, "de": 22, "es": 22, "ar": 22}[lang]
-                page.append((phrases.FURNITURE[lang][rnd.randint(head, len(phrases.FURNITURE[lang]) - 1)].replace("{N}", "Xo").replace("{d}", "3"), 0))
-                page += [(rnd.choice(["", "› ", "- "]) + fill(rnd.choice(phrases.TITLES[lang])) + rnd.choice(["", f" ({rnd.randint(1, 99)})"]), 0) for _ in range(rnd.randint(3, 6))]
-            page += [(furn(), 0) for _ in range(rnd.randint(2, 7))]
-        out = []
-        for text, label in page:
-            r = rnd.random()
-            text = text.upper() if r < 0.04 else "  " + text.replace(" ", "  ", 2) if r < 0.08 else text + rnd.choice([" »", "!", "."]) if r < 0.12 else "- " + text if r < 0.15 and not label else text
-            out.append((text, label))
-        yield out
+    if framed:
+        if rnd.random() < 0.5:
+            page.append((rnd.choice([t for t in phrases.FURNITURE[lang] if "{" not in t][-12:]), 0))
+            page += [(rnd.choice(["", "› ", "- "]) + fill(rnd.choice(phrases.TITLES[lang])) + rnd.choice(["", f" ({rnd.randint(1, 99)})"]), 0) for _ in range(rnd.randint(2, 6))]
+        page += [(furn() if rnd.random() < 0.85 else " ".join(furn() for _ in range(rnd.randint(2, 5))), 0) for _ in range(rnd.randint(2, 8))]
+    return page
+
+
+def _disturb(page: list[tuple[str, int]], rnd: random.Random) -> list[tuple[str, int]]:
+    """The page with some lines in capitals, indented, or with another bullet or ending."""
+    out = []
+    for text, label in page:
+        r = rnd.random()
+        text = text.upper() if r < 0.04 else "  " + text.replace(" ", "  ", 2) if r < 0.08 else text + rnd.choice([" »", "!", "."]) if r < 0.12 else "- " + text if r < 0.15 and not label else text
+        out.append((text, label))
+    return out
 
 
 class LineModel:
-    """Evidence of single lines and the tree's potentials, fitted on labelled pages."""
+    """Evidence of single lines and places, and the tree's potentials, fitted on labelled pages."""
 
     def __init__(self) -> None:
         rnd = random.Random(7)
         pages = list(_training_pages(rnd))
-        lines = [x for p in pages for x in p]
-        slots = {w for table in (phrases.FURNITURE, phrases.MENU, phrases.TITLES, phrases.MAIN, phrases.FIELDS, phrases.NOTICES, phrases.FILLERS, {k: sum(v, []) for k, v in phrases.PROSE.items()}) for ts in table.values() for t in ts for w in _tokens(re.sub(r"\{[NCdF]\}|\{date\}", " ", t))}
-        self.words = slots
+        tables = (phrases.FURNITURE, phrases.MENU, phrases.TITLES, phrases.HEADINGS, phrases.ENTRIES, phrases.SINGLES, phrases.TALK, phrases.FIELDS, phrases.NOTICES, phrases.FILLERS, *({k: sum(v, []) for k, v in t.items()} for t in (phrases.PROSE, phrases.MODAL)))
+        self.words = frozenset(w for table in tables for ts in table.values() for t in ts for w in _tokens(re.sub(r"\{[NCdF]\}|\{date\}", " ", t)))
+        self.stems = frozenset(w[:STEM] for w in self.words if len(w) > STEM)
         index: dict[str, int] = {"bias": 0}
-        rows = [[index.setdefault(f, len(index)) for f in {"bias", *self.features(t)}] for t, _ in lines]
-        y = np.array([l for _, l in lines])
-        w = fit_logistic(rows, y, len(index), epochs=300, l2=2e-5)
+        rows, values, labels = [], [], []
+        for page in pages:
+            lines = [t for t, _ in page]
+            for (text, label), place in zip(page, places(lines), strict=True):
+                # a word is dropped from a third of the lines, so that shape and place must carry lines of unknown words
+                shape, words, scale = self.features(text, rnd.random() < 0.33)
+                rows.append([index.setdefault(f, len(index)) for f in ("bias", *place, *shape, *words)])
+                values.append([1.0] * (1 + len(place) + len(shape)) + [scale] * len(words))
+                labels.append(label)
+        y = np.array(labels)
+        w = fit_logistic(rows, y, len(index), epochs=300, l2=3e-5, values=values)
         self.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
         self.prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         self._count_potentials(pages)
 
-    def features(self, line: str) -> list[str]:
-        """Names of the features that hold for ``line``."""
-        out = _shape(line)
-        if len(line) <= LONG:
+    def features(self, line: str, blind: bool = False) -> tuple[list[str], list[str], float]:
+        """(shape features, word features, their scale). Words count less the more of them a line has."""
+        tokens = _tokens(line)
+        known = ["_" if blind and t != "0" or t != "0" and t not in self.words else t for t in tokens]
+        words = ["w:" + t for t in set(known) if t != "_"]
+        if not blind:
+            words += {"p:" + t[:STEM] for t in tokens if len(t) > STEM and t[:STEM] in self.stems}
+        if len(known) <= PAIRED:
             last = "^"
-            for t in _tokens(line):
-                t = t if t == "0" or t in self.words else "_"
+            for t in known:
                 if t != last or t not in "_0":
-                    out.append(t)
-                    out.append(last + " " + t)
+                    words.append(last + " " + t)
                 last = t
-            out.append(last + " $")
-        else:
-            out.append("long")
-        return out
+            words.append(last + " $")
+        return _shape(line), words, 1.0 / max(1.0, len(tokens) / 8) ** 0.5
 
     def evidence(self, line: str) -> float:
-        """Log-odds that the line is main text, without the prior."""
+        """Log-odds that the line is main text by shape and words, without place and prior."""
         get = self.weights.get
-        return sum(get(f, 0.0) for f in {"bias", *self.features(line)}) - self.prior
+        shape, words, scale = self.features(line)
+        return get("bias", 0.0) + sum(get(f, 0.0) for f in shape) + scale * sum(get(f, 0.0) for f in words) - self.prior
+
+    def at(self, place: tuple[str, ...]) -> float:
+        """Log-odds of a place."""
+        return sum(self.weights.get(f, 0.0) for f in place)
 
     def _count_potentials(self, pages: list[list[tuple[str, int]]]) -> None:
         root_block, block_line = np.ones((2, 2)), np.ones((2, 2))
@@ -178,7 +213,14 @@ class LineModel:
         cavity = down_block[np.cumsum(np.r_[0, np.diff(block_of) > 0])] - up
         belief = cavity[:, :, None] + self.block_line[None]
         belief = np.logaddexp(belief[:, 0], belief[:, 1]) + unary
-        return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50)))
+        p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50)))
+        # a page says something: condition on at least one main line, by the weight of the labelling without any
+        bare = np.add.reduceat(np.broadcast_to(self.block_line[:, 0], (len(evidence), 2)), first, axis=0)
+        bare = self.root_block[None] + bare[:, None, :]
+        bare = np.add.reduceat(np.logaddexp(bare[:, :, 0], bare[:, :, 1]), firstp, axis=0) + self.root
+        nothing = np.exp(np.minimum(np.logaddexp(bare[:, 0], bare[:, 1]) - np.logaddexp(at_root[:, 0], at_root[:, 1]), 0.0))
+        page_of_line = np.cumsum(np.r_[0, np.diff(page_of) > 0])[np.cumsum(np.r_[0, np.diff(block_of) > 0])]
+        return np.minimum(p / np.maximum(1 - nothing[page_of_line], 1e-12), 1.0)
 
 
 def block_kind(line: str) -> int:
@@ -188,6 +230,22 @@ def block_kind(line: str) -> int:
     return int(line.count(" ") >= 11)
 
 
+def places(lines: list[str]) -> list[tuple[str, str]]:
+    """For each non-blank line of a page: its place about the body (from the first to the last long sentence), by kind."""
+    kinds = [block_kind(t) for t in lines]
+    anchors = [i for i, t in enumerate(lines) if t.count(" ") >= ANCHOR and t.rstrip().endswith(ENDS)]
+    return [place_of(i, k, anchors) for i, k in enumerate(kinds)]
+
+
+def place_of(i: int, kind: int, anchors: list[int]) -> tuple[str, str]:
+    """Features of a line's place: before, within or after the body, the distance to it, and the line's kind."""
+    if not anchors:
+        return ("none" + str(min(kind, 2)), "none")
+    side = "before" if i < anchors[0] else "after" if i > anchors[-1] else "within"
+    gap = anchors[0] - i if side == "before" else i - anchors[-1] if side == "after" else 0
+    return (side + str(min(kind, 2)), side + "g" + str(min(gap, 4)))
+
+
 def starts_of(kinds: list[int]) -> list[int]:
     return [i for i, k in enumerate(kinds) if not i or k != kinds[i - 1]]
 
@@ -198,25 +256,32 @@ def line_model() -> LineModel:
     return LineModel()
 
 
-def split_main(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int]]) -> tuple[list[list[str]], list[np.ndarray]]:
+def split_main(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool]]) -> tuple[list[list[str]], list[np.ndarray]]:
     """Per text its lines (all, blank ones included) and a boolean array: True for main lines. Blank lines are False."""
+    lines_of, chances = line_chances(texts, model, memo)
+    return lines_of, [c > 0.5 for c in chances]
+
+
+def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool]]) -> tuple[list[list[str]], list[np.ndarray]]:
+    """Per text its lines and their probabilities of being main text (0 for blank lines)."""
     evidence: list[float] = []
     blocks: list[int] = []
     pages: list[int] = []
     where: list[list[int]] = []
     lines_of: list[list[str]] = []
+    placed: dict[tuple[str, str], float] = {}
     block = -1
     for text in texts:
         lines = text.split("\n") if text else []
         lines_of.append(lines)
-        kept, last, fresh = [], None, True
+        kept, last, fresh, kinds, anchors = [], None, True, [], []
         for i, line in enumerate(lines):
             if not line or line.isspace():
                 continue
             known = memo.get(line)
             if known is None:
-                known = (model.evidence(line), block_kind(line))
-                if len(line) <= LONG:
+                known = (model.evidence(line), block_kind(line), line.count(" ") >= ANCHOR and line.rstrip().endswith(ENDS))
+                if len(line) <= MEMO_LENGTH:
                     if len(memo) >= MEMO:
                         memo.clear()
                     memo[line] = known
@@ -224,18 +289,28 @@ def split_main(texts: list[str | None], model: LineModel, memo: dict[str, tuple[
                 block += 1
                 pages.append(len(where))
                 last, fresh = known[1], False
+            if known[2]:
+                anchors.append(len(kept))
+            kinds.append(known[1])
             evidence.append(known[0])
             blocks.append(block)
             kept.append(i)
+        at = len(evidence) - len(kept)
+        for i, kind in enumerate(kinds):
+            place = place_of(i, kind, anchors)
+            odds = placed.get(place)
+            if odds is None:
+                odds = placed[place] = model.at(place)
+            evidence[at + i] += odds
         where.append(kept)
     p = model.marginals(np.array(evidence), np.array(blocks, np.int64), np.array(pages, np.int64))
     out, at = [], 0
     for lines, kept in zip(lines_of, where, strict=True):
-        flags = np.zeros(len(lines), bool)
+        chance = np.zeros(len(lines))
         if kept:
-            flags[kept] = p[at : at + len(kept)] > 0.5
+            chance[kept] = p[at : at + len(kept)]
             at += len(kept)
-        out.append(flags)
+        out.append(chance)
     return lines_of, out
 
 
@@ -284,3 +359,8 @@ def main_text(pages: DataFrame, key: str = "page_id", text: str = "relevant_cont
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """Every non-blank line that is not main text."""
     return furniture_lines(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "relevant_content")).distinct()
+
+
+def p6_main(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page: its length and hash."""
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", F.length("main_text").alias("n_chars"), F.md5("main_text").alias("text_md5"))

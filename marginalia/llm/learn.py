@@ -8,17 +8,18 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit_logistic(rows: list[list[int]], labels: np.ndarray, size: int, epochs: int = 120, l2: float = 1e-4) -> np.ndarray:
-    """Weights over ``size`` binary features (feature 0 is the bias) by full-batch Adagrad on the log loss."""
+def fit_logistic(rows: list[list[int]], labels: np.ndarray, size: int, epochs: int = 120, l2: float = 1e-4, values: list[list[float]] | None = None) -> np.ndarray:
+    """Weights over ``size`` features (binary, or with ``values``; feature 0 is the bias) by full-batch Adagrad on the log loss."""
     lens = np.fromiter((len(r) for r in rows), np.int64, len(rows))
     flat = np.fromiter((f for r in rows for f in r), np.int64, int(lens.sum()))
     at = np.repeat(np.arange(len(rows)), lens)
+    much = np.ones(len(flat)) if values is None else np.fromiter((v for r in values for v in r), float, len(flat))
     w, g2 = np.zeros(size), np.full(size, 1e-8)
     y = labels.astype(float)
     for _ in range(epochs):
-        z = np.bincount(at, weights=w[flat], minlength=len(rows))
+        z = np.bincount(at, weights=w[flat] * much, minlength=len(rows))
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(flat, weights=err[at], minlength=size) / len(rows) + l2 * w
+        g = np.bincount(flat, weights=err[at] * much, minlength=size) / len(rows) + l2 * w
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
     return w

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .boilerplate import line_model, slices, split_main
-from .residue import SURE, notice_models, verdict
+from .boilerplate import line_chances, line_model, slices
+from .residue import LEAST, notice_models, page_score, verdict
 
 POSITIONS, GROUP, GROUPS = 128, 4, 128
 #: Words of main text that a page needs to take part.
@@ -37,7 +37,6 @@ _RND = np.random.default_rng(17)
 _MUL = (_RND.integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | 1).astype(np.uint32)
 _ADD = _RND.integers(0, 1 << 32, POSITIONS, dtype=np.uint64).astype(np.uint32)
 _PLACES = np.stack([_RND.permutation(POSITIONS)[:GROUP] for _ in range(GROUPS)])
-_SALT = _RND.integers(1, 1 << 62, GROUPS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,48 +118,59 @@ def signatures(lens: np.ndarray, triples: np.ndarray) -> np.ndarray:
 
 
 def index_keys(sig: np.ndarray) -> np.ndarray:
-    """(texts, GROUPS) index keys, one for each group of positional bytes."""
-    with np.errstate(over="ignore"):
-        key = np.broadcast_to(_SALT, (len(sig), GROUPS)).copy()
-        for j in range(GROUP):
-            key = (key ^ sig[:, _PLACES[:, j]].astype(np.uint64)) * _MIX
-            key ^= key >> np.uint64(32)
-    return key.view(np.int64)
-
-
-def _records(batch: pa.RecordBatch, model, notices, memo: dict) -> tuple[list[int], list[str]]:
-    """(ids, title and main text) of the pages of a batch that take part."""
-    ids, titles, texts = (c.to_pylist() for c in batch.columns)
-    lines_of, flags_of = split_main(texts, model, memo)
+    """(texts, GROUPS) index keys: the number of the group followed by its positional bytes."""
+    key = np.broadcast_to(np.arange(GROUPS, dtype=np.int64), (len(sig), GROUPS)).copy()
+    for j in range(GROUP):
+        key = key << 8 | sig[:, _PLACES[:, j]]
+    return key
+
+
+def _records(batch: pa.RecordBatch, models, memo: dict) -> tuple[list[int], list[str]]:
+    """(row numbers, title and main text) of the pages of a batch that take part."""
+    lines_m, (notices, fillers), score = models
+    titles, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    lines_of, chances_of = line_chances(texts, lines_m, memo)
     keep, out = [], []
-    for i, title, lines, flags in zip(ids, titles, lines_of, flags_of, strict=True):
-        main = [l for l, f in zip(lines, flags.tolist(), strict=True) if f]
+    for i, (title, lines, chances) in enumerate(zip(titles, lines_of, chances_of, strict=True)):
+        main, sure = [], []
+        for l, c in zip(lines, chances.tolist(), strict=True):
+            if c > 0.5:
+                main.append(l)
+                sure.append(c)
         body = "\n".join(main)
         if len(body) < 2 * LEAST_WORDS - 1 or len(_WORD.findall(body)) < LEAST_WORDS:
             continue
-        reason, score = verdict(title, main, *notices)
-        if reason in ("placeholder", "filler") or reason == "notice" and score >= SURE:
+        reason, odds, words = verdict(title, main, sure, notices, fillers, score)
+        if reason in ("placeholder", "filler") or reason == "notice" and score.chances([odds], [words], [(False,) * 4], [0.0])[0] >= LEAST:
             continue
         keep.append(i)
         out.append((title or "") + "\n" + body)
     return keep, out
 
 
+def _models():
+    return line_model(), notice_models(), page_score()
+
+
+def _set_ids(lens: np.ndarray, triples: np.ndarray) -> list[int]:
+    ends = np.cumsum(lens).tolist()
+    return [xxhash.xxh64_intdigest(triples[e - n : e].tobytes()) - (1 << 63) for e, n in zip(ends, lens.tolist(), strict=True)]
+
+
 def page_signatures(pages: DataFrame) -> DataFrame:
-    """(page_id, n_triples INT, set_id BIGINT, sig BINARY) of pages that take part."""
-    model, notices = line_model(), notice_models()
+    """(page_id, n_triples INT, set_id BIGINT, sig BINARY) of pages that take part; of a repeated id the least set."""
+    models = _models()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, triples = {}, Triples()
         for batch in slices(batches):
-            ids, texts = _records(batch, model, notices, memo)
+            rows, texts = _records(batch, models, memo)
             lens, t = triples.of(texts)
             sig = signatures(lens, t)
-            ends = np.cumsum(lens)
-            sets = [xxhash.xxh64_intdigest(t[e - n : e].tobytes()) - (1 << 63) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lens, pa.int32()), pa.array(sets, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["page_id", "n_triples", "set_id", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lens, pa.int32()), pa.array(_set_ids(lens, t), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["page_id", "n_triples", "set_id", "sig"])
 
-    return pages.select("page_id", "title", "relevant_content").mapInArrow(run, "page_id bigint, n_triples int, set_id bigint, sig binary")
+    found = pages.select("page_id", "title", "relevant_content").mapInArrow(run, "page_id bigint, n_triples int, set_id bigint, sig binary")
+    return found.groupBy("page_id").agg(F.min(F.struct("set_id", "n_triples", "sig")).alias("x")).select("page_id", "x.n_triples", "x.set_id", "x.sig")
 
 
 def candidate_pairs(reps: DataFrame, similarity: float) -> DataFrame:
@@ -189,23 +199,26 @@ def candidate_pairs(reps: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(pages: DataFrame, similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """((a, b, similarity DOUBLE) of verified pairs of representatives, (page_id, rep) of all pages that take part)."""
-    docs = cut(page_signatures(pages).dropDuplicates(["page_id"]))
+    docs = cut(page_signatures(pages))
     classes = docs.groupBy("set_id", "n_triples").agg(F.min("page_id").alias("rep"))
-    members = cut(docs.join(classes, ["set_id", "n_triples"]).select("page_id", "rep", "sig"))
-    pairs = cut(candidate_pairs(members.filter(F.col("page_id") == F.col("rep")), similarity))
-    wanted = pairs.select(F.col("a").alias("page_id")).union(pairs.select("b")).distinct()
-    model, notices = line_model(), notice_models()
+    members = cut(docs.join(classes, ["set_id", "n_triples"]).select("page_id", "rep", "set_id", "sig"))
+    reps = members.filter(F.col("page_id") == F.col("rep"))
+    pairs = cut(candidate_pairs(reps, similarity))
+    wanted = pairs.select(F.col("a").alias("page_id")).union(pairs.select("b")).distinct().join(reps.select("page_id", "set_id"), "page_id")
+    models = _models()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, triples = {}, Triples()
         for batch in slices(batches):
-            ids, texts = _records(batch, model, notices, memo)
+            rows, texts = _records(batch, models, memo)
             lens, t = triples.of(texts)
             ends = np.cumsum(lens).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t[e - n : e].tobytes() for e, n in zip(ends, lens.tolist(), strict=True)], pa.binary())], names=["page_id", "t"])
+            chosen = batch.column(3).to_pylist()
+            same = [k for k, (r, i) in enumerate(zip(rows, _set_ids(lens, t), strict=True)) if chosen[r] == i]  # the version of a repeated id that was signed
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([rows[k] for k in same], pa.int64())), pa.array([t[ends[k] - lens[k] : ends[k]].tobytes() for k in same], pa.binary())], names=["page_id", "t"])
 
-    texts = pages.select("page_id", "title", "relevant_content").join(wanted, "page_id", "left_semi").dropDuplicates(["page_id"])
-    triples = texts.mapInArrow(sets, "page_id bigint, t binary")
+    texts = pages.select("page_id", "title", "relevant_content").join(wanted, "page_id").select("page_id", "title", "relevant_content", "set_id")
+    triples = cut(texts.mapInArrow(sets, "page_id bigint, t binary").dropDuplicates(["page_id"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
@@ -220,6 +233,13 @@ def near_duplicates(pages: DataFrame, similarity: float = 0.6) -> tuple[DataFram
     return both.mapInArrow(verify, "a bigint, b bigint, similarity double").filter(F.col("similarity") >= similarity), members.select("page_id", "rep")
 
 
+def p5_links(spark, sf_dir: str) -> DataFrame:
+    """Every page that takes part with its class (pages of equal triples) and that class's number of links to others."""
+    pairs, members = near_duplicates(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(ends, "rep", "left").select("page_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def p5_found(spark, sf_dir: str) -> DataFrame:
     """Pairs of pages that share at least 60 % of the distinct word triples found in either."""
     pairs, members = near_duplicates(spark.read.parquet(f"{sf_dir}/pages.parquet"))

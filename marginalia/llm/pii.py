@@ -14,192 +14,255 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pii_training as T
-from .boilerplate import slices
+from .boilerplate import line_model, slices
 from .learn import BoostedTrees, isotonic
+from .spam import FUNCTION
 
 TYPES = ("email", "phone", "id_number", "address", "name")
+#: Words rarer than one in ``2 ** RAREST`` records count alike; records added to any table when shares are computed.
+RAREST, PRIOR = 12, 500
+#: Generators that give a type of another name.
+_TYPE = {"pair": "name"}
 #: Labelled training texts (the last third of them calibrates).
 TRAINING_TEXTS = 9000
 
-# Words before or after which a person's name is likely (recall only; the trees decide).
-BEFORE_NAME = [
-    "my name is ", "i am ", "regards, ", "my brother ", "my sister ", "this is ", "my file: ", "write to ", "held by ", "contact ", "the winner, ", "letters go to ", "signed: ", "person: ", "je m'appelle ", "je suis ", "cordialement, ", "ma sœur ", "mon frère ", "c'est encore ", "ici ", "corriger : ",
-    "écrivez à ", "trouvent chez ", "lauréate est ", "lauréat est ", "courrier va à ", "ich heiße ", "ich bin ", "grüßen, ", "mein bruder ", "meine schwester ", "noch einmal ", "hier ", "ändern: ", "schreiben sie an ", "liegen bei ", "hilft ", "gewonnen hat ", "post geht an ", "me llamo ", "soy ", "un saludo, ",
-    "mi hermana ", "mi hermano ", "otra vez ", "aquí ", "mis datos: ", "escriban a ", "escriba a ", "las guarda ", "ganadora es ", "ganador es ", "correo va a ", "اسمي ", "أنا ", "التحية، ", "أخي ", "أختي ", "معكم ", "بياناتي: ", "راسلوا ", "لدى ", "هو ", "الرسائل إلى ", "يجيب ",
-    *[t.lower() for ts in T.TITLES.values() for t in ts],
-]
-AFTER_NAME = [" here, tel", " answers calls", " répond au", " ist unter", " atiende en", " needs a room", " cherche aussi", " sucht ein", " también busca", " يبحث أيضا"]
-STREET = ["lane", "road", "rd", "street", "st", "avenue", "ave", "close", "drive", "rue", "impasse", "boulevard", "place", "chemin", "allée", "straße", "strasse", "weg", "allee", "str.", "gasse", "platz", "calle", "c/", "avda.", "avenida", "plaza", "paseo", "شارع"]
-_NAME = re.compile(r"(?:[^\W\d_]\.|[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*)(?: [^\W\d_]\.)? [^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)*")
-_NAME_END = re.compile(r"((?:[^\W\d_]\.|[^\W\d_][\w'’-]+)(?: [^\W\d_]\.)? [^\W\d_][\w'’-]+)$")
-_TITLE = re.compile("(?:" + "|".join(sorted({re.escape(t) for ts in T.TITLES.values() for t in ts}, key=len, reverse=True)) + ")+")
+#: Share of the training names that the gate on pairs without capitals lets through.
+GATE = 0.995
+# Small words within names and within addresses.
+PARTICLES = frozenset(["de", "da", "do", "dos", "del", "della", "di", "du", "des", "la", "le", "van", "von", "vom", "zu", "der", "den", "ter", "bin", "bint", "ibn", "al", "el", "y", "e", "af", "ben"])
+STREET_PARTICLES = PARTICLES | frozenset(["les", "of", "the", "las", "los", *(k.lower() for k in T.STREETS["fr"])])
+# Determiners and pointing words that never begin a name.
+NO_NAME = frozenset(["here", "there", "these", "those", "dear", "hello", "hi", "ici", "voici", "notre", "votre", "nos", "vos", "mon", "ma", "mes", "hier", "dort", "unser", "unsere", "mein", "meine", "ihr", "ihrem", "ihren", "ihrer", "sein", "seine", "kein", "keine", "jede", "jeder", "jedes", "aquí", "allí", "nuestro", "nuestra", "este", "esta", "estos", "cada", "chaque"])
+_TITLE_WORDS = frozenset(t.strip().rstrip(".").lower() for ts in T.TITLES.values() for t in ts)
+_TOKEN = re.compile(r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*")
 _NUMBER = re.compile(r"\d(?:[\d ().\-/]{3,}\d)")
 _ATS = [
     re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
     re.compile(r"[\w.+%-]+\s?[\[(]at[\])]\s?[\w-]+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[\w-]+)+", re.I),
     re.compile(r"[\w.+%-]+\sat\s[\w-]+(?:\.[\w-]+)*(?:\sdot\s[\w-]+)+", re.I),
 ]
-_AT_SIGN = re.compile(r"@|[\[(]at[\])]| at .{1,40} dot ", re.I)
-_EN = re.compile(r"\d+[a-z]?,? (?:[^\W\d_][\w'’-]+ ){1,3}$")
-_FR = re.compile(r"\d+(?: ?(?:bis|ter))?,? $")
+_AT_SIGN = re.compile(r"@|[\[(]at[\])]| at [^\n]*? dot ", re.I)
+_SENTENCE_END = re.compile(r"[.!?؟]\s|\n")
+_HOUSE = re.compile(r"(?<![\d.,:/+(\-–])\d{1,4}[a-z]?(?![\w:/–]|[.,-]\d)")
+_AFTER_HOUSE = re.compile(r"(?:[ ,]+(?:bis|ter)\b)?,? ")
+_BEFORE_HOUSE = re.compile(r"(?:[^\W\d_][\w'’/-]*\.?/?[,،]? )+(?:n\.? ?º ?|nº ?|núm\. ?|no\. ?|nr\. ?)?$", re.I)
+_ADDRESS_WORD = re.compile(r"[^\W\d_][\w'’/-]*\.?/?")
+_DATE = re.compile(r"\d{1,2}([./-])\d{1,2}\1\d{2,4}|\d{4}([./-])\d{1,2}\2\d{1,2}")
+_CAPITALS = re.compile(r"[^a-zß-öø-ÿ\n]*(?:\n|$)")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 _WORDS = re.compile(r"\w+|[^\w\s]")
-_AFTER_STREET = {
-    "es": re.compile(r" (?:de )?[^\W\d_][\w'’-]+,? (?:n\.? ?º ?|núm\. ?)?\d+"),
-    "ar": re.compile(r" \S+(?:،? ?(?:مبنى|رقم))? \d+"),
-}
-_DE_HEAD = re.compile(r"[^\W\d_][\w'’]*-?$")
-
-
-def _low(text: str) -> str:
-    """Lower case of the same length."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-@lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    words: dict[str, set] = defaultdict(set)
-    for names in T.GIVEN.values():
-        for g in names:
-            words[g.lower()].add("given")
-    for kind, table in (("before", BEFORE_NAME), ("after", AFTER_NAME), ("street", STREET)):
-        for w in table:
-            words[w].add(kind)
-    for w, kinds in words.items():
-        a.add_word(w, (len(w), tuple(sorted(kinds))))
-    a.make_automaton()
-    return a
 
 
-_GIVEN = {g.lower() for names in T.GIVEN.values() for g in names}
+def _arabic(word: str) -> bool:
+    return "\u0621" <= word[0] <= "\u06ff"
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Proposed (generator, start, end) spans; spans may overlap. Generators: email, number, address, name."""
+    """Proposed (generator, start, end) spans; spans may overlap. Generators: email, number, address, name, pair.
+
+    Names are proposed by form alone: every run of two or three capitalised words or initials (small words within),
+    and, where letter case says nothing (Arabic, sentences without a capital), every pair of neighbouring words that are
+    no function words ("pair"; a learned gate thins these out). Addresses: every small number with the words beside it.
+    """
     found: set[tuple[str, int, int]] = set()
-    low = _low(text)
+    low = text.lower()
     if _AT_SIGN.search(low):
         for rule in _ATS:
             for m in rule.finditer(text):
                 found.add(("email", m.start(), m.end()))
     for m in _NUMBER.finditer(text):
-        a, b = m.span()
-        if sum(c.isdigit() for c in m.group()) < 6:
-            continue
-        while a and text[a - 1] in "+(":
-            a -= 1
-        if b < len(text) and text[b].isupper() and (b + 1 == len(text) or not text[b + 1].isalnum()):
-            b += 1
-        elif text[b : b + 1] == " " and text[b + 1 : b + 2].isupper() and not text[b + 2 : b + 3].isalnum():
-            b += 2
-        found.add(("number", a, b))
-        p = a
-        if p and text[p - 1] in " -" and p > 1 and text[p - 2].isupper():
-            p -= 1
-        while p and "A" <= text[p - 1] <= "Z" and a - p < 4:
-            p -= 1
-        if p < a and (not p or not text[p - 1].isalnum()) and text[p].isupper():
-            found.add(("number", p, b))
-    for end, (size, kinds) in _automaton().iter(low):
-        start, end = end - size + 1, end + 1
-        for kind in kinds:
-            if kind == "street":
-                _address(text, low, start, end, found)
-                continue
-            if kind == "given":
-                if start and (text[start - 1].isalnum() or text[start - 1] in "_@"):
-                    continue
-                if end < len(text) and (text[end].isalnum() or text[end] in "_@"):
-                    continue
-                m = _NAME.match(text, start)
-            elif kind == "before":
-                if start and text[start - 1].isalnum():
-                    continue
-                t = _TITLE.match(text, end)
-                if t and (m := _NAME.match(text, t.end())):
-                    found.add(("name", m.start(), m.end()))
-                m = _NAME.match(text, end)
-            else:
-                m = _NAME_END.search(text[max(0, start - 60) : start])
-                if m:
-                    off = max(0, start - 60)
-                    found.add(("name", off + m.start(), off + m.end()))
-                continue
-            if m:
-                found.add(("name", m.start(), m.end()))
+        _numbers(text, *m.span(), found)
+    for m in _HOUSE.finditer(text):
+        _addresses(text, m.start(), m.end(), found)
+    _names(text, found)
     return sorted(found)
 
 
-def _address(text: str, low: str, start: int, end: int, found: set) -> None:
-    """Proposals around a street word at ``start``: number before (English, French, Arabic) or after (the others)."""
-    tail = text[end : end + 60]
-    word = low[start:end]
-    left_open = not start or not text[start - 1].isalnum()
-    right_open = end >= len(text) or not text[end].isalnum()
-    if left_open and right_open:
-        left = text[max(0, start - 70) : start]
-        if m := _EN.search(left):
-            found.add(("address", start - len(left) + m.start(), end))
-        if m := _FR.search(left):
-            t = re.match(r"(?: de| du| des| d')? ?[^\W\d_][\w'’-]+", tail)
-            found.add(("address", start - len(left) + m.start(), end + (t.end() if t else 0)))
-        for rule in _AFTER_STREET.values():
-            if m := rule.match(tail):
-                found.add(("address", start, end + m.end()))
-    if right_open and word in ("straße", "strasse", "weg", "allee", "str.", "gasse", "platz") or word == "str.":
-        m = re.match(r" \d+ ?[a-z]?\b", tail)
-        left = text[max(0, start - 50) : start]
-        h = _DE_HEAD.search(left)
-        if m and h and h.group():
-            found.add(("address", start - len(left) + h.start(), end + m.end()))
+def _numbers(text: str, a: int, b: int, found: set) -> None:
+    """A run of digits with what may belong to it: a leading sign, letters before or after."""
+    if sum(c.isdigit() for c in text[a:b]) < 6:
+        return
+    while a and text[a - 1] in "+(":
+        a -= 1
+    if b < len(text) and text[b].isupper() and (b + 1 == len(text) or not text[b + 1].isalnum()):
+        b += 1
+    elif text[b : b + 1] == " " and text[b + 1 : b + 2].isupper() and not text[b + 2 : b + 3].isalnum():
+        b += 2
+    found.add(("number", a, b))
+    p = a
+    if p and text[p - 1] in " -/" and p > 1 and text[p - 2].isupper():
+        p -= 1
+    while p and "A" <= text[p - 1] <= "Z" and a - p < 5:
+        p -= 1
+    if p < a and (not p or not text[p - 1].isalnum()) and text[p].isupper():
+        found.add(("number", p, b))
+
+
+def _addresses(text: str, a: int, b: int, found: set) -> None:
+    """A house number with the words after it, or with one to four words before it."""
+    end, named, n, m = b, False, 0, _AFTER_HOUSE.match(text, b)
+    at = m.end() if m else -1
+    while at >= 0 and (m := _ADDRESS_WORD.match(text, at)):
+        word = m.group()
+        proper = word[0].isupper() or _arabic(word)
+        if not proper and word.lower() not in STREET_PARTICLES or n == 5 or n == 3 and _arabic(word):
+            break
+        named |= proper
+        end, n = m.end(), n + 1
+        at = end + 1 if text[end : end + 1] == " " else -1
+    if named:
+        found.add(("address", a, end))
+    line = text.rfind("\n", 0, a) + 1
+    m = _BEFORE_HOUSE.search(text, max(line, a - 90), a)
+    words = list(_ADDRESS_WORD.finditer(text, m.start(), a)) if m else []
+    for w in words[-5:]:
+        word = w.group()
+        if word[0].isupper() or _arabic(word) or "/" in word:
+            found.add(("address", w.start(), b))
+
+
+def _names(text: str, found: set) -> None:
+    tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    breaks = [m.end() for m in _SENTENCE_END.finditer(text)] + [len(text) + 1]
+    sentence, plain_until, n = 0, -1, len(tokens)
+    for i, (word, a, b) in enumerate(tokens):
+        while a >= breaks[sentence]:
+            sentence += 1
+        if word[0].isupper():
+            initial = len(word) == 1
+            if initial and text[b : b + 1] != "." or not initial and (word.lower() in FUNCTION or word.lower() in NO_NAME or word.lower() in _TITLE_WORDS):
+                continue
+            at, parts, j = b + initial, 1, i + 1
+            while j < n and parts < 3 and text[at : at + 1] == " " and tokens[j][1] == at + 1:
+                other, _, end = tokens[j]
+                short = len(other) == 1
+                if other[0].isupper() and (not short or text[end : end + 1] == "."):
+                    parts += 1
+                    at = end + short
+                    if not short:
+                        found.add(("name", a, end))
+                elif other in PARTICLES:
+                    at = end
+                else:
+                    break
+                j += 1
+        elif i + 1 < n and len(word) > 1:
+            other, c, end = tokens[i + 1]
+            if c != b + 1 or text[b] != " " or len(other) < 3 or word == other or word.lower() in FUNCTION or other.lower() in FUNCTION:
+                continue
+            if _arabic(word) and _arabic(other):
+                found.add(("pair", a, end))
+            elif len(word) > 2 and not other[0].isupper():
+                if plain_until != sentence and any(c.isupper() for c in text[(breaks[sentence - 1] if sentence else 0) : breaks[sentence]]):
+                    continue
+                plain_until = sentence
+                found.add(("pair", a, end))
 
 
 def _mask(s: str) -> str:
     return "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s)
 
 
+def level(count: float, rows: int) -> float:
+    """How rare a word is that stands in ``count`` of ``rows`` records: the negated binary logarithm of its share.
+
+    One record proves nothing, and ``PRIOR`` records are added, so that in a small table every word is rare.
+    """
+    return float(min(RAREST, -np.log2(max(count - 1, 1e-9) / (rows + PRIOR))))
+
+
+def rarity(word: str, levels: dict[str, float]) -> float:
+    """Level of the most frequent run of letters of a word."""
+    known = levels.get(word)
+    return known if known is not None else min((levels.get(w, RAREST) for w in _LETTERS.findall(word)), default=RAREST)
+
+
+def word_levels(texts: DataFrame) -> dict[str, float]:
+    """Levels below ``RAREST`` of the words of all texts (one string column).
+
+    Counted over all rows with partial aggregates. A word qualifies by its share of the rows, so the result holds at
+    most ``2 ** RAREST`` times the mean number of distinct words of a record, whatever the number of rows.
+    """
+    only = texts.toDF("t").filter(F.col("t").isNotNull())
+    rows = only.count()
+    words = only.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("w"))
+    often = words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") - 1 >= F.lit((rows + PRIOR) * 2.0**-RAREST))
+    return {r["w"]: level(r["n"], rows) for r in often.collect()}
+
+
 class PersonalDataModel:
-    """One calibrated tree ensemble and threshold for each type."""
+    """One calibrated tree ensemble and threshold for each type, and the gate on pairs without capitals."""
 
     def __init__(self) -> None:
         rnd = random.Random(11)
-        texts = [T.labelled_text(rnd) for _ in range(TRAINING_TEXTS)]
+        self.common = line_model().words
+        self.named = self.common | {w.lower() for table in (T.BODIES, T.BUILDINGS) for ws in table.values() for w in ws}
         cut = TRAINING_TEXTS * 2 // 3
         data = []
-        for i, (text, spans) in enumerate(texts):
+        for i in range(TRAINING_TEXTS):
+            text, spans = T.labelled_text(rnd, i % 2)
             truth = set(spans)
-            data += [(i >= cut, text, c, truth) for c in candidates(text)]
+            data += [(i >= cut, i % 2, text, c, truth) for c in candidates(text)]
+        counts = Counter(w for text in {t for _, _, t, _, _ in data} for w in set(_LETTERS.findall(text.lower())))
+        levels = {w: level(n, TRAINING_TEXTS) for w, n in counts.items()}
+        # evidence counted on one half of the sentences describes the other half, so the trees learn what unseen
+        # sentences look like; the final evidence is counted on both
+        names = [(h, t, c, ("name", c[1]) in truth) for held, h, t, c, truth in data if c[0] in ("name", "pair") and not held]
+        gates = [self._gate_odds([r[1:] for r in names if r[0] != h], levels) for h in (0, 1)]
+        self.gate = self._gate_odds([r[1:] for r in names], levels)
+        scores = [sum(gates[h].get(k, 0.0) for k in self._gate_keys(t, c, levels)) for h, t, c, label in names if label and c[0] == "pair"]
+        self.least = float(np.quantile(scores, 1 - GATE)) if scores else -99.0
         self.models = {}
-        for kind in TYPES:
-            rows = [(held, t, c, (kind, c[1]) in truth) for held, t, c, truth in data if c[0] == self._generator(kind)]
-            y = np.array([r[3] for r in rows], float)
+        for kind in (*TYPES, "pair"):
+            rows = [(held, h, t, c, (_TYPE.get(kind, kind), c[1]) in truth) for held, h, t, c, truth in data if self._generated(kind, c) and self._passes(t, c, gates[h], levels)]
+            y = np.array([r[4] for r in rows], float)
             held = np.array([r[0] for r in rows])
-            odds = self._context_odds([r for r in rows if not r[0]])
-            x = np.array([self._features(t, c, odds) for _, t, c, _ in rows], float)
-            trees = BoostedTrees(rounds=40, depth=4).fit(x[~held], y[~held])
+            halves = [self._context_odds([r[2:] for r in rows if not r[0] and r[1] != h]) for h in (0, 1)]
+            x = np.array([self._features(t, c, halves[h], levels) for _, h, t, c, _ in rows], float)
+            trees = BoostedTrees(rounds=60, depth=3, rate=0.15, min_child=10.0).fit(x[~held], y[~held])
             raw = trees.predict(x[held])
             scale = isotonic(raw, y[held])
             p = np.interp(raw, *scale)
             grid = np.linspace(0.1, 0.9, 33)
             f1 = [2 * (y[held] * (p >= g)).sum() / max(1.0, (p >= g).sum() + y[held].sum()) for g in grid]
             best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-            self.models[kind] = (odds, trees, scale, float(grid[best[len(best) // 2]]))
+            self.models[kind] = (self._context_odds([r[2:] for r in rows if not r[0]]), trees, scale, float(grid[best[len(best) // 2]]))
 
     @staticmethod
-    def _generator(kind: str) -> str:
-        return "number" if kind in ("phone", "id_number") else kind
+    def _generated(kind: str, candidate: tuple[str, int, int]) -> bool:
+        return candidate[0] in {"phone": ("number",), "id_number": ("number",), }.get(kind, (kind,))
+
+    def _gate_odds(self, rows: list[tuple[str, tuple, bool]], levels: dict[str, float]) -> dict:
+        """Log odds of beginnings and endings of a name's words and of the words beside it."""
+        counts: dict = defaultdict(lambda: [0.0, 0.0])
+        total = [1.0, 1.0]
+        for text, c, label in rows:
+            total[label] += 1
+            for key in self._gate_keys(text, c, levels):
+                counts[key][label] += 1
+        return {k: float(np.log((v[1] + 0.5) / (total[1] + 1)) - np.log((v[0] + 0.5) / (total[0] + 1))) for k, v in counts.items() if sum(v) >= 3}
+
+    def _gate_keys(self, text: str, candidate: tuple[str, int, int], levels: dict[str, float]) -> list[tuple[str, str]]:
+        _, a, b = candidate
+        first, _, last = text[a:b].lower().rpartition(" ")
+        before, after = text[max(0, a - 24) : a].rpartition("\n")[2].split(), text[b : b + 16].split(" ", 2)
+        left = before[-1].lower() if before else "^"
+        # no beginnings or endings of invented names: they would be learned and never recur
+        shape = f"{last[:2] == 'ال'}{last[-1:] in 'يةا'}{first[:2] == 'ال'}{first[:1] in 'ويتبن'}" if candidate[0] == "pair" else "cased"
+        return [("l", left), ("r", (after[0] or (after[1] if len(after) > 1 else "$")).lower()), ("k", f"{rarity(first, levels) // 2} {rarity(last, levels) // 2}"), ("h", shape)]
+
+    def _passes(self, text: str, candidate: tuple[str, int, int], gate: dict, levels: dict[str, float]) -> bool:
+        return candidate[0] != "pair" or sum(gate.get(k, 0.0) for k in self._gate_keys(text, candidate, levels)) >= self.least
 
     @staticmethod
     def _context(text: str, a: int, b: int) -> tuple[list[str], list[str], str]:
@@ -209,46 +272,59 @@ class PersonalDataModel:
         return [fold(w) for w in left], [fold(w) for w in right], _mask(text[a:b])
 
     def _context_odds(self, rows) -> dict:
-        """Log odds of each context word by side and of each format, with add-one smoothing toward no evidence."""
+        """Log odds of each context word by side, of words within and of each format, smoothed toward no evidence."""
         counts: dict = defaultdict(lambda: [0.0, 0.0])
         total = [1.0, 1.0]
-        for _, text, (_, a, b), label in rows:
+        for text, (kind, a, b), label in rows:
             left, right, mask = self._context(text, a, b)
             total[label] += 1
-            for key in {("f", mask), ("l1", *left[-1:]), *(("l", w) for w in left), ("l2", *left[-2:]), *(("r", w) for w in right), ("r1", *right[:1]), ("r2", *right[:2])}:
+            for key in {("f", mask), ("l1", *left[-1:]), *(("l", w) for w in left), ("l2", *left[-2:]), *(("r", w) for w in right), ("r1", *right[:1]), ("r2", *right[:2]), *self._inner(text[a:b], kind in ("name", "pair"))}:
                 counts[key][label] += 1
         return {k: float(np.log((v[1] + 0.5) / (total[1] + 1)) - np.log((v[0] + 0.5) / (total[0] + 1))) for k, v in counts.items() if sum(v) >= 3}
 
-    def _features(self, text: str, cand: tuple[str, int, int], odds: dict) -> list[float]:
-        _, a, b = cand
+    def _inner(self, span: str, name: bool) -> list[tuple[str, str]]:
+        """Words within a span; of a name only common ones, as its own words would be learned by heart."""
+        words = re.findall(r"[^\W\d_]+/?", span.lower())
+        if name:
+            return [("s", w) for w in words if w in self.named]
+        return [("s", w) for w in words] + [("x", w[-k:]) for w in words for k in (3, 4, 5, 6) if len(w) > k + 1] + [("0", w) for w in words[:1]]
+
+    def _features(self, text: str, cand: tuple[str, int, int], odds: dict, levels: dict[str, float]) -> list[float]:
+        kind, a, b = cand
         left, right, mask = self._context(text, a, b)
         get = odds.get
         ls, rs = [get(("l", w), 0.0) for w in left], [get(("r", w), 0.0) for w in right]
         span = text[a:b]
         parts = span.split(" ")
+        lows = [p.lower().strip(".,") for p in parts]
+        inner = [get(k, 0.0) for k in self._inner(span, kind in ("name", "pair"))]
+        groups = [len(g) for g in re.findall(r"\d+", span)]
+        before, after = text[max(0, a - 2) : a], text[b : b + 2]
         return [
             get(("f", mask), 0.0), get(("l1", *left[-1:]), 0.0), get(("l2", *left[-2:]), 0.0), get(("r1", *right[:1]), 0.0), get(("r2", *right[:2]), 0.0), sum(ls), sum(rs), max(ls, default=0.0), min(ls, default=0.0), max(rs, default=0.0), min(rs, default=0.0),
-            float(parts[0].lower() in _GIVEN), float(parts[0].endswith(".")), float(parts[0][:1].isupper()), float(parts[-1][:1].isupper()), float(parts[-1].startswith("ال")), float(len(parts)), float(sum(c.isdigit() for c in span)), float(span[0] in "+(" or span[:2] in ("00", "٠٠")),
-            float("@" in span), float(b - a), float(a == 0 or text[a - 1] == "\n"), float(text[b : b + 1] in ("", "\n", ".")), float(parts[-1].lower() in _GIVEN),
+            float(parts[0].endswith(".")), float(parts[0][:1].isupper()), float(parts[-1][:1].isupper()), float(parts[-1].startswith("ال")), float(len(parts)), float(sum(groups)), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)), float(sum(c.isalpha() for c in span)),
+            float(span[0] == "+") + 2.0 * (span[0] == "(") + 3.0 * (span[:2] in ("00", "٠٠")) + 4.0 * (span[0] in "0٠" and span[1:2] not in ("0", "٠")), float("-" in span) + 2.0 * ("/" in span) + 4.0 * ("." in span), float("@" in span), float(b - a), float(a == 0 or text[a - 1] == "\n"), float(after[:1] in ("", "\n", ".")), float(after[:1] in (",", "(", "،", ")")),
+            sum(inner), max(inner, default=0.0), min(inner, default=0.0), rarity(lows[0], levels), rarity(lows[-1], levels), float(len(lows[-1])), float(_CAPITALS.match(text, text.rfind("\n", 0, a) + 1) is not None), float(before[-1:] == " " and before[:1].isupper()), float(after[:1] == " " and after[1:].isupper()), float(kind == "pair"),
+            float(_DATE.fullmatch(span) is not None), float(bool(left) and left[-1] in FUNCTION), float(bool(right) and right[0] in FUNCTION), float(span[0].isdigit()),
         ]
 
-    def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
-        """For each text its selected (type, start, end, probability) spans, without overlaps, in order."""
+    def spans(self, texts: list[str | None], levels: dict[str, float]) -> list[list[tuple[str, int, int, float]]]:
+        """For each text its selected (type, start, end, probability) spans, without overlaps, in order; ``levels`` of the corpus."""
         cands, owner = [], []
         for i, t in enumerate(texts):
             if t:
-                c = candidates(t)
+                c = [x for x in candidates(t) if self._passes(t, x, self.gate, levels)]
                 cands += c
                 owner += [i] * len(c)
         picked: list[list] = [[] for _ in texts]
         for kind, (odds, trees, scale, least) in self.models.items():
-            at = [j for j, c in enumerate(cands) if c[0] == self._generator(kind)]
+            at = [j for j, c in enumerate(cands) if self._generated(kind, c)]
             if not at:
                 continue
-            p = np.interp(trees.predict(np.array([self._features(texts[owner[j]], cands[j], odds) for j in at], float)), *scale)
+            p = np.interp(trees.predict(np.array([self._features(texts[owner[j]], cands[j], odds, levels) for j in at], float)), *scale)
             for j, q in zip(at, p.tolist(), strict=True):
                 if q >= least:
-                    picked[owner[j]].append((kind, cands[j][1], cands[j][2], q))
+                    picked[owner[j]].append((_TYPE.get(kind, kind), cands[j][1], cands[j][2], q))
         out = []
         for spans in picked:
             kept: list = []
@@ -265,13 +341,17 @@ def personal_data_model() -> PersonalDataModel:
     return PersonalDataModel()
 
 
-def find_personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(rec_id BIGINT, pii_type, start_pos INT from 1, length INT, probability) of every span; one narrow pass."""
+def find_personal_data(df: DataFrame, key: str, text: str, levels: dict[str, float] | None = None) -> DataFrame:
+    """(rec_id BIGINT, pii_type, start_pos INT from 1, length INT, probability) of every span.
+
+    One pass counts words over all rows (unless ``levels`` of a larger corpus are given), one narrow pass finds.
+    """
     model = personal_data_model()
+    levels = word_levels(df.select(text)) if levels is None else levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3000):
-            ids, spans = batch.column(0).to_pylist(), model.spans(batch.column(1).to_pylist())
+            ids, spans = batch.column(0).to_pylist(), model.spans(batch.column(1).to_pylist(), levels)
             rows = [(i, k, a + 1, b - a, p) for i, ss in zip(ids, spans, strict=True) for k, a, b, p in ss]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["rec_id", "pii_type", "start_pos", "length", "probability"])
@@ -279,15 +359,16 @@ def find_personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("rec_id"), F.col(text).alias("t")).mapInArrow(run, "rec_id bigint, pii_type string, start_pos int, length int, probability double")
 
 
-def redact(df: DataFrame, text: str, out: str = "redacted") -> DataFrame:
+def redact(df: DataFrame, text: str, out: str = "redacted", levels: dict[str, float] | None = None) -> DataFrame:
     """``df`` with column ``out``: the text with each span replaced by ``[EMAIL]``, ``[PHONE]``, ... ; null stays null."""
     model = personal_data_model()
+    levels = word_levels(df.select(text)) if levels is None else levels
 
     @F.pandas_udf("string")
     def run(s):
         texts = [None if v is None or v != v else v for v in s]
         done = []
-        for t, spans in zip(texts, model.spans(texts), strict=True):
+        for t, spans in zip(texts, model.spans(texts, levels), strict=True):
             for kind, a, b, _ in reversed(spans):
                 t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
             done.append(t)
@@ -296,10 +377,20 @@ def redact(df: DataFrame, text: str, out: str = "redacted") -> DataFrame:
     return df.withColumn(out, run(F.col(text)))
 
 
+def _parts(spark, sf_dir: str) -> tuple[list[tuple[str, str, str, DataFrame]], dict[str, float]]:
+    parts = [(t, k, c, spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t, k, c in (("user_messages", "message_id", "message"), ("pages", "page_id", "relevant_content"))]
+    return parts, word_levels(parts[0][3].select("message").unionByName(parts[1][3].select(F.col("relevant_content").alias("message"))))
+
+
 def p1_found(spark, sf_dir: str) -> DataFrame:
     """One row for each occurrence of personal data in messages and pages."""
-    parts = [("user_messages", "message_id", "message"), ("pages", "page_id", "relevant_content")]
-    found = [
-        find_personal_data(spark.read.parquet(f"{sf_dir}/{t}.parquet"), k, c).select(F.lit(t).alias("src"), "rec_id", "pii_type", "start_pos") for t, k, c in parts
-    ]
+    parts, levels = _parts(spark, sf_dir)
+    found = [find_personal_data(df, k, c, levels).select(F.lit(t).alias("src"), "rec_id", "pii_type", "start_pos") for t, k, c, df in parts]
     return found[0].unionByName(found[1]).distinct()
+
+
+def p1_redacted(spark, sf_dir: str) -> DataFrame:
+    """Messages and pages with placeholders for personal data: length and hash of every text."""
+    parts, levels = _parts(spark, sf_dir)
+    done = [redact(df.select(F.col(k).alias("rec_id"), F.col(c).alias("text")), "text", levels=levels).select(F.lit(t).alias("src"), "rec_id", F.length("redacted").alias("n_chars"), F.md5("redacted").alias("text_md5")) for t, k, c, df in parts]
+    return done[0].unionByName(done[1]).distinct()

@@ -1,9 +1,10 @@
 """Template residue and pages that hold an error or a notice instead of content.
 
-Detectors read title and main lines for unfilled placeholders and filler passages. A page of little information whose
-main lines look like notices is compared with its address: terms of the address slug and title that the body lacks speak
-for a wrong answer, and so do other addresses, on this host and on others, that answer with the same message. Wording,
-mismatch and duplication are added as log odds; duplication is a share with a bound, so it does not grow with the table.
+Detectors read title and main lines for unfilled placeholders and filler passages. A page all of whose main lines could
+be a notice is of low information: its address slug and title are compared with its body, and the addresses that answer
+with the same message are counted on its host and over all hosts. One logistic score, fitted on generated pages, joins
+wording, mismatch and duplication and decides every page of low information. Duplication is a share of the host's
+addresses with a bound, so the score behaves alike at every size.
 
 Edge cases: a null text has no main lines, so only its title can hit; blank pages and pages without main lines hit by
 title alone; a null address has no slug terms and counts as no mismatch; repeated rows count once per address.
@@ -24,17 +25,22 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import phrases
-from .boilerplate import _shape, _tokens, line_model, slices, split_main
-from .language import FILLER
+from .boilerplate import STEM, _shape, _tokens, line_chances, line_model, slices
 from .learn import fit_logistic
 
-#: A page of at most this many words in main lines is of little information.
-LITTLE = 40
-#: Log odds from which a page is a notice, and from which wording alone decides.
-LEAST, SURE = 0.0, 2.0
-#: Log odds that duplication adds at most; the share of a host's short pages at which it adds 1; addresses added to each
-#: host so that a few pages prove little. The bound leaves content-like wording (below -1) as content at any share.
-BOUND, NOTABLE, PRIOR = 4.0, 0.03, 30
+#: Wording odds from which a sentence is filler.
+SURE = 2.0
+#: Probability from which a line is surely main text.
+SURELY = 0.95
+#: Probability above which a line that reads like a notice may be main text.
+DOUBTFUL = 0.05
+#: Probability from which a page of low information is a notice.
+LEAST = 0.5
+#: Share of a host's addresses at which duplication counts 1, the addresses added to each host so that a few pages prove
+#: little, and the most that duplication counts.
+NOTABLE, PRIOR, BOUND = 0.003, 30, 6.0
+#: Generated pages on which the score is fitted.
+TRAINING_PAGES = 4000
 # Forms of unfilled placeholders.
 _PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|%[A-Z][A-Z_]{2,40}%|\[(?:YOUR|INSERT|ENTER|insert|your|enter|add)\b[^\[\]\n]{1,60}\]|\bTODO:|\{[a-z_]+(?:\.[a-z_]+)?\}"
@@ -47,101 +53,227 @@ _SINGLE = re.compile(r"([@#$%^])(?<!\w.)[A-Za-z]{2,}(?:[._][A-Za-z]{2,})+\1(?!\w
 _PAIRS = tuple(c * 2 for c in "@#$%^&*~|+=:_!")
 _TECHNICAL = re.compile(r"\s*(?:at [\w.$]+\([^)]*:\d+\)|(?:id )?[\[(#]?(?:id )?[0-9a-f]{6,16}[\])]?)\s*$")
 _WORD = re.compile(r"\w+")
+_TERM = re.compile(r"[^\W\d_]{4,}")
 _SENTENCE = re.compile(r"(?<=[.!?؟…])\s+")
 #: Lines and sentences whose log odds a model keeps for reuse; the memo is emptied when full.
 MEMO = 100_000
-_FILLER = set(FILLER)
+#: Weight from which a word (or its beginning) is telling of filler; log odds of a line without any known word.
+TELLING, NOTHING = 0.4, -12.0
+# The public filler passage, words that are no words of the five languages.
+_FILLER = frozenset((
+    "lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
+    "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum sed nunc donec vitae porta morbi justo ligula congue arcu nibh urna "
+    "pellentesque habitant tristique senectus netus malesuada fames turpis egestas vestibulum mauris cursus mattis feugiat vivamus tellus lacus semper auctor sapien faucibus ornare suspendisse interdum posuere "
+    "sollicitudin dictum blandit maecenas pharetra convallis aenean euismod elementum integer feugiat scelerisque varius phasellus faucibus purus viverra accumsan cras fermentum odio volutpat praesent ultricies leo integer "
+    "bibendum neque quam lectus pretium vulputate rhoncus diam risus hendrerit lobortis nec massa felis eget pulvinar metus vel ut ante orci ac augue eros ultrices at eu in et non tincidunt fringilla gravida"
+).split())
 
 
 class NoticeModel:
-    """Log odds, by words and shape, that a line is a notice or filler rather than content or furniture."""
+    """Log odds, by words, word beginnings and shape, that a line is a notice or filler rather than content or furniture."""
 
-    def __init__(self, positive: dict[str, list[str]]) -> None:
-        rnd = random.Random(23)
-        self.words = {w for ts in positive.values() for t in ts for w in _tokens(re.sub(r"\{\w+\}", " ", t))}
+    def __init__(self, positive: dict[str, list[str]], seed: int = 23) -> None:
+        rnd = random.Random(seed)
+        words = {w for ts in positive.values() for t in ts for w in _tokens(re.sub(r"\{\w+\}", " ", t))}
+        self.words = frozenset(w for w in words if w != "0")
+        self.stems = frozenset(w[:STEM] for w in words if len(w) > STEM)
         lines, labels = [], []
-        wanted = {t for ts in (*phrases.NOTICES.values(), *phrases.FILLERS.values()) for t in ts}
         for lang in phrases.MENU:
-            others = [t for t in phrases.MAIN[lang] + phrases.FURNITURE[lang] + phrases.TITLES[lang] if t not in wanted and not any(t[:24] == p[:24] for p in wanted) and "script" not in t.lower() and "/srv" not in t and "orem" not in t]
-            others += [t for t in phrases.MAIN[lang] if "explai" in t or "JavaScript shows" in t or "erklärt" in t or "explica" in t or "يوضح" in t]
             for _ in range(500):
-                lines.append(phrases.fill(rnd.choice(positive[lang]), lang, rnd))
+                some = rnd.choice(positive[lang])
+                lines.append(phrases.fill(some, lang, rnd))
                 labels.append(1)
-                lines.append(phrases.sentence(lang, rnd) if rnd.random() < 0.6 else phrases.fill(rnd.choice(others), lang, rnd))
+                r = rnd.random()
+                lines.append(phrases.fill(rnd.choice(phrases.TALK[lang]), lang, rnd) if r < 0.2 else phrases.sentence(lang, rnd) if r < 0.4 else phrases.sentence(lang, rnd)[:-1] + ", " + phrases.sentence(lang, rnd) if r < 0.6 else phrases.fill(rnd.choice(rnd.choice([phrases.HEADINGS, phrases.ENTRIES, phrases.SINGLES, phrases.FURNITURE, phrases.TITLES])[lang]), lang, rnd))
                 labels.append(0)
         index: dict[str, int] = {"bias": 0}
-        rows = [[index.setdefault(f, len(index)) for f in self._features(t)] for t in lines]
-        w = fit_logistic(rows, np.array(labels), len(index), epochs=200, l2=1e-4)
+        # half of the lines lose some of their words, so that beginnings and shape carry lines of other wording
+        rows, values = [], []
+        for i, t in enumerate(lines):
+            shape, said, scale = self._features(t, rnd if i % 4 < 2 else None)
+            rows.append([index.setdefault(f, len(index)) for f in (*shape, *said)])
+            values.append([1.0] * len(shape) + [scale] * len(said))
+        w = fit_logistic(rows, np.array(labels), len(index), epochs=200, l2=3e-4, values=values)
         self.weights = {f: float(w[i]) for f, i in index.items()}
+        self.telling_words = frozenset(f for f in self.words if self.weights.get(f, 0.0) > TELLING)
+        self.telling_stems = frozenset(f for f in self.stems if self.weights.get("p:" + f, 0.0) > TELLING)
         self.said: dict[str, float] = {}
 
+    def telling(self, words: set[str]) -> bool:
+        """Whether a text of these words holds one that speaks for the class; without any, no sentence of it counts."""
+        return not self.telling_words.isdisjoint(words) or not self.telling_stems.isdisjoint([w[:STEM] for w in words if len(w) > STEM])
+
     def __getstate__(self) -> dict:
         return {**self.__dict__, "said": {}}
 
-    def _features(self, line: str) -> set[str]:
-        out = {"bias", *(f for f in _shape(line) if f[0] != "b")}
-        known = [t if t == "0" or t in self.words else "_" for t in _tokens(line)]
-        share = known.count("_") / max(1, len(known))
-        out.add("u%d" % min(4, int(share * 5)))
-        out.update(t for t in known if t not in "_0")
-        out.update(f"{a} {b}" for a, b in zip(known, known[1:], strict=False) if "_" not in (a, b))
-        return out
+    def _features(self, line: str, drop: random.Random | None = None) -> tuple[list[str], list[str], float]:
+        """(shape features, word features, their scale). Words count less the more of them a line has."""
+        tokens = _tokens(line)
+        known = [t if t == "0" or t in self.words and not (drop and drop.random() < 0.5) else "_" for t in tokens]
+        shape = ["bias", *(f for f in _shape(line) if f[0] != "b")] if tokens else ["bias"]
+        shape.append("u%d" % min(4, int(5 * known.count("_") / max(1, len(known)))))
+        plain = [t for t in tokens if t != "0"]
+        shape.append("again%d" % min(3, (len(plain) - len(set(plain))) * 4 // max(1, len(plain))))
+        said = {t for t in known if t not in "_0"}
+        said.update("p:" + t[:STEM] for t in tokens if len(t) > STEM and t[:STEM] in self.stems)
+        said.update(f"{a} {b}" for a, b in zip(known, known[1:], strict=False) if "_" not in (a, b))
+        return shape, list(said), 1.0 / max(1.0, len(tokens) / 8) ** 0.5
 
     def odds(self, line: str) -> float:
-        """Log odds; features never seen weigh nothing."""
+        """Log odds; a line without any known word or beginning is none, whatever its shape."""
         known = self.said.get(line)
         if known is None:
             if len(self.said) >= MEMO:
                 self.said.clear()
-            known = self.said[line] = sum(self.weights.get(f, 0.0) for f in self._features(line))
+            tokens = set(_tokens(line))
+            if tokens.isdisjoint(self.words) and self.stems.isdisjoint([t[:STEM] for t in tokens]):
+                known = NOTHING
+            else:
+                shape, said, scale = self._features(line)
+                get = self.weights.get
+                known = sum(get(f, 0.0) for f in shape) + scale * sum(get(f, 0.0) for f in said)
+            self.said[line] = known
         return known
 
 
+def mismatch(url: str | None, title: str | None, body: list[str]) -> tuple[bool, bool, bool, bool]:
+    """(slug has terms, slug terms in body, title terms in body, title terms in slug)."""
+    slug = set(_TERM.findall((url or "").rpartition("/")[2].lower()))
+    head = set(_TERM.findall((title or "").lower()))
+    words = {w for l in body for w in _TERM.findall(l.lower())}
+    return bool(slug), bool(slug & words), bool(head & words), bool(head & slug)
+
+
+class PageScore:
+    """Probability that a page of low information is a notice, from wording, length, mismatch and duplication."""
+
+    def __init__(self) -> None:
+        rnd = random.Random(41)
+        # each half of the notices is judged by a model that never saw it, as on the web
+        parts = [{k: v[i::2] for k, v in phrases.NOTICES.items()} for i in (0, 1)]
+        judges = [NoticeModel(parts[1]), NoticeModel(parts[0])]
+        x, y = [], []
+        for _ in range(TRAINING_PAGES):
+            lang = rnd.choice(list(phrases.MENU))
+            label, half = rnd.random() < 0.5, rnd.randint(0, 1)
+            name = phrases.fill("{N}", lang, rnd)
+            title = phrases.fill(rnd.choice(phrases.TITLES[lang]).replace("{N}", name), lang, rnd)
+            slug = "" if rnd.random() < 0.1 else f"https://h/{name.lower()}-{rnd.randint(1, 999)}"
+            if label:
+                lines = [phrases.fill(rnd.choice(parts[half][lang]), lang, rnd) for _ in range(rnd.choice([1, 1, 1, 2]))]
+                title = rnd.choice(phrases.FAILED[lang] + [lines[0][:30]]) if rnd.random() < 0.5 else title
+                share = rnd.uniform(0.0, 0.05) if rnd.random() < 0.8 else 0.0
+            else:
+                lines = [phrases.main_line(lang, rnd) if rnd.random() < 0.7 else phrases.fill(rnd.choice(phrases.HEADINGS[lang] + phrases.ENTRIES[lang]), lang, rnd) for _ in range(rnd.choice([1, 1, 2, 3, 5, 8]))]
+                if rnd.random() < 0.6:
+                    lines[0] = phrases.fill(rnd.choice(phrases.HEADINGS[lang]).replace("{N}", name), lang, rnd)
+                if rnd.random() < 0.3:  # addresses and titles that say nothing of the text are common
+                    slug, title = f"https://h/{phrases.fill('{N}', lang, rnd).lower()}-1", rnd.choice([title, "", phrases.fill(rnd.choice(phrases.TITLES[lang]), lang, rnd)])
+                share = 0.0 if rnd.random() < 0.85 else rnd.uniform(0.0, 0.35)  # now and then a hot group of copies
+            odds = [judges[half].odds(l) for l in lines]
+            x.append(self.features(sum(odds) / len(odds), sum(l.count(" ") + 1 for l in lines), mismatch(slug, title, lines), share))
+            y.append(label)
+        x, y = np.array(x), np.array(y, float)
+        w = np.zeros(x.shape[1])
+        for _ in range(60):  # Newton's method with a small ridge
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(len(w)), x.T @ (y - q) - 0.5 * w)
+        self.weights = w
+        #: The most that slug, title and duplication can give.
+        self.most = max(float(self.features(0.0, 0, m, s)[4:] @ w[4:]) for m in np.ndindex(2, 2, 2, 2) for s in (0.0, 1.0))
+
+    def hopeless(self, words: int) -> bool:
+        """Whether a body of so many words needs a notice's wording, as no other evidence can make it one."""
+        return bool(self.weights[0] + self.weights[3] * np.log2(1 + words) + self.most < 0)
+
+    @staticmethod
+    def features(odds: float, words: int, terms: tuple[bool, bool, bool, bool], share: float) -> np.ndarray:
+        """Bias, wording for and against, length, slug and title against body, duplication."""
+        slug, in_body, titled, alike = (float(t) for t in terms)
+        return np.array([1.0, min(max(odds, 0.0), 8.0), max(min(odds, 0.0), NOTHING), np.log2(1 + words), slug * in_body, slug * (1 - in_body), alike * titled, slug * (1 - alike), min(np.log2(1 + share / NOTABLE), BOUND)])
+
+    def chances(self, odds: list[float], words: list[int], terms: list[tuple[bool, bool, bool, bool]], shares: list[float]) -> np.ndarray:
+        """Probability of each page."""
+        x = np.array([self.features(*row) for row in zip(odds, words, terms, shares, strict=True)])
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+
+
 @lru_cache(maxsize=1)
 def notice_models() -> tuple[NoticeModel, NoticeModel]:
     """(notices, filler), fitted once in a process."""
     return NoticeModel(phrases.NOTICES), NoticeModel(phrases.FILLERS)
 
 
+@lru_cache(maxsize=1)
+def page_score() -> PageScore:
+    """The joined score, fitted once in a process."""
+    return PageScore()
+
+
 def filler(lines: list[str], model: NoticeModel) -> bool:
     """Whether the lines hold a passage of scrambled Latin or of layout filler."""
     for line in lines:
-        run = 0
-        for w in _WORD.findall(line.lower()):
-            run = run + 1 if w in _FILLER else 0
-            if run >= 5:
-                return True
-        parts = [p for p in _SENTENCE.split(line) if _tokens(p)]
-        odds = [model.odds(p) for p in parts]
+        words = _WORD.findall(line.lower())
+        seen = set(words)
+        if len(seen & _FILLER) >= 3:
+            run = 0
+            for w in words:
+                run = run + 1 if w in _FILLER else 0
+                if run >= 5:
+                    return True
+        if not model.telling(seen):
+            continue
+        parts = [(p, t) for p in _SENTENCE.split(line) if (t := set(_tokens(p)))]
+        odds = [model.odds(p) if model.telling(t) else NOTHING for p, t in parts]
+        parts = [p for p, _ in parts]
         if any(o > SURE and len(p) > 8 for p, o in zip(parts, odds, strict=True)):
             return True
-        # neighbours are scored together where one of them leans towards filler; whole lines up to the training lines' length
-        if any(max(odds[i : i + 2]) > 0 and model.odds(f"{parts[i]} {parts[i + 1]}") > SURE for i in range(len(parts) - 1)):
-            return True
-        if 8 < len(line) <= 200 and parts and model.odds(line) > SURE:
+        # neighbours are scored together where one of them leans towards filler
+        if any(max(odds[i : i + 2]) > -1 and model.odds(f"{parts[i]} {parts[i + 1]}") > SURE for i in range(len(parts) - 1)):
             return True
     return False
 
 
-def verdict(title: str | None, main: list[str], notices: NoticeModel, fillers: NoticeModel, said: dict[str, float] | None = None) -> tuple[str | None, float]:
-    """(reason, log odds) by title and main lines alone: placeholder, filler, notice (open until judged) or None."""
+def has_placeholder(text: str) -> bool:
+    """Whether a text holds an unfilled placeholder; the patterns run only where a sign they need is present."""
+    if any(c in text for c in "{%<[_") and _PLACEHOLDER.search(text) or "TODO:" in text and _PLACEHOLDER.search(text):
+        return True
+    return any(c in text for c in "@#$%^") and bool(_SINGLE.search(text)) or any(c in text for c in _PAIRS) and bool(_DOUBLED.search(text))
+
+
+def main_or_notice(lines: list[str], chances: np.ndarray, notices: NoticeModel) -> tuple[list[str], list[float]]:
+    """Main lines and how surely they are: those above a half, and doubtful ones whose wording is a notice's."""
+    main, sure = [], []
+    for l, c in zip(lines, chances.tolist(), strict=True):
+        if c <= 0.5 and c > DOUBTFUL and (odds := notices.odds(l)) > 1:
+            c = 1 - (1 - c) / (1 + np.exp(odds))
+        if c > 0.5:
+            main.append(l)
+            sure.append(c)
+    return main, sure
+
+
+def verdict(title: str | None, main: list[str], chances: list[float], notices: NoticeModel, fillers: NoticeModel, score: PageScore) -> tuple[str | None, float, int]:
+    """(reason, wording odds, words) by title and main lines: placeholder, filler, notice (open until scored) or None.
+
+    The wording odds are the mean over lines, each weighted by how surely it is main text. A page that needs a notice's
+    wording and has a sure main line without it is none.
+    """
     whole = "\n".join([title or "", *main])
-    if _PLACEHOLDER.search(whole) or _SINGLE.search(whole) or any(c in whole for c in _PAIRS) and _DOUBLED.search(whole):
-        return "placeholder", 9.0
-    body = [l for l in main if not _TECHNICAL.match(l)]
-    if filler([title or "", *body], fillers):
-        return "filler", 9.0
-    if not body or sum(len(_WORD.findall(l)) for l in body) > LITTLE:
-        return None, 0.0
-    said = {} if said is None else said
-    odds = []
-    for l in body:
-        if l not in said:
-            if len(said) > 100_000:
-                said.clear()
-            said[l] = notices.odds(l)
-        odds.append(said[l])
-    return "notice", min(odds)
+    if has_placeholder(whole):
+        return "placeholder", 9.0, 0
+    body = [(l, c) for l, c in zip(main, chances, strict=True) if not _TECHNICAL.match(l)]
+    if filler([title or "", *(l for l, _ in body)], fillers):
+        return "filler", 9.0, 0
+    words = sum(l.count(" ") + 1 for l, _ in body)
+    hopeless = score.hopeless(words)
+    total = weight = 0.0
+    for l, c in body:
+        odds = notices.odds(l)
+        if hopeless and c > SURELY and odds < 0:
+            return None, odds, words
+        total, weight = total + (c - 0.4) * odds, weight + (c - 0.4)
+    return ("notice", total / weight, words) if body else (None, 0.0, 0)
 
 
 def template_residue(pages: DataFrame) -> DataFrame:
@@ -152,47 +284,57 @@ def template_residue(pages: DataFrame) -> DataFrame:
     """
     lines_m = line_model()
     notices, fillers = notice_models()
+    score = page_score()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        said: dict[str, float] = {}
         for batch in slices(batches):
             ids, urls, titles, texts = (c.to_pylist() for c in batch.columns)
-            lines_of, flags_of = split_main(texts, lines_m, memo)
+            lines_of, chances_of = line_chances(texts, lines_m, memo)
             rows = []
-            for i, url, title, lines, flags in zip(ids, urls, titles, lines_of, flags_of, strict=True):
-                main = [l for l, f in zip(lines, flags.tolist(), strict=True) if f]
-                reason, odds = verdict(title, main, notices, fillers, said)
+            for i, url, title, lines, chances in zip(ids, urls, titles, lines_of, chances_of, strict=True):
+                main, sure = main_or_notice(lines, chances, notices)
+                reason, odds, words = verdict(title, main, sure, notices, fillers, score)
                 if reason in ("placeholder", "filler"):
-                    rows.append((i, reason, odds, None, None, None))
-                    continue
-                if reason is None:
-                    continue
-                body = [l for l in main if not _TECHNICAL.match(l)]
-                words = {w for l in body for w in _WORD.findall(l.lower())}
-                slug = {w for w in re.findall(r"[^\W\d_]{4,}", (url or "").rpartition("/")[2].lower())} | {w for w in re.findall(r"[^\W\d_]{5,}", (title or "").lower())}
-                overlap = bool(slug & words)
-                odds += -1.5 if overlap else 0.5 if slug else 0.0
-                message = "\n".join(re.sub(r"\d+", "0", l.strip().lower()) for l in body)
-                host = (url or "").partition("//")[2].partition("/")[0].lower()
-                rows.append((i, "notice", odds, xxhash.xxh64_intdigest(message) - (1 << 63), url, host))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["page_id", "reason", "score", "message", "url", "host"])
-
-    seen = pages.select("page_id", "url", "title", "relevant_content").mapInArrow(run, "page_id bigint, reason string, score double, message bigint, url string, host string")
-    seen = cut(seen)
-    decided = seen.filter((F.col("reason") != "notice") | (F.col("score") >= SURE))
-    open_ = seen.filter((F.col("reason") == "notice") & (F.col("score") < SURE) & (F.col("score") >= LEAST + 3.0 - BOUND))
-    # addresses that give a message, as a share of those with little information: on the host, or over all hosts
-    short = seen.filter(F.col("reason") == "notice")
-    here = short.groupBy("message", "host").agg(F.count_distinct("url").alias("n"))
-    sizes = here.groupBy("host").agg(F.sum("n").alias("size"))
-    total = sizes.agg(F.sum("size").alias("total"))
-    counts = here.join(sizes, "host").join(here.groupBy("message").agg(F.sum("n").alias("everywhere")), "message").crossJoin(F.broadcast(total))
+                    rows.append((i, reason, 1.0, None, None, None, None, None))
+                elif reason:
+                    body = [l for l in main if not _TECHNICAL.match(l)]
+                    message = "\n".join(re.sub(r"\d+", "0", l.strip().lower()) for l in body)
+                    rows.append((i, "notice", odds, words, [*mismatch(url, title, body)], xxhash.xxh64_intdigest(message) - (1 << 63), url, host_of(url)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.bool_()), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["page_id", "reason", "odds", "words", "terms", "message", "url", "host"])
+
+    seen = cut(pages.select("page_id", "url", "title", "relevant_content").mapInArrow(run, "page_id bigint, reason string, odds double, words int, terms array<boolean>, message bigint, url string, host string"))
+    decided = seen.filter(F.col("reason") != "notice").select("page_id", "reason", F.col("odds").alias("score"))
+    low = seen.filter(F.col("reason") == "notice")
+    # addresses that give a message, as a share of the host's addresses and of all addresses
+    here = low.groupBy("message", "host").agg(F.count_distinct("url").alias("n"))
+    everywhere = here.groupBy("message").agg(F.sum("n").alias("everywhere"))
+    sizes = pages.groupBy(host_column(F.col("url")).alias("host")).agg(F.approx_count_distinct("url", 0.02).alias("size"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     share = lambda n, of: F.greatest(n - 1, F.lit(0)) / (of + PRIOR)
-    counts = counts.select("message", "host", F.greatest(share(F.col("n"), F.col("size")), share(F.col("everywhere"), F.col("total"))).alias("share"))
-    judged = open_.join(counts, ["message", "host"]).withColumn("score", F.col("score") + F.least(F.log2(1 + F.col("share") / NOTABLE), F.lit(BOUND)) - 1.0)
-    return decided.unionByName(judged.filter(F.col("score") >= LEAST + 2.0).select(*decided.columns)).select("page_id", "reason", "score")
+    counts = here.join(everywhere, "message").join(sizes, "host", "left").crossJoin(F.broadcast(total))  # total is one row
+    counts = counts.select("message", "host", F.greatest(share(F.col("n"), F.coalesce("size", F.lit(0))), share(F.col("everywhere"), F.col("total"))).alias("share"))
+    both = low.join(counts, ["message", "host"], "left").select("page_id", "odds", "words", "terms", F.coalesce("share", F.lit(0.0)).alias("share"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, *evidence = batch.columns
+            chance = score.chances(*(c.to_pylist() for c in evidence)) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([ids, pa.array(["notice"] * batch.num_rows), pa.array(chance, pa.float64())], names=["page_id", "reason", "score"])
+
+    return decided.unionByName(both.mapInArrow(judge, "page_id bigint, reason string, score double").filter(F.col("score") >= LEAST))
+
+
+def host_of(url: str | None) -> str:
+    """Lower-case host of an address, empty for null."""
+    return (url or "").partition("//")[2].partition("/")[0].lower()
+
+
+def host_column(url):
+    """``host_of`` as a column."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^.*?//([^/]*)", 1))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import phrases
 from .boilerplate import slices
-from .language import QUESTIONS, forward_backward
+from .language import forward_backward
 
 STATES = ("prose", "record", "link", "tag", "menu")
 CONTENT = 2  # the first two states are content
@@ -42,18 +42,18 @@ FUNCTION = set(
 )
 # What such pages sell (for training texts only; the model sees no words).
 WARES = {
-    "en": ["homework service", "cheap essay help", "best tutor", "online degree", "student loan", "fast diploma", "buy thesis", "exam answers", "top college", "free grades"],
-    "fr": ["aide devoirs", "mémoire pas cher", "meilleur tuteur", "diplôme en ligne", "prêt étudiant", "acheter thèse", "réponses examen"],
-    "de": ["hausarbeit günstig", "ghostwriter hilfe", "bester tutor", "diplom online", "studienkredit", "doktorarbeit kaufen", "klausur lösungen"],
-    "es": ["ayuda deberes", "ensayo barato", "mejor tutor", "título en línea", "préstamo estudiante", "comprar tesis", "respuestas examen"],
-    "ar": ["حل الواجبات", "بحث رخيص", "أفضل مدرس", "شهادة عبر الإنترنت", "قرض طلابي", "شراء رسالة", "إجابات الامتحان"],
+    "en": ["running shoes", "discount watches", "free casino bonus", "cheap flights", "weight loss pills", "payday cash", "replica bags", "car insurance quote", "garden furniture", "phone repair", "hair dryer", "crypto signals"],
+    "fr": ["chaussures de course", "montres en promo", "bonus casino gratuit", "vols pas chers", "perte de poids", "assurance auto", "sacs de luxe", "meubles de jardin", "réparation mobile"],
+    "de": ["laufschuhe", "uhren rabatt", "gratis casino bonus", "billige flüge", "abnehmen pillen", "autoversicherung", "taschen replik", "gartenmöbel", "handy reparatur"],
+    "es": ["zapatillas deportivas", "relojes rebajados", "bono casino gratis", "vuelos baratos", "pastillas adelgazar", "seguro coche", "bolsos réplica", "muebles jardín", "reparar móvil"],
+    "ar": ["أحذية رياضية", "ساعات مخفضة", "رحلات رخيصة", "حبوب تنحيف", "تأمين سيارات", "حقائب مقلدة", "أثاث حدائق", "إصلاح هواتف", "قروض سريعة"],
 }
 _STUFFED = {
-    "en": ["Our {a} is the best {b} for {a}.", "{a}? {a} with {b}.", "Get {a} and {b} now, {b} today!", "{a} and {b} here!"],
-    "fr": ["Notre {a} est le {b} pour {a}.", "{a} ? {a} avec {b}.", "{a} et {b}, {b} ici !"],
-    "de": ["Unser {a} ist der {b} für {a}.", "{a}? {a} mit {b}.", "{a} und {b}, jetzt {b}!"],
-    "es": ["Nuestro {a} es el {b} para {a}.", "¿{a}? {a} con {b}.", "{a} y {b} ahora, {b} hoy!"],
-    "ar": ["{a} هو {b} من أجل {a}.", "{a}؟ {a} مع {b}.", "{a} و {b} الآن!"],
+    "en": ["We sell {a}, {a} and more {a}.", "Looking for {a}? Buy {a}, try {b}.", "{b} beats {a}, order {b}!", "Top {a}, top {b}.", "{a}: cheap {a} near you."],
+    "fr": ["Nous vendons {a}, {a} et encore {a}.", "Vous cherchez {a} ? Achetez {a}, essayez {b}.", "{b} bat {a}, commandez {b} !", "{a} : {a} près de chez vous."],
+    "de": ["Wir verkaufen {a}, {a} und noch mehr {a}.", "Sie suchen {a}? Kaufen Sie {a}, testen Sie {b}.", "{b} schlägt {a}, {b} bestellen!", "{a}: {a} in Ihrer Nähe."],
+    "es": ["Vendemos {a}, {a} y más {a}.", "¿Busca {a}? Compre {a}, pruebe {b}.", "¡{b} supera a {a}, pida {b}!", "{a}: {a} cerca de usted."],
+    "ar": ["نبيع {a} و{a} والمزيد من {a}.", "تبحث عن {a}؟ اشتر {a} وجرب {b}.", "{b} أفضل من {a}، اطلب {b}!", "{a}: {a} بالقرب منك."],
 }
 _SENTENCE = re.compile(r"(?<=[.!?؟])\s+(?!(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b)|\s+[|·]\s+|;\s+|\s+(?=https?://)")
 _URL = re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/\S+")
@@ -73,7 +73,7 @@ def chunks(text: str) -> list[str]:
             continue
         if "  " in line:
             line = " ".join(line.split())
-        for part in _SENTENCE.split(line) if len(line) > 40 else (line,):
+        for part in _SENTENCE.split(line):
             if part.count(" ") <= CHUNK + 6:
                 out.append(part)
             else:
@@ -147,14 +147,14 @@ def _labelled_text(rnd: random.Random) -> list[tuple[str, int]]:
             out.append((" ".join("#" + name() for _ in range(rnd.randint(2, 6))), 3))
         return out
     if kind < 0.33:
-        return [("\n".join(rnd.choice(QUESTIONS[lang]) + " " + phrases.sentence(lang, rnd)[:-1] + "?" if i % 2 else phrases.sentence(lang, rnd) for i in range(rnd.randint(2, 8))), 0)]
+        return [("\n".join(rnd.choice(phrases.QUESTIONS[lang]) + " " + phrases.sentence(lang, rnd)[:-1] + "?" if i % 2 else phrases.sentence(lang, rnd) for i in range(rnd.randint(2, 8))), 0)]
     if kind < 0.4:  # tales that repeat a few names
         cast = [name() for _ in range(4)]
-        tale = {"en": "The {0} archive was opened in {4} by the {1} circle, which moved {5} {2} scrolls to the {3} tower. When the {2} canal froze in {5}, the {0} pupils walked {4} miles to {1} and back to {3}.",
-                "fr": "Les archives {0} furent ouvertes en {4} par le cercle {1}, qui porta {5} rouleaux {2} dans la tour {3}. Quand le canal {2} gela en {5}, les élèves {0} firent {4} lieues jusqu'à {1} puis {3}.",
-                "de": "Das Archiv {0} wurde {4} vom Kreis {1} eröffnet, der {5} Rollen {2} in den Turm {3} brachte. Als der Kanal {2} im Jahr {5} gefror, gingen die Schüler {0} ganze {4} Meilen nach {1} und {3}.",
-                "es": "El archivo {0} fue abierto en {4} por el círculo {1}, que llevó {5} rollos {2} a la torre {3}. Cuando el canal {2} se heló en {5}, los alumnos {0} anduvieron {4} leguas hasta {1} y {3}.",
-                "ar": "افتتحت جماعة {1} أرشيف {0} عام {4} ونقلت {5} لفافة {2} إلى برج {3}. حين تجمدت قناة {2} عام {5} سار تلاميذ {0} مسافة {4} ميلا إلى {1} ثم {3}."}[lang]
+        tale = {"en": "In {4} the {0} brothers met {1} on the road and sold {3} the {2} farm for {5} coins. After {5} winters {1} came back with {0}, found {2} empty and asked {3} for bread.",
+                "fr": "En {4} les frères {0} croisèrent {1} sur la route et vendirent à {3} la ferme {2} pour {5} écus. Après {5} hivers {1} revint avec {0}, trouva {2} vide et demanda du pain à {3}.",
+                "de": "Im Jahr {4} trafen die Brüder {0} auf {1} und verkauften {3} den Hof {2} für {5} Taler. Nach {5} Wintern kam {1} mit {0} wieder, fand {2} leer und bat {3} um Brot.",
+                "es": "En {4} los hermanos {0} vieron a {1} en el camino y vendieron a {3} la granja {2} por {5} reales. Tras {5} inviernos {1} volvió con {0}, halló {2} vacía y pidió pan a {3}.",
+                "ar": "في عام {4} التقى الإخوة {0} مع {1} في الطريق وباعوا إلى {3} مزرعة {2} بثمن {5} درهم. بعد {5} شتاء عاد {1} مع {0} فوجد {2} خالية وطلب الخبز من {3}."}[lang]
         told = " ".join(tale.format(*cast, rnd.randint(50, 2000), rnd.randint(50, 2000)) for _ in range(rnd.choice([1, 1, 2])))
         if rnd.random() < 0.5:
             told = re.sub(r"(.{25,50}) ", r"\1\n", told)
@@ -162,7 +162,7 @@ def _labelled_text(rnd: random.Random) -> list[tuple[str, int]]:
             told = re.sub(r"[.,،]", "", told)
         return prose(rnd.randint(0, 2)) + [(rnd.choice(["", "Q: ", "> ", "### "]) + told, 0)] + prose(rnd.randint(0, 2))
     if kind < 0.5:  # timetables and course lists
-        rows = [phrases.fill(rnd.choice(["{time}  {C}  {main}", "{C}  {main}", "{C} – {F} {N}", "{main} ({C})"]).replace("{time}", f"{rnd.randint(8, 18):02}:{rnd.choice(['00', '15', '30'])}").replace("{main}", rnd.choice(phrases.MAIN[lang][4:8])), lang, rnd) for _ in range(rnd.randint(5, 25))]
+        rows = [phrases.fill(rnd.choice(["{time}  {C}  {main}", "{C}  {main}", "{C} – {F} {N}", "{main} ({C})"]).replace("{time}", f"{rnd.randint(8, 18):02}:{rnd.choice(['00', '15', '30'])}").replace("{main}", rnd.choice(phrases.ENTRIES[lang])), lang, rnd) for _ in range(rnd.randint(5, 25))]
         return [("\n".join(rows), 1)]
     if kind < 0.56:  # reading lists with sentences
         return [("\n".join(phrases.sentence(lang, rnd) + " " + url() for _ in range(rnd.randint(3, 15))), 0)]
