@@ -36,7 +36,7 @@ _TYPE = {"pair": "name"}
 #: Labelled training texts (the last third of them calibrates).
 TRAINING_TEXTS = 9000
 
-#: Share of the training names that the gate on pairs without capitals lets through.
+#: Share of the training names (addresses) that the gate on pairs of words (on house numbers) lets through.
 GATE = 0.995
 # Small words within names and within addresses.
 PARTICLES = frozenset(["de", "da", "do", "dos", "del", "della", "di", "du", "des", "la", "le", "van", "von", "vom", "zu", "der", "den", "ter", "bin", "bint", "ibn", "al", "el", "y", "e", "af", "ben"])
@@ -44,18 +44,23 @@ STREET_PARTICLES = PARTICLES | frozenset(["les", "of", "the", "las", "los", *(k.
 # Determiners and pointing words that never begin a name.
 NO_NAME = frozenset(["here", "there", "these", "those", "dear", "hello", "hi", "ici", "voici", "notre", "votre", "nos", "vos", "mon", "ma", "mes", "hier", "dort", "unser", "unsere", "mein", "meine", "ihr", "ihrem", "ihren", "ihrer", "sein", "seine", "kein", "keine", "jede", "jeder", "jedes", "aquí", "allí", "nuestro", "nuestra", "este", "esta", "estos", "cada", "chaque"])
 _TITLE_WORDS = frozenset(t.strip().rstrip(".").lower() for ts in T.TITLES.values() for t in ts)
-_TOKEN = re.compile(r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*")
+_UPPER = "".join(chr(c) for c in range(0x41, 0x590) if chr(c).isupper())
+_PART = rf"[{_UPPER}](?:\.|[\w'’]+(?:-[^\W\d_][\w'’]*)*)"
+_CAPITALISED = re.compile(rf"(?<![\w'’-]){_PART}(?: (?:(?:{'|'.join(sorted(PARTICLES))}) ){{0,3}}{_PART})+")
+_NAME_PART = re.compile(r"[^\W\d_](?:\.|[\w'’]*(?:-[^\W\d_][\w'’]*)*)")
+_ARABIC_LETTER = re.compile("[\u0621-\u06ff]")
+_ARABIC_RUN = re.compile("[\u0621-\u06ff]+(?: [\u0621-\u06ff]+)+")
+_LATIN_RUN = re.compile(r"[^\W\d_؀-ۿ]{2,}(?: [^\W\d_؀-ۿ]{2,})+")
 _NUMBER = re.compile(r"\d(?:[\d ().\-/]{3,}\d)")
 _ATS = [
     re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
     re.compile(r"[\w.+%-]+\s?[\[(]at[\])]\s?[\w-]+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[\w-]+)+", re.I),
     re.compile(r"[\w.+%-]+\sat\s[\w-]+(?:\.[\w-]+)*(?:\sdot\s[\w-]+)+", re.I),
 ]
-_AT_SIGN = re.compile(r"@|[\[(]at[\])]| at [^\n]*? dot ", re.I)
 _SENTENCE_END = re.compile(r"[.!?؟]\s|\n")
 _HOUSE = re.compile(r"(?<![\d.,:/+(\-–])\d{1,4}[a-z]?(?![\w:/–]|[.,-]\d)")
 _AFTER_HOUSE = re.compile(r"(?:[ ,]+(?:bis|ter)\b)?,? ")
-_BEFORE_HOUSE = re.compile(r"(?:[^\W\d_][\w'’/-]*\.?/?[,،]? )+(?:n\.? ?º ?|nº ?|núm\. ?|no\. ?|nr\. ?)?$", re.I)
+_NUMBER_SIGNS = frozenset(["n.º", "nº", "n.", "º", "núm.", "no.", "nr.", "رقم", "مبنى"])
 _ADDRESS_WORD = re.compile(r"[^\W\d_][\w'’/-]*\.?/?")
 _DATE = re.compile(r"\d{1,2}([./-])\d{1,2}\1\d{2,4}|\d{4}([./-])\d{1,2}\2\d{1,2}")
 _CAPITALS = re.compile(r"[^a-zß-öø-ÿ\n]*(?:\n|$)")
@@ -76,7 +81,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """
     found: set[tuple[str, int, int]] = set()
     low = text.lower()
-    if _AT_SIGN.search(low):
+    if "@" in low or "(at)" in low or "[at]" in low or " at " in low and " dot " in low:
         for rule in _ATS:
             for m in rule.finditer(text):
                 found.add(("email", m.start(), m.end()))
@@ -109,7 +114,7 @@ def _numbers(text: str, a: int, b: int, found: set) -> None:
 
 
 def _addresses(text: str, a: int, b: int, found: set) -> None:
-    """A house number with the words after it, or with one to four words before it."""
+    """A house number with the words after it, or with one to five words before it."""
     end, named, n, m = b, False, 0, _AFTER_HOUSE.match(text, b)
     at = m.end() if m else -1
     while at >= 0 and (m := _ADDRESS_WORD.match(text, at)):
@@ -122,51 +127,63 @@ def _addresses(text: str, a: int, b: int, found: set) -> None:
         at = end + 1 if text[end : end + 1] == " " else -1
     if named:
         found.add(("address", a, end))
-    line = text.rfind("\n", 0, a) + 1
-    m = _BEFORE_HOUSE.search(text, max(line, a - 90), a)
-    words = list(_ADDRESS_WORD.finditer(text, m.start(), a)) if m else []
-    for w in words[-5:]:
-        word = w.group()
-        if word[0].isupper() or _arabic(word) or "/" in word:
-            found.add(("address", w.start(), b))
+    words = text[text.rfind("\n", 0, a) + 1 : a].rsplit(" ", 8)
+    if words[-1]:
+        return
+    start, n = a, 0
+    for word in words[-2:0:-1] if len(words) > 8 else words[-2::-1]:
+        start -= len(word) + 1
+        bare = word.rstrip(",،")
+        if not bare or not bare[0].isalpha() or n == 5:
+            if bare.lower() in _NUMBER_SIGNS and not n:
+                continue
+            break
+        if bare.lower() in _NUMBER_SIGNS and not n:
+            continue
+        n += 1
+        if bare[0].isupper() or _arabic(bare) or "/" in bare:
+            found.add(("address", start, b))
 
 
 def _names(text: str, found: set) -> None:
-    tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    breaks = [m.end() for m in _SENTENCE_END.finditer(text)] + [len(text) + 1]
-    sentence, plain_until, n = 0, -1, len(tokens)
-    for i, (word, a, b) in enumerate(tokens):
-        while a >= breaks[sentence]:
-            sentence += 1
-        if word[0].isupper():
-            initial = len(word) == 1
-            if initial and text[b : b + 1] != "." or not initial and (word.lower() in FUNCTION or word.lower() in NO_NAME or word.lower() in _TITLE_WORDS):
-                continue
-            at, parts, j = b + initial, 1, i + 1
-            while j < n and parts < 3 and text[at : at + 1] == " " and tokens[j][1] == at + 1:
-                other, _, end = tokens[j]
-                short = len(other) == 1
-                if other[0].isupper() and (not short or text[end : end + 1] == "."):
-                    parts += 1
-                    at = end + short
-                    if not short:
-                        found.add(("name", a, end))
-                elif other in PARTICLES:
-                    at = end
-                else:
+    for m in _CAPITALISED.finditer(text):
+        _capitalised(text, m.start(), m.end(), found)
+    if _ARABIC_LETTER.search(text):
+        for m in _ARABIC_RUN.finditer(text):
+            _pairs(m.group(), m.start(), found)
+    at = 0
+    for m in _SENTENCE_END.finditer(text + "\n"):
+        part = text[at : m.start()]
+        if part and part == part.lower() and _LATIN_RUN.search(part):
+            for r in _LATIN_RUN.finditer(part):
+                _pairs(r.group(), at + r.start(), found)
+        at = m.end()
+
+
+def _capitalised(text: str, a: int, b: int, found: set) -> None:
+    """Spans of two or three capitalised words or initials within a run, small words between them included."""
+    parts = [(m.group(), m.start(), m.end()) for m in _NAME_PART.finditer(text, a, b)]
+    for i, (word, start, _) in enumerate(parts):
+        low = word.lower()
+        if not word[0].isupper() or low in FUNCTION or low in NO_NAME or low.rstrip(".") in _TITLE_WORDS:
+            continue
+        count = 1
+        for other, _, end in parts[i + 1 :]:
+            if other[0].isupper():
+                count += 1
+                if other[-1] != ".":
+                    found.add(("name", start, end))
+                if count == 3:
                     break
-                j += 1
-        elif i + 1 < n and len(word) > 1:
-            other, c, end = tokens[i + 1]
-            if c != b + 1 or text[b] != " " or len(other) < 3 or word == other or word.lower() in FUNCTION or other.lower() in FUNCTION:
-                continue
-            if _arabic(word) and _arabic(other):
-                found.add(("pair", a, end))
-            elif len(word) > 2 and not other[0].isupper():
-                if plain_until != sentence and any(c.isupper() for c in text[(breaks[sentence - 1] if sentence else 0) : breaks[sentence]]):
-                    continue
-                plain_until = sentence
-                found.add(("pair", a, end))
+
+
+def _pairs(run: str, at: int, found: set) -> None:
+    """Pairs of neighbouring words that are no function words."""
+    words = run.split(" ")
+    for first, second in zip(words, words[1:], strict=False):
+        if len(second) > 2 and len(first) > 1 and first != second and first not in FUNCTION and second not in FUNCTION:
+            found.add(("pair", at, at + len(first) + 1 + len(second)))
+        at += len(first) + 1
 
 
 def _mask(s: str) -> str:
@@ -220,8 +237,15 @@ class PersonalDataModel:
         names = [(h, t, c, ("name", c[1]) in truth) for held, h, t, c, truth in data if c[0] in ("name", "pair") and not held]
         gates = [self._gate_odds([r[1:] for r in names if r[0] != h], levels) for h in (0, 1)]
         self.gate = self._gate_odds([r[1:] for r in names], levels)
-        scores = [sum(gates[h].get(k, 0.0) for k in self._gate_keys(t, c, levels)) for h, t, c, label in names if label and c[0] == "pair"]
-        self.least = float(np.quantile(scores, 1 - GATE)) if scores else -99.0
+        self.least = {}
+        for kind in ("name", "pair"):
+            scores = [sum(gates[h].get(k, 0.0) for k in self._gate_keys(t, c, levels)) for h, t, c, label in names if label and c[0] == kind]
+            self.least[kind] = float(np.quantile(scores, 1 - GATE))
+        places = [(h, t, c, ("address", c[1]) in truth) for held, h, t, c, truth in data if c[0] == "address" and not held]
+        for gate, rows in zip((*gates, self.gate), ([r for r in places if r[0] != h] for h in (0, 1, 2)), strict=True):
+            gate |= self._street_odds([r[1:] for r in rows])
+        best = [max((gates[h].get(k, -9.0) for k in self._inner(t[c[1] : c[2]], False)), default=-9.0) for h, t, c, label in places if label]
+        self.least_street = float(np.quantile(best, 1 - GATE))
         self.models = {}
         for kind in (*TYPES, "pair"):
             rows = [(held, h, t, c, (_TYPE.get(kind, kind), c[1]) in truth) for held, h, t, c, truth in data if self._generated(kind, c) and self._passes(t, c, gates[h], levels)]
@@ -252,6 +276,16 @@ class PersonalDataModel:
                 counts[key][label] += 1
         return {k: float(np.log((v[1] + 0.5) / (total[1] + 1)) - np.log((v[0] + 0.5) / (total[0] + 1))) for k, v in counts.items() if sum(v) >= 3}
 
+    def _street_odds(self, rows: list[tuple[str, tuple, bool]]) -> dict:
+        """Log odds of words and endings within an address."""
+        counts: dict = defaultdict(lambda: [0.0, 0.0])
+        total = [1.0, 1.0]
+        for text, (_, a, b), label in rows:
+            total[label] += 1
+            for key in set(self._inner(text[a:b], False)):
+                counts[key][label] += 1
+        return {k: float(np.log((v[1] + 0.5) / (total[1] + 1)) - np.log((v[0] + 0.5) / (total[0] + 1))) for k, v in counts.items() if sum(v) >= 3}
+
     def _gate_keys(self, text: str, candidate: tuple[str, int, int], levels: dict[str, float]) -> list[tuple[str, str]]:
         _, a, b = candidate
         first, _, last = text[a:b].lower().rpartition(" ")
@@ -262,14 +296,18 @@ class PersonalDataModel:
         return [("l", left), ("r", (after[0] or (after[1] if len(after) > 1 else "$")).lower()), ("k", f"{rarity(first, levels) // 2} {rarity(last, levels) // 2}"), ("h", shape)]
 
     def _passes(self, text: str, candidate: tuple[str, int, int], gate: dict, levels: dict[str, float]) -> bool:
-        return candidate[0] != "pair" or sum(gate.get(k, 0.0) for k in self._gate_keys(text, candidate, levels)) >= self.least
+        if candidate[0] == "address":
+            return max((gate.get(k, -9.0) for k in self._inner(text[candidate[1] : candidate[2]], False)), default=-9.0) >= self.least_street
+        least = self.least.get(candidate[0])
+        return least is None or sum(gate.get(k, 0.0) for k in self._gate_keys(text, candidate, levels)) >= least
 
     @staticmethod
     def _context(text: str, a: int, b: int) -> tuple[list[str], list[str], str]:
         left = [w.lower() for w in _WORDS.findall(text[max(0, a - 42) : a].rpartition("\n")[2])][-4:]
         right = [w.lower() for w in _WORDS.findall(text[b : b + 28].partition("\n")[0])][:3]
         fold = lambda w: "0" if w[0].isdigit() else w
-        return [fold(w) for w in left], [fold(w) for w in right], _mask(text[a:b])
+        span = text[a:b]
+        return [fold(w) for w in left], [fold(w) for w in right], _mask(span) if any(c.isdigit() for c in span) else ""
 
     def _context_odds(self, rows) -> dict:
         """Log odds of each context word by side, of words within and of each format, smoothed toward no evidence."""
