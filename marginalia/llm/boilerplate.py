@@ -48,7 +48,7 @@ def _shape(line: str) -> list[str]:
     text = line.strip()
     n = text.count(" ") + 1
     out = ["n%d" % min(n, 4), "w%d" % (n >= 6), "w%d" % (2 + (n >= 10)), "w%d" % (4 + (n >= 18)), "w%d" % (6 + (n >= 30))]
-    out += ["m" + m + str(min(k, 2)) for m in _MARKS if (k := text.count(m))]
+    out += ["m" + m + str(min(text.count(m), 2)) for m in _MARKS if m in text]
     if b := _BULLET.match(line):
         out.append("b" + (b.group(1) or "1"))
     if text[-1] in ".?!؟":
@@ -148,6 +148,8 @@ class LineModel:
         y = np.array(labels)
         w = fit_logistic(rows, y, len(index), epochs=300, l2=3e-5, values=values)
         self.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
+        self.said = {w: self.weights["w:" + w] for w in (*self.words, "0") if "w:" + w in self.weights}
+        self.begun = {t: self.weights["p:" + t] for t in self.stems if "p:" + t in self.weights}
         self.prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         self._count_potentials(pages)
 
@@ -157,7 +159,7 @@ class LineModel:
         known = ["_" if blind and t != "0" or t != "0" and t not in self.words else t for t in tokens]
         words = ["w:" + t for t in set(known) if t != "_"]
         if not blind:
-            words += {"p:" + t[:STEM] for t in tokens if len(t) > STEM and t[:STEM] in self.stems}
+            words += {"p:" + t[:STEM] for t in set(tokens) if len(t) > STEM and t[:STEM] in self.stems}
         if len(known) <= PAIRED:
             last = "^"
             for t in known:
@@ -169,9 +171,27 @@ class LineModel:
 
     def evidence(self, line: str) -> float:
         """Log-odds that the line is main text by shape and words, without place and prior."""
+        return self.read(line)[0]
+
+    def read(self, line: str) -> tuple[float, set[str]]:
+        """(evidence, distinct words) of a line; sums the same weights as ``features`` names, without naming them all."""
         get = self.weights.get
-        shape, words, scale = self.features(line)
-        return get("bias", 0.0) + sum(get(f, 0.0) for f in shape) + scale * sum(get(f, 0.0) for f in words) - self.prior
+        tokens = _TOKEN.findall(line.lower())
+        seen = {t if t > ":" else "0" for t in tokens}
+        known = seen & self.said.keys()
+        total = sum(map(self.said.__getitem__, known))
+        stems = {t[:STEM] for t in seen if len(t) > STEM} & self.begun.keys()
+        total += sum(map(self.begun.__getitem__, stems))
+        if len(tokens) <= PAIRED:
+            last = "^"
+            for t in tokens:
+                t = "0" if t <= ":" else t if t in self.words else "_"
+                if t != last or t not in "_0":
+                    total += get(last + " " + t, 0.0)
+                last = t
+            total += get(last + " $", 0.0)
+        scale = 1.0 / max(1.0, len(tokens) / 8) ** 0.5
+        return get("bias", 0.0) + sum([get(f, 0.0) for f in _shape(line)]) + scale * total - self.prior, seen
 
     def at(self, place: tuple[str, ...]) -> float:
         """Log-odds of a place."""
@@ -256,15 +276,19 @@ def line_model() -> LineModel:
     return LineModel()
 
 
-def split_main(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool]]) -> tuple[list[list[str]], list[np.ndarray]]:
+def split_main(texts: list[str | None], model: LineModel, memo: dict) -> tuple[list[list[str]], list[np.ndarray]]:
     """Per text its lines (all, blank ones included) and a boolean array: True for main lines. Blank lines are False."""
     lines_of, chances = line_chances(texts, model, memo)
     return lines_of, [c > 0.5 for c in chances]
 
 
-def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool]]) -> tuple[list[list[str]], list[np.ndarray]]:
-    """Per text its lines and their probabilities of being main text (0 for blank lines)."""
+def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool, bool]], watch=None) -> tuple[list[list[str]], list[np.ndarray]]:
+    """Per text its lines and their probabilities of being main text (0 for blank lines).
+
+    With ``watch``, a test of a line's set of words, the probabilities of lines that pass it are negated.
+    """
     evidence: list[float] = []
+    watched: list[bool] = []
     blocks: list[int] = []
     pages: list[int] = []
     where: list[list[int]] = []
@@ -280,7 +304,8 @@ def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tupl
                 continue
             known = memo.get(line)
             if known is None:
-                known = (model.evidence(line), block_kind(line), line.count(" ") >= ANCHOR and line.rstrip().endswith(ENDS))
+                odds, seen = model.read(line)
+                known = (odds, block_kind(line), line.count(" ") >= ANCHOR and line.rstrip().endswith(ENDS), watch is not None and watch(seen))
                 if len(line) <= MEMO_LENGTH:
                     if len(memo) >= MEMO:
                         memo.clear()
@@ -292,6 +317,7 @@ def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tupl
             if known[2]:
                 anchors.append(len(kept))
             kinds.append(known[1])
+            watched.append(known[3])
             evidence.append(known[0])
             blocks.append(block)
             kept.append(i)
@@ -304,6 +330,8 @@ def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tupl
             evidence[at + i] += odds
         where.append(kept)
     p = model.marginals(np.array(evidence), np.array(blocks, np.int64), np.array(pages, np.int64))
+    if watch is not None and watched:
+        p = np.where(watched, -p, p)
     out, at = [], 0
     for lines, kept in zip(lines_of, where, strict=True):
         chance = np.zeros(len(lines))

@@ -27,6 +27,7 @@ from ..session import cut
 from . import phrases
 from .boilerplate import STEM, _shape, _tokens, line_chances, line_model, slices
 from .learn import fit_logistic
+from .spam import FUNCTION
 
 #: Wording odds from which a sentence is filler.
 SURE = 2.0
@@ -57,8 +58,9 @@ _TERM = re.compile(r"[^\W\d_]{4,}")
 _SENTENCE = re.compile(r"(?<=[.!?؟…])\s+")
 #: Lines and sentences whose log odds a model keeps for reuse; the memo is emptied when full.
 MEMO = 100_000
-#: Weight from which a word (or its beginning) is telling of filler; log odds of a line without any known word.
-TELLING, NOTHING = 0.4, -12.0
+#: Weight from which a word (or its beginning) is telling of filler, the sum that a sentence needs, and the log odds of a
+#: line without any known word.
+TELLING, ENOUGH, NOTHING = 0.4, 1.4, -12.0
 # The public filler passage, words that are no words of the five languages.
 _FILLER = frozenset((
     "lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
@@ -95,13 +97,14 @@ class NoticeModel:
             values.append([1.0] * len(shape) + [scale] * len(said))
         w = fit_logistic(rows, np.array(labels), len(index), epochs=200, l2=3e-4, values=values)
         self.weights = {f: float(w[i]) for f, i in index.items()}
-        self.telling_words = frozenset(f for f in self.words if self.weights.get(f, 0.0) > TELLING)
-        self.telling_stems = frozenset(f for f in self.stems if self.weights.get("p:" + f, 0.0) > TELLING)
+        self.telling_words = {f: w for f in self.words if (w := self.weights.get(f, 0.0)) > TELLING and f not in FUNCTION}
+        self.telling_stems = {f: w for f in self.stems if (w := self.weights.get("p:" + f, 0.0)) > TELLING}
         self.said: dict[str, float] = {}
 
     def telling(self, words: set[str]) -> bool:
-        """Whether a text of these words holds one that speaks for the class; without any, no sentence of it counts."""
-        return not self.telling_words.isdisjoint(words) or not self.telling_stems.isdisjoint([w[:STEM] for w in words if len(w) > STEM])
+        """Whether the telling words among these, and their beginnings, weigh ``ENOUGH``; other sentences never count."""
+        total = sum(map(self.telling_words.__getitem__, self.telling_words.keys() & words))
+        return total + sum(map(self.telling_stems.__getitem__, self.telling_stems.keys() & {w[:STEM] for w in words if len(w) > STEM})) > ENOUGH
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "said": {}}
@@ -119,6 +122,29 @@ class NoticeModel:
         said.update(f"{a} {b}" for a, b in zip(known, known[1:], strict=False) if "_" not in (a, b))
         return shape, list(said), 1.0 / max(1.0, len(tokens) / 8) ** 0.5
 
+    def _sum(self, line: str) -> float:
+        """The sum of the weights that ``_features`` names, without naming them all."""
+        get = self.weights.get
+        tokens = _tokens(line)
+        if not tokens:
+            return get("bias", 0.0) + get("u0", 0.0) + get("again0", 0.0)
+        words, last, pairs, missing = self.words, "_", set(), 0
+        for t in tokens:
+            if t in words or t == "0":
+                if last != "_":
+                    pairs.add(last + " " + t)
+                last = t
+            else:
+                last, missing = "_", missing + 1
+        seen = set(tokens)
+        total = sum([get(p, 0.0) for p in pairs])
+        total += sum([get(t, 0.0) for t in seen & words]) + sum([get("p:" + t, 0.0) for t in {t[:STEM] for t in seen if len(t) > STEM} & self.stems])
+        plain = len(tokens) - tokens.count("0")
+        again = plain - len(seen) + ("0" in seen)
+        shape = get("bias", 0.0) + sum([get(f, 0.0) for f in _shape(line) if f[0] != "b"])
+        shape += get("u%d" % min(4, int(5 * missing / len(tokens))), 0.0) + get("again%d" % min(3, again * 4 // max(1, plain)), 0.0)
+        return shape + total / max(1.0, len(tokens) / 8) ** 0.5
+
     def odds(self, line: str) -> float:
         """Log odds; a line without any known word or beginning is none, whatever its shape."""
         known = self.said.get(line)
@@ -129,9 +155,7 @@ class NoticeModel:
             if tokens.isdisjoint(self.words) and self.stems.isdisjoint([t[:STEM] for t in tokens]):
                 known = NOTHING
             else:
-                shape, said, scale = self._features(line)
-                get = self.weights.get
-                known = sum(get(f, 0.0) for f in shape) + scale * sum(get(f, 0.0) for f in said)
+                known = self._sum(line)
             self.said[line] = known
         return known
 
@@ -210,6 +234,11 @@ def page_score() -> PageScore:
     return PageScore()
 
 
+def suspicious(words: set[str], model: NoticeModel) -> bool:
+    """Whether a line of these words can hold filler: some of the filler's vocabulary, or a telling word."""
+    return len(words & _FILLER) >= 3 or model.telling(words)
+
+
 def filler(lines: list[str], model: NoticeModel) -> bool:
     """Whether the lines hold a passage of scrambled Latin or of layout filler."""
     for line in lines:
@@ -242,33 +271,37 @@ def has_placeholder(text: str) -> bool:
 
 
 def main_or_notice(lines: list[str], chances: np.ndarray, notices: NoticeModel) -> tuple[list[str], list[float]]:
-    """Main lines and how surely they are: those above a half, and doubtful ones whose wording is a notice's."""
+    """Main lines and how surely they are: those above a half, and doubtful ones whose wording is a notice's.
+
+    The sign of ``chances`` (negative: the line can hold filler) is kept.
+    """
     main, sure = [], []
     for l, c in zip(lines, chances.tolist(), strict=True):
-        if c <= 0.5 and c > DOUBTFUL and (odds := notices.odds(l)) > 1:
-            c = 1 - (1 - c) / (1 + np.exp(odds))
-        if c > 0.5:
+        p = abs(c)
+        if p <= 0.5 and p > DOUBTFUL and (odds := notices.odds(l)) > 1:
+            p = 1 - (1 - p) / (1 + np.exp(odds))
+        if p > 0.5:
             main.append(l)
-            sure.append(c)
+            sure.append(p if c >= 0 else -p)
     return main, sure
 
 
 def verdict(title: str | None, main: list[str], chances: list[float], notices: NoticeModel, fillers: NoticeModel, score: PageScore) -> tuple[str | None, float, int]:
     """(reason, wording odds, words) by title and main lines: placeholder, filler, notice (open until scored) or None.
 
-    The wording odds are the mean over lines, each weighted by how surely it is main text. A page that needs a notice's
-    wording and has a sure main line without it is none.
+    Lines of negative ``chances`` are searched for filler. The wording odds are the mean over lines, each weighted by how
+    surely it is main text. A page that needs a notice's wording and has a sure main line without it is none.
     """
     whole = "\n".join([title or "", *main])
     if has_placeholder(whole):
         return "placeholder", 9.0, 0
     body = [(l, c) for l, c in zip(main, chances, strict=True) if not _TECHNICAL.match(l)]
-    if filler([title or "", *(l for l, _ in body)], fillers):
+    if filler([title or "", *(l for l, c in body if c < 0)], fillers):
         return "filler", 9.0, 0
     words = sum(l.count(" ") + 1 for l, _ in body)
     hopeless = score.hopeless(words)
     total = weight = 0.0
-    for l, c in body:
+    for l, c in ((l, abs(c)) for l, c in body):
         odds = notices.odds(l)
         if hopeless and c > SURELY and odds < 0:
             return None, odds, words
@@ -290,7 +323,7 @@ def template_residue(pages: DataFrame) -> DataFrame:
         memo: dict = {}
         for batch in slices(batches):
             ids, urls, titles, texts = (c.to_pylist() for c in batch.columns)
-            lines_of, chances_of = line_chances(texts, lines_m, memo)
+            lines_of, chances_of = line_chances(texts, lines_m, memo, lambda seen: suspicious(seen, fillers))
             rows = []
             for i, url, title, lines, chances in zip(ids, urls, titles, lines_of, chances_of, strict=True):
                 main, sure = main_or_notice(lines, chances, notices)

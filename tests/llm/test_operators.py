@@ -1,6 +1,5 @@
 """Training-data operators: held-out accuracy, exact round trips, brute force, and edge cases."""
 
-import math
 import random
 import re
 from collections import Counter
@@ -137,6 +136,20 @@ def test_residue(spark, odd, empty):
     assert {r.reason for r in residue.template_residue(odd).collect()} <= {"notice"}
 
 
+def test_sums_equal_named_features():
+    rnd = random.Random(14)
+    lines = [f for lang in phrases.MENU for _ in range(40) for f in (phrases.sentence(lang, rnd), phrases.fill(rnd.choice(phrases.NOTICES[lang] + phrases.FURNITURE[lang]), lang, rnd))] + ["7", "a 7 7 b", "- - |", "text text text 5"]
+    for model in residue.notice_models():
+        for line in lines:
+            shape, said_, scale = model._features(line)
+            assert model._sum(line) == pytest.approx(sum(model.weights.get(f, 0.0) for f in shape) + scale * sum(model.weights.get(f, 0.0) for f in said_)), line
+    model = boilerplate.line_model()
+    for line in lines:
+        shape, said_, scale = model.features(line)
+        named = sum(model.weights.get(f, 0.0) for f in ("bias", *shape)) + scale * sum(model.weights.get(f, 0.0) for f in said_)
+        assert model.evidence(line) == pytest.approx(named - model.prior), line
+
+
 def test_address_and_host_decide(spark):
     """Two pages of equal, doubtful wording: one at its own address, one an answer that many addresses give."""
     text = "The server room is closed for repairs and the page keeps its code."
@@ -272,12 +285,8 @@ def test_index_recall():
     rnd = np.random.default_rng(12)
     x = rnd.integers(0, 256, (20_000, neardup.POSITIONS), np.uint8)
     y = np.where(rnd.random(x.shape) < 0.6, x, rnd.integers(0, 256, x.shape, np.uint8))
-    lost = sum(int((~(neardup.index_keys(x[i : i + 1000]) == neardup.index_keys(y[i : i + 1000])).any(1)).sum()) for i in range(0, len(x), 1000))
+    lost = sum(int(((neardup.index_keys(x[i : i + 1000]) == neardup.index_keys(y[i : i + 1000])).sum(1) < neardup.SHARED).sum()) for i in range(0, len(x), 1000))
     assert lost <= 10
-    n, k = neardup.POSITIONS, neardup.GROUP
-    exact = lambda p: sum(math.comb(n, m) * p**m * (1 - p) ** (n - m) * (1 - math.comb(m, k) / math.comb(n, k)) ** neardup.GROUPS for m in range(n + 1))
-    assert exact(0.6 + 0.4 / 256) < 4e-4 and exact(0.7 + 0.3 / 256) < 1e-8
-    assert exact(0.6 + 0.4 / 256) <= neardup.missed(0.6) < 2.5e-5 and neardup.missed(0.7) < 1e-8
 
 
 # 6 ------------------------------------------------------------------------------------------------------------------
