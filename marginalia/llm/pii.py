@@ -29,8 +29,12 @@ from .learn import BoostedTrees, isotonic
 from .spam import FUNCTION
 
 TYPES = ("email", "phone", "id_number", "address", "name")
+#: Lines whose spans a worker keeps for reuse (emptied when full), and the longest of them.
+MEMO, MEMO_LENGTH = 200_000, 200
 #: Words rarer than one in ``2 ** RAREST`` records count alike; records added to any table when shares are computed.
 RAREST, PRIOR = 12, 500
+#: Words that stand in more than one of ``2 ** USUAL`` records do not make a name together.
+USUAL = 8
 #: Generators that give a type of another name.
 _TYPE = {"pair": "name"}
 #: Labelled training texts (the last third of them calibrates).
@@ -63,6 +67,7 @@ _AFTER_HOUSE = re.compile(r"(?:[ ,]+(?:bis|ter)\b)?,? ")
 _NUMBER_SIGNS = frozenset(["n.º", "nº", "n.", "º", "núm.", "no.", "nr.", "رقم", "مبنى"])
 _ADDRESS_WORD = re.compile(r"[^\W\d_][\w'’/-]*\.?/?")
 _DATE = re.compile(r"\d{1,2}([./-])\d{1,2}\1\d{2,4}|\d{4}([./-])\d{1,2}\2\d{1,2}")
+_DIGITS = re.compile(r"\d+")
 _CAPITALS = re.compile(r"[^a-zß-öø-ÿ\n]*(?:\n|$)")
 _LETTERS = re.compile(r"[^\W\d_]{3,}")
 _WORDS = re.compile(r"\w+|[^\w\s]")
@@ -297,8 +302,13 @@ class PersonalDataModel:
 
     def _passes(self, text: str, candidate: tuple[str, int, int], gate: dict, levels: dict[str, float]) -> bool:
         if candidate[0] == "address":
-            return max((gate.get(k, -9.0) for k in self._inner(text[candidate[1] : candidate[2]], False)), default=-9.0) >= self.least_street
+            get = gate.get
+            return any(get(k, -9.0) >= self.least_street for k in self._inner(text[candidate[1] : candidate[2]], False))
         least = self.least.get(candidate[0])
+        if least is not None:
+            first, _, last = text[candidate[1] : candidate[2]].lower().rpartition(" ")
+            if rarity(first, levels) < USUAL and rarity(last, levels) < USUAL:
+                return False
         return least is None or sum(gate.get(k, 0.0) for k in self._gate_keys(text, candidate, levels)) >= least
 
     @staticmethod
@@ -334,32 +344,53 @@ class PersonalDataModel:
         ls, rs = [get(("l", w), 0.0) for w in left], [get(("r", w), 0.0) for w in right]
         span = text[a:b]
         parts = span.split(" ")
-        lows = [p.lower().strip(".,") for p in parts]
-        inner = [get(k, 0.0) for k in self._inner(span, kind in ("name", "pair"))]
-        groups = [len(g) for g in re.findall(r"\d+", span)]
+        first, last = parts[0].lower().strip(".,"), parts[-1].lower().strip(".,")
+        named = kind in ("name", "pair")
+        inner = [get(k, 0.0) for k in self._inner(span, named)] or [0.0]
+        groups = [0] if named else [len(g) for g in _DIGITS.findall(span)] or [0]
         before, after = text[max(0, a - 2) : a], text[b : b + 2]
         return [
             get(("f", mask), 0.0), get(("l1", *left[-1:]), 0.0), get(("l2", *left[-2:]), 0.0), get(("r1", *right[:1]), 0.0), get(("r2", *right[:2]), 0.0), sum(ls), sum(rs), max(ls, default=0.0), min(ls, default=0.0), max(rs, default=0.0), min(rs, default=0.0),
-            float(parts[0].endswith(".")), float(parts[0][:1].isupper()), float(parts[-1][:1].isupper()), float(parts[-1].startswith("ال")), float(len(parts)), float(sum(groups)), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)), float(sum(c.isalpha() for c in span)),
-            float(span[0] == "+") + 2.0 * (span[0] == "(") + 3.0 * (span[:2] in ("00", "٠٠")) + 4.0 * (span[0] in "0٠" and span[1:2] not in ("0", "٠")), float("-" in span) + 2.0 * ("/" in span) + 4.0 * ("." in span), float("@" in span), float(b - a), float(a == 0 or text[a - 1] == "\n"), float(after[:1] in ("", "\n", ".")), float(after[:1] in (",", "(", "،", ")")),
-            sum(inner), max(inner, default=0.0), min(inner, default=0.0), rarity(lows[0], levels), rarity(lows[-1], levels), float(len(lows[-1])), float(_CAPITALS.match(text, text.rfind("\n", 0, a) + 1) is not None), float(before[-1:] == " " and before[:1].isupper()), float(after[:1] == " " and after[1:].isupper()), float(kind == "pair"),
-            float(_DATE.fullmatch(span) is not None), float(bool(left) and left[-1] in FUNCTION), float(bool(right) and right[0] in FUNCTION), float(span[0].isdigit()),
+            parts[0][-1:] == ".", parts[0][:1].isupper(), parts[-1][:1].isupper(), parts[-1][:2] == "ال", len(parts), sum(groups), len(groups), max(groups), min(groups), 0 if named else sum(map(str.isalpha, span)),
+            (span[0] == "+") + 2 * (span[0] == "(") + 3 * (span[:2] in ("00", "٠٠")) + 4 * (span[0] in "0٠" and span[1:2] not in ("0", "٠")), ("-" in span) + 2 * ("/" in span) + 4 * ("." in span), "@" in span, b - a, a == 0 or text[a - 1] == "\n", after[:1] in ("", "\n", "."), after[:1] in (",", "(", "،", ")"),
+            sum(inner), max(inner), min(inner), rarity(first, levels), rarity(last, levels), len(last), _CAPITALS.match(text, text.rfind("\n", 0, a) + 1) is not None, before[-1:] == " " and before[:1].isupper(), after[:1] == " " and after[1:].isupper(), kind == "pair",
+            not named and _DATE.fullmatch(span) is not None, bool(left) and left[-1] in FUNCTION, bool(right) and right[0] in FUNCTION, span[0].isdigit(),
         ]
 
-    def spans(self, texts: list[str | None], levels: dict[str, float]) -> list[list[tuple[str, int, int, float]]]:
-        """For each text its selected (type, start, end, probability) spans, without overlaps, in order; ``levels`` of the corpus."""
+    def spans(self, texts: list[str | None], levels: dict[str, float], memo: dict[str, list] | None = None) -> list[list[tuple[str, int, int, float]]]:
+        """For each text its selected (type, start, end, probability) spans, without overlaps, in order.
+
+        ``levels`` are those of the corpus. Texts are read line by line, as no evidence crosses a line; ``memo`` keeps the
+        spans of short lines for reuse.
+        """
+        memo = {} if memo is None else memo
+        if len(memo) > MEMO:
+            memo.clear()
+        fresh = list({l for t in texts if t for l in t.split("\n") if l not in memo})
+        known = dict(zip(fresh, self._line_spans(fresh, levels), strict=True))
+        out = []
+        for t in texts:
+            spans, at = [], 0
+            for l in t.split("\n") if t else ():
+                found = known.get(l)
+                spans += [(k, a + at, b + at, p) for k, a, b, p in (memo[l] if found is None else found)]
+                at += len(l) + 1
+            out.append(spans)
+        memo.update((l, s) for l, s in known.items() if len(l) <= MEMO_LENGTH)
+        return out
+
+    def _line_spans(self, lines: list[str], levels: dict[str, float]) -> list[list[tuple[str, int, int, float]]]:
         cands, owner = [], []
-        for i, t in enumerate(texts):
-            if t:
-                c = [x for x in candidates(t) if self._passes(t, x, self.gate, levels)]
-                cands += c
-                owner += [i] * len(c)
-        picked: list[list] = [[] for _ in texts]
+        for i, t in enumerate(lines):
+            c = [x for x in candidates(t) if self._passes(t, x, self.gate, levels)]
+            cands += c
+            owner += [i] * len(c)
+        picked: list[list] = [[] for _ in lines]
         for kind, (odds, trees, scale, least) in self.models.items():
             at = [j for j, c in enumerate(cands) if self._generated(kind, c)]
             if not at:
                 continue
-            p = np.interp(trees.predict(np.array([self._features(texts[owner[j]], cands[j], odds, levels) for j in at], float)), *scale)
+            p = np.interp(trees.predict(np.array([self._features(lines[owner[j]], cands[j], odds, levels) for j in at], float)), *scale)
             for j, q in zip(at, p.tolist(), strict=True):
                 if q >= least:
                     picked[owner[j]].append((_TYPE.get(kind, kind), cands[j][1], cands[j][2], q))
@@ -388,8 +419,9 @@ def find_personal_data(df: DataFrame, key: str, text: str, levels: dict[str, flo
     levels = word_levels(df.select(text)) if levels is None else levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, list] = {}
         for batch in slices(batches, 3000):
-            ids, spans = batch.column(0).to_pylist(), model.spans(batch.column(1).to_pylist(), levels)
+            ids, spans = batch.column(0).to_pylist(), model.spans(batch.column(1).to_pylist(), levels, memo)
             rows = [(i, k, a + 1, b - a, p) for i, ss in zip(ids, spans, strict=True) for k, a, b, p in ss]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["rec_id", "pii_type", "start_pos", "length", "probability"])
