@@ -173,15 +173,15 @@ class LineModel:
         """Log-odds that the line is main text by shape and words, without place and prior."""
         return self.read(line)[0]
 
-    def read(self, line: str) -> tuple[float, set[str]]:
-        """(evidence, distinct words) of a line; sums the same weights as ``features`` names, without naming them all."""
+    def read(self, line: str) -> tuple[float, set[str], set[str]]:
+        """(evidence, distinct words, their beginnings) of a line; sums the same weights as ``features`` names, without naming them all."""
         get = self.weights.get
         tokens = _TOKEN.findall(line.lower())
         seen = {t if t > ":" else "0" for t in tokens}
         known = seen & self.said.keys()
         total = sum(map(self.said.__getitem__, known))
-        stems = {t[:STEM] for t in seen if len(t) > STEM} & self.begun.keys()
-        total += sum(map(self.begun.__getitem__, stems))
+        begins = {t[:STEM] for t in seen if len(t) > STEM}
+        total += sum(map(self.begun.__getitem__, begins & self.begun.keys()))
         if len(tokens) <= PAIRED:
             last = "^"
             for t in tokens:
@@ -191,7 +191,7 @@ class LineModel:
                 last = t
             total += get(last + " $", 0.0)
         scale = 1.0 / max(1.0, len(tokens) / 8) ** 0.5
-        return get("bias", 0.0) + sum([get(f, 0.0) for f in _shape(line)]) + scale * total - self.prior, seen
+        return get("bias", 0.0) + sum([get(f, 0.0) for f in _shape(line)]) + scale * total - self.prior, seen, begins
 
     def at(self, place: tuple[str, ...]) -> float:
         """Log-odds of a place."""
@@ -285,7 +285,7 @@ def split_main(texts: list[str | None], model: LineModel, memo: dict) -> tuple[l
 def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool, bool]], watch=None) -> tuple[list[list[str]], list[np.ndarray]]:
     """Per text its lines and their probabilities of being main text (0 for blank lines).
 
-    With ``watch``, a test of a line's set of words, the probabilities of lines that pass it are negated.
+    With ``watch``, a test of a line's words and their beginnings, the probabilities of lines that pass it are negated.
     """
     evidence: list[float] = []
     watched: list[bool] = []
@@ -304,8 +304,8 @@ def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tupl
                 continue
             known = memo.get(line)
             if known is None:
-                odds, seen = model.read(line)
-                known = (odds, block_kind(line), line.count(" ") >= ANCHOR and line.rstrip().endswith(ENDS), watch is not None and watch(seen))
+                odds, seen, begins = model.read(line)
+                known = (odds, block_kind(line), line.count(" ") >= ANCHOR and line.rstrip().endswith(ENDS), watch is not None and watch(seen, begins))
                 if len(line) <= MEMO_LENGTH:
                     if len(memo) >= MEMO:
                         memo.clear()

@@ -70,11 +70,9 @@ class Triples:
         for i, t in enumerate(texts):
             words = _WORD.findall(t.lower())
             lens[i] = len(words)
-            for w in words:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh64_intdigest(w)
-                flat.append(h)
+            for w in set(words) - known.keys():
+                known[w] = xxhash.xxh64_intdigest(w)
+            flat += map(known.__getitem__, words)
         h = np.array(flat, np.uint64)
         owner = np.repeat(np.arange(len(texts)), lens)
         if len(h) < 3:
@@ -120,7 +118,7 @@ def _records(batch: pa.RecordBatch, models, memo: dict) -> tuple[list[int], list
     """(row numbers, title and main text) of the pages of a batch that take part."""
     lines_m, (notices, fillers), score = models
     titles, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-    lines_of, chances_of = line_chances(texts, lines_m, memo, lambda seen: suspicious(seen, fillers))
+    lines_of, chances_of = line_chances(texts, lines_m, memo, lambda seen, begins: suspicious(seen, begins, fillers))
     keep, out = [], []
     for i, (title, lines, chances) in enumerate(zip(titles, lines_of, chances_of, strict=True)):
         main, sure = [], []

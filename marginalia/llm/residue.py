@@ -101,10 +101,11 @@ class NoticeModel:
         self.telling_stems = {f: w for f in self.stems if (w := self.weights.get("p:" + f, 0.0)) > TELLING}
         self.said: dict[str, float] = {}
 
-    def telling(self, words: set[str]) -> bool:
+    def telling(self, words: set[str], begins: set[str] | None = None) -> bool:
         """Whether the telling words among these, and their beginnings, weigh ``ENOUGH``; other sentences never count."""
-        total = sum(map(self.telling_words.__getitem__, self.telling_words.keys() & words))
-        return total + sum(map(self.telling_stems.__getitem__, self.telling_stems.keys() & {w[:STEM] for w in words if len(w) > STEM})) > ENOUGH
+        begins = {w[:STEM] for w in words if len(w) > STEM} if begins is None else begins
+        total = sum(map(self.telling_words.__getitem__, words & self.telling_words.keys()))
+        return total + sum(map(self.telling_stems.__getitem__, begins & self.telling_stems.keys())) > ENOUGH
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "said": {}}
@@ -234,9 +235,9 @@ def page_score() -> PageScore:
     return PageScore()
 
 
-def suspicious(words: set[str], model: NoticeModel) -> bool:
-    """Whether a line of these words can hold filler: some of the filler's vocabulary, or a telling word."""
-    return len(words & _FILLER) >= 3 or model.telling(words)
+def suspicious(words: set[str], begins: set[str], model: NoticeModel) -> bool:
+    """Whether a line of these words can hold filler: some of the filler's vocabulary, or telling words."""
+    return len(words & _FILLER) >= 3 or model.telling(words, begins)
 
 
 def filler(lines: list[str], model: NoticeModel) -> bool:
@@ -323,7 +324,7 @@ def template_residue(pages: DataFrame) -> DataFrame:
         memo: dict = {}
         for batch in slices(batches):
             ids, urls, titles, texts = (c.to_pylist() for c in batch.columns)
-            lines_of, chances_of = line_chances(texts, lines_m, memo, lambda seen: suspicious(seen, fillers))
+            lines_of, chances_of = line_chances(texts, lines_m, memo, lambda seen, begins: suspicious(seen, begins, fillers))
             rows = []
             for i, url, title, lines, chances in zip(ids, urls, titles, lines_of, chances_of, strict=True):
                 main, sure = main_or_notice(lines, chances, notices)
