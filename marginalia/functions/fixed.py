@@ -24,9 +24,7 @@ TOPIC_WORDS = {
 }
 TOPIC_FALLBACKS = [("academic", ["course", "class", "study", "learn"]), ("administrative", ["apply", "admission", "enroll"]), ("campus", ["campus", "location", "facility"])]
 # English stop words of the question tier.
-STOPWORDS_EN = (
-    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would should could can may might must this that these those"
-).split()
+STOPWORDS_EN = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "should", "could", "can", "may", "might", "must", "this", "that", "these", "those"]
 # Suspicious input, and answers that refuse or report an error (lower case).
 SUSPICIOUS = r"<script|javascript:|eval\(|document\.|window\.|\.exe([^\p{L}\p{N}_]|$)|hack|crack|exploit|sql.*injection"
 BAD_ANSWER = r"i apologize.*unable to|i cannot.*provide|error.*occurred|something went wrong|try again later"
@@ -44,7 +42,7 @@ PAGE_CATEGORIES = {
     "blog": ["blog", "post", "article", "opinion", "editorial", "commentary"],
 }
 # URL endings and path parts of addresses that are no pages.
-EXCLUDED_ENDINGS = "pdf doc docx xls xlsx ppt pptx jpg jpeg png gif svg ico webp bmp mp3 mp4 avi mov wmv css js xml rss atom zip tar gz rar 7z exe dmg apk".split()
+EXCLUDED_ENDINGS = ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "jpg", "jpeg", "png", "gif", "svg", "ico", "webp", "bmp", "mp3", "mp4", "avi", "mov", "wmv", "css", "js", "xml", "rss", "atom", "zip", "tar", "gz", "rar", "7z", "exe", "dmg", "apk"]
 EXCLUDED_PARTS = ["/wp-admin/", "/admin/", "/login", "/logout", "/register", "/cart", "/checkout", "/feed/", "/wp-json/", "/api/"]
 # Field weights of the term score.
 FIELD_BOOSTS = {"title": 2.0, "summary": 1.3, "keywords": 1.5, "search_text": 1.0, "structured": 0.8}
@@ -52,3 +50,17 @@ FIELD_BOOSTS = {"title": 2.0, "summary": 1.3, "keywords": 1.5, "search_text": 1.
 BASIC_STOPWORDS = ["the", "and", "for", "with", "this", "that", "من", "في", "على", "إلى", "هذا", "هذه", "التي", "الذي", "كان", "كانت", "يكون", "تكون"]
 #: Letters of Arabic script, as class contents for regular expressions.
 ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}"
+# Texts of contexts and prompts: nothing found, marks of what was cut.
+EMPTY_CONTEXT = "No specific institutional data was found for this query. Please provide general guidance based on your training."
+ENTRY_CUT = "...[truncated]\n\n"
+CONTEXT_CUT = "...[Content truncated due to length limits]"
+PROMPT_CUT = "\n...[Truncated]"
+# Parts of words that raise the confidence in English.
+ENGLISH_HINTS = ["the", "and", "or", "but", "what", "how", "why", "when", "where", "who"]
+# Frequent short words of each language, for guessing the language of a question.
+COMMON_WORDS = {
+    "en": ["the", "and", "of", "to", "is", "are", "for", "with", "what", "how", "when", "can", "do", "you", "my", "this", "that", "it", "be", "in"],
+    "fr": ["le", "la", "les", "des", "et", "est", "pour", "avec", "que", "je", "vous", "une", "dans", "sur", "au", "comment", "quand", "mon", "ce", "un"],
+    "de": ["der", "die", "das", "und", "ist", "ich", "sie", "mit", "nicht", "ein", "eine", "wie", "wann", "kann", "zu", "im", "auf", "den", "dem", "für"],
+    "es": ["el", "la", "los", "las", "y", "es", "para", "con", "que", "una", "en", "mi", "se", "del", "como", "cuando", "por", "un", "qué", "cómo"],
+}

@@ -180,6 +180,19 @@ def script_language(text: Column) -> Column:
     return F.when(F.coalesce(arabic > latin * 1.5, F.lit(False)), F.lit("ar")).otherwise(F.lit("en"))
 
 
+def guessed_language(text: Column) -> Column:
+    """Language of a short text: ``ar`` by script, else the language whose frequent words it holds most often.
+
+    Ties go to the language declared first; null without any such word.
+    """
+    def among(options: list[str]):
+        return lambda w: w.isin(*options)
+
+    counts = [F.struct(F.size(F.filter(tokens(text), among(ws))).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(fixed.COMMON_WORDS.items())]
+    best = F.array_max(F.array(*counts))
+    return F.when(text.isNull(), None).when(is_arabic(text), "ar").when(best["n"] > 0, best["lang"])
+
+
 def is_arabic(text: Column) -> Column:
     """Whether over 30 % of the letters are Arabic; false for null or no letters."""
     arabic = F.length(text) - F.length(F.regexp_replace(text, rf"[{fixed.ARABIC}\x{{FB50}}-\x{{FDFF}}\x{{FE70}}-\x{{FEFF}}]", ""))

@@ -1,8 +1,11 @@
-"""Replay of cache accesses: time to live, and least-recently-used eviction.
+"""Replay of cache accesses: time to live, least-recently-used eviction, and both together.
 
-Both replays are exact and run over blocks of the trace. A block's effect on later blocks is small enough to be sent to
-the driver (its size depends on the number of blocks and on the capacity, not on the rows), the driver composes these
-effects, and each block is then replayed from its true start.
+Every miss is followed by a write of its key. All replays are exact. Rows stay distributed: what a block of the trace
+passes on to the next is one row per block (time to live) or a table of at most ``capacity`` rows per block that is merged
+by joins (eviction); the driver sees one row per block at most.
+
+Edge cases: null keys and times are dropped; ties in time go by ``seq``; rows that are repeated whole count each (callers
+drop them first); an empty trace gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -10,129 +13,200 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..session import cut
 
+#: Rows of a trace in one block, about.
+BLOCK_ROWS = 500_000
+#: Later than any instant, in microseconds.
+NEVER = 1 << 62
+
 
 def expired(written: Column, ttl: Column, now: Column) -> Column:
     """Whether an entry's time to live (seconds; none or 0 means for ever) has passed; the last instant still counts."""
     return F.coalesce((ttl > 0) & (now > written + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ttl)), F.lit(False))
 
 
-def _chain(t: np.ndarray, life: np.ndarray) -> np.ndarray:
-    """For each access as a miss: the time up to which the last entry of this block will live."""
-    until = t + life
-    nxt = np.searchsorted(t, until, side="right")
-    out = until.copy()
-    for i in range(len(t) - 1, -1, -1):
-        if nxt[i] < len(t):
-            out[i] = out[nxt[i]]
-    return out
+def _lives(ttl: str, default_ttl: int) -> Column:
+    """Microseconds that an entry lives; a time to live of 0 or below never ends, null takes the default."""
+    life = F.coalesce(F.col(ttl), F.lit(default_ttl)).cast("bigint") * 1_000_000
+    return F.when(life <= 0, F.lit(NEVER // 2)).otherwise(life)
 
 
-def ttl_replay(accesses: DataFrame, key: str = "cache_key", order: tuple[str, str] = ("ts", "seq"), ttl: str = "ttl", default_ttl: int = 3600, partitions: int | None = None) -> DataFrame:
-    """(key, seq, hit BOOLEAN): an access is a hit iff it falls within the time to live of the last miss of its key.
+def _replay_key(batches: Iterator[pa.RecordBatch], entering: dict[int, int]) -> Iterator[tuple[pa.RecordBatch, list[bool], int]]:
+    """(batch, hits, instant up to which the last key's entry lives) of rows k, t, seq, life, kept, part in order.
 
-    Rows are range-partitioned by key and time. For the key that a partition shares with the one before, the map from
-    "lives until" at its start to "lives until" at its end is a step function with few steps (all starts soon fall into
-    the same chain of misses); only these steps go to the driver. A time to live of 0 or below never expires; null takes
-    the default. Ties in time go by ``seq``; null times are dropped.
+    ``entering`` holds, by block, the instant up to which the entry of the block's first key lives at its start.
     """
-    ts, seq = order
-    n = partitions or accesses.sparkSession.sparkContext.defaultParallelism
-    never = 1 << 62
-    rows = accesses.filter(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(seq).cast("bigint").alias("seq"), (F.coalesce(F.col(ttl), F.lit(default_ttl)).cast("bigint") * 1_000_000).alias("life"))
-    rows = rows.withColumn("life", F.when(F.col("life") <= 0, F.lit(never // 2)).otherwise(F.col("life")))
-    rows = cut(rows.repartitionByRange(n, key, "t", "seq").sortWithinPartitions(key, "t", "seq").withColumn("part", F.spark_partition_id()))
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        keys = table.column(0).to_numpy(zero_copy_only=False)
-        t, life, part = (table.column(i).to_numpy() for i in (1, 3, 4))
-        out = []
-        for k, side in dict.fromkeys([(keys[0], "first"), (keys[-1], "last")]):
-            at = keys == k
-            chain = _chain(t[at], life[at])
-            steps = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
-            # entering with "lives until x", the first access after x is a miss and its chain decides
-            tt = t[at]
-            out += [(int(part[0]), k, side, int(tt[s - 1]) if s else -never, int(chain[s])) for s in steps.tolist()] + [(int(part[0]), k, side, int(tt[-1]), -never)]
-        cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "k", "side", "from_", "until"])
-
-    summary: dict[int, dict[str, list[tuple[int, int]]]] = {}
-    for r in rows.mapInArrow(edges, "part int, k string, side string, from_ bigint, until bigint").collect():
-        summary.setdefault(r["part"], {}).setdefault(r["k"], []).append((r["from_"], r["until"]))
-    carry: dict[int, tuple[str, int]] = {}
-    state: tuple[str, int] | None = None
-    for part in sorted(summary):
-        if state and state[0] in summary[part]:
-            carry[part] = state
-        live: tuple[str, int] | None = None
-        last = max(summary[part])  # keys are in order within and across partitions
-        x = state[1] if state and state[0] == last else -never
-        chosen = max(((a, u) for a, u in set(summary[part][last]) if a <= x), default=(-never, -never))
-        live = (last, x if chosen[1] == -never and chosen[0] != -never else chosen[1])
-        state = live
+    key, until = None, -NEVER
+    for batch in batches:
+        hits = []
+        for k, t, life, kept, part in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
+            if k != key:
+                until = entering.get(part, -NEVER) if key is None else -NEVER
+                key = k
+            hit = kept and t <= until
+            if not hit:
+                until = t + life
+            hits.append(hit)
+        yield batch, hits, until
+
+
+def _ttl_blocks(rows: DataFrame, blocks: int | None) -> DataFrame:
+    """Hits of rows (k, t, seq, life, kept): an access is a hit iff it is ``kept`` and the entry of the last miss lives.
+
+    Rows are range-partitioned by key and time, so at a block's start only its first key can have an entry. Every block is
+    replayed as if it had none; a block whose entry turns out otherwise and that holds one key only is replayed again, as
+    long as what it passes on changes. Chains of misses soon fall together, so this ends after few rounds; the worst case
+    is one round per block of the largest key.
+    """
+    spark = rows.sparkSession
+    n = blocks or max(1, spark.sparkContext.defaultParallelism, rows.count() // BLOCK_ROWS)
+    rows = cut(rows.repartitionByRange(n, "k", "t", "seq").sortWithinPartitions("k", "t", "seq").withColumn("part", F.spark_partition_id()))
+
+    def ends(part_of: dict[int, int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = last = part = None
+            until = -NEVER
+            for batch, _, until in _replay_key(batches, part_of):
+                if batch.num_rows:
+                    first = batch.column(0)[0].as_py() if first is None else first
+                    last, part = batch.column(0)[batch.num_rows - 1].as_py(), batch.column(5)[0].as_py()
+            if part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([last]), pa.array([until], pa.int64())], names=["part", "first", "last", "until"])
+
+        return run
+
+    schema = "part int, first string, last string, until bigint"
+    state = {r["part"]: r for r in rows.mapInArrow(ends({}), schema).collect()}  # one row per block
+    out = {p: r["until"] for p, r in state.items()}
+    entering: dict[int, int] = {}
+    while True:
+        changed, before = {}, None
+        for p in sorted(state):
+            if before is not None and state[before]["last"] == state[p]["first"] and entering.get(p) != out[before]:
+                changed[p] = out[before]
+            before = p
+        entering |= changed
+        again = [p for p in changed if state[p]["first"] == state[p]["last"]]
+        if not again:
+            break
+        for r in rows.filter(F.col("part").isin(again)).mapInArrow(ends(entering), schema).collect():
+            out[r["part"]] = r["until"]
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, until = None, -never
-        for batch in batches:
-            keys, part = batch.column(0).to_pylist(), batch.column(4)
-            hits = []
-            for k, t, life, p in zip(keys, batch.column(1).to_pylist(), batch.column(3).to_pylist(), part.to_pylist(), strict=True):
-                if k != key_now:
-                    first = key_now is None
-                    key_now, until = k, carry[p][1] if first and p in carry and carry[p][0] == k else -never
-                hit = t <= until
-                if not hit:
-                    until = t + life
-                hits.append(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits)], names=[key, "seq", "hit"])
+        for batch, hits, _ in _replay_key(batches, entering):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4), pa.array(hits, pa.bool_())], names=["k", "seq", "kept", "hit"])
 
-    return rows.mapInArrow(replay, f"`{key}` string, seq bigint, hit boolean")
+    return rows.mapInArrow(replay, "k string, seq bigint, kept boolean, hit boolean")
 
 
-def lru_replay(accesses: DataFrame, key: str = "cache_key", order: str = "seq", capacity: int = 1000, block: int = 50_000) -> DataFrame:
-    """(key, seq, hit BOOLEAN): an access is a hit iff its key is among the ``capacity`` keys used last before it.
+def ttl_replay(accesses: DataFrame, key: str = "cache_key", order: tuple[str, str] = ("ts", "seq"), ttl: str = "ttl", default_ttl: int = 3600, partitions: int | None = None) -> DataFrame:
+    """(key, seq, hit BOOLEAN): an access is a hit iff it falls within the time to live of the last miss of its key."""
+    ts, seq = order
+    rows = accesses.filter(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(seq).cast("bigint").alias("seq"), _lives(ttl, default_ttl).alias("life"), F.lit(True).alias("kept"))
+    return _ttl_blocks(rows, partitions).select(F.col("k").alias(key), "seq", "hit")
 
-    Blocks of ``block`` consecutive order numbers are replayed in parallel; the cache at a block's start consists of the
-    last distinct keys before it, at most ``capacity`` from each block before.
+
+def _starts(rows: DataFrame, capacity: int) -> DataFrame:
+    """(block, k, pos): the cache at every block's start, the ``capacity`` keys used last before it.
+
+    The keys used last in each block are merged with those of the blocks before, twice as far back in each round, until a
+    block's cache is full or the trace's start is reached. A round joins at most ``capacity`` rows per block.
     """
-    rows = cut(accesses.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(order).cast("bigint").alias("seq"), F.floor(F.col(order) / block).cast("bigint").alias("block")))
-    from pyspark.sql import Window
-
-    last = rows.groupBy("block", "k").agg(F.max("seq").alias("seq"))
-    tops = last.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("seq")))).filter(F.col("rn") <= capacity)
-    by: dict[int, list[str]] = {}
-    for r in tops.orderBy("block", "seq").select("block", "k").collect():
-        by.setdefault(r["block"], []).append(r["k"])
-    starts: dict[int, list[str]] = {}
-    cache: OrderedDict[str, None] = OrderedDict()
-    for b in sorted(by):
-        starts[b] = list(cache)
-        for k in by[b]:
-            cache.pop(k, None)
-            cache[k] = None
-        while len(cache) > capacity:
-            cache.popitem(last=False)
-
-    def replay(pdf):
-        pdf = pdf.sort_values("seq", kind="stable")
-        held: OrderedDict[str, None] = OrderedDict.fromkeys(starts.get(int(pdf["block"].iloc[0]), ()))
-        hits = []
-        for k in pdf["k"]:
-            hits.append(k in held)
+    w = Window.partitionBy("block").orderBy(F.desc("pos"))
+
+    def top(df: DataFrame) -> DataFrame:
+        last = df.groupBy("block", "k").agg(F.max("pos").alias("pos"))
+        return last.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= capacity).drop("rn")
+
+    # dense numbers for the blocks that hold rows; a block's own keys belong to the start of the next
+    first, last = rows.agg(F.min("block"), F.max("block")).first()
+    if first is None:
+        return rows.select("block", "k", "pos")
+    state = cut(top(rows.select((F.col("block") + 1).alias("block"), "k", "pos")))
+    reach = 1
+    while reach <= last - first:
+        full = state.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") >= capacity).select("block")
+        needy = rows.sparkSession.range(first + 1, last + 2).toDF("block").join(full, "block", "left_anti").filter(F.col("block") - reach > first)
+        if needy.isEmpty():
+            break
+        older = state.select((F.col("block") + reach).alias("block"), "k", "pos").join(needy, "block", "left_semi")
+        state = cut(top(state.unionByName(older)))
+        reach *= 2
+    return state
+
+
+def _lru_flags(rows: DataFrame, capacity: int) -> DataFrame:
+    """Rows (k, seq, pos, block) with ``kept``: whether the key is among the ``capacity`` keys used last before it."""
+    rows = cut(rows)
+    starts = _starts(rows, capacity)
+
+    def replay(block, held_before):
+        held: OrderedDict[str, None] = OrderedDict.fromkeys(held_before.sort_values("pos", kind="stable")["k"])
+        block = block.sort_values("pos", kind="stable")
+        flags = []
+        for k in block["k"]:
+            flags.append(k in held)
             held.pop(k, None)
             held[k] = None
             if len(held) > capacity:
                 held.popitem(last=False)
-        return pdf.assign(hit=hits)[["k", "seq", "hit"]]
+        return block.assign(kept=flags)[["k", "seq", "pos", "kept"]]
 
-    return rows.groupBy("block").applyInPandas(replay, "k string, seq bigint, hit boolean").withColumnRenamed("k", key)
+    return rows.groupBy("block").cogroup(starts.select(F.col("block").alias("b"), F.col("k").alias("k"), F.col("pos").alias("pos")).groupBy("b")).applyInPandas(replay, "k string, seq bigint, pos bigint, kept boolean")
+
+
+def lru_replay(accesses: DataFrame, key: str = "cache_key", order: str = "seq", capacity: int = 1000, block: int = 50_000) -> DataFrame:
+    """(key, seq, hit BOOLEAN): an access is a hit iff its key is among the ``capacity`` keys used last before it.
+
+    Blocks of ``block`` consecutive order numbers are replayed in parallel from their true starts.
+    """
+    pos = F.col(order).cast("bigint")
+    rows = accesses.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), pos.alias("seq"), pos.alias("pos"), F.floor(pos / block).cast("bigint").alias("block"))
+    return _lru_flags(rows, capacity).select(F.col("k").alias(key), "seq", F.col("kept").alias("hit"))
+
+
+def positions(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``pos``, its place (from 0) in the given order over all rows; one number per partition reaches the driver."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
+    offsets, total = {}, 0
+    for p in sorted(sizes):
+        offsets[p] = total
+        total += sizes[p]
+    schema = placed.drop("__part").schema.add("pos", LongType())
+    names = schema.names
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = offsets[batch.column(batch.num_columns - 1)[0].as_py()] if at is None else at
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(range(at, at + batch.num_rows), pa.int64())], names=names)
+            at += batch.num_rows
+
+    return placed.mapInArrow(number, schema)
+
+
+def cache_replay(accesses: DataFrame, key: str = "cache_key", order: tuple[str, str] = ("ts", "seq"), ttl: str = "ttl", default_ttl: int = 3600, capacity: int = 1000, block: int = 50_000, partitions: int | None = None) -> DataFrame:
+    """(key, seq, outcome STRING): ``hit``, or a miss because the entry is ``absent`` (never there or evicted) or ``expired``.
+
+    An entry lives from its write until its time to live ends or until ``capacity`` other keys were used after it. An
+    expired entry is removed when it is asked for and written again at once, so the cache always holds the keys used last
+    and eviction does not depend on expiry: the keys used last decide which accesses find their entry, then the chain of
+    misses of each key decides which of these entries still live.
+    """
+    ts, seq = order
+    rows = accesses.filter(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(seq).cast("bigint").alias("seq"), _lives(ttl, default_ttl).alias("life"))
+    placed = cut(positions(rows, "t", "seq"))
+    kept = _lru_flags(placed.select("k", "seq", "pos", F.floor(F.col("pos") / block).cast("bigint").alias("block")), capacity)
+    flagged = placed.join(kept.select("pos", "kept"), "pos").select("k", "t", "seq", "life", "kept")
+    done = _ttl_blocks(flagged, partitions)
+    outcome = F.when(F.col("hit"), "hit").when(F.col("kept"), "expired").otherwise("absent")
+    return done.select(F.col("k").alias(key), "seq", outcome.alias("outcome"))

@@ -19,7 +19,7 @@ def detected_language(text: Column, detector: Column | None = None) -> tuple[Col
         return F.lit("en"), F.lit(0.5)
     n = T.word_count(text)
     base = F.least(F.lit(0.9), F.lit(0.5) + n * 0.05)
-    hints = sum(F.when(F.lower(text).contains(w), 1).otherwise(0) for w in ("the", "and", "or", "but", "what", "how", "why", "when", "where", "who"))
+    hints = sum(F.when(F.lower(text).contains(w), 1).otherwise(0) for w in fixed.ENGLISH_HINTS)
     conf = F.when(detector == "en", F.least(F.lit(0.95), base + hints * 0.05)).otherwise(base)
     return F.when(n < 3, "en").otherwise(F.coalesce(detector, F.lit("en"))), F.when(n < 3, 0.7).when(detector.isNull(), 0.6).otherwise(conf)
 

@@ -8,8 +8,6 @@ equi-joins. No pair of a question and a page is formed unless they share a term.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,44 +175,48 @@ def combined(basic: Column, cos: Column) -> Column:
     return F.when(F.coalesce(cos, F.lit(0.0)) > 0, basic * 0.6 + cos * 0.4).otherwise(basic)
 
 
-def best_passage(content: str | None, terms: list[str] | None, most: int = 500) -> str | None:
-    """The sentences that match best, joined from the best down, up to ``most`` characters (stopping at the first overflow).
-
-    Without terms the start of the text; without matches its start and ``...``; if the result is short, the best sentence
-    with its neighbours where these fit.
-    """
-    if not content or not terms:
-        return content[:most] if content else content
-    text = re.sub("<[^>]+>", "", re.sub(r"\s+", " ", content.strip()))
-    if len(text) <= most:
-        return text
-    parts = re.split("[.!?]+", text)
-    rated = []
-    for i, part in enumerate(parts):
-        low = part.strip().lower()
-        score = sum(low.count(t.lower()) * len(t) for t in terms if t)
-        if low and score:
-            rated.append((-score, i, part.strip()))
-    if not rated:
-        return text[:most] + "..."
-    rated.sort()
-    out = ""
-    for _, _, part in rated:
-        if len(out) + len(part) > most:
-            break
-        out = f"{out} {part}" if out else part
-    if len(out) < most // 2:
-        best = rated[0][1]
-        around = " ".join(parts[max(0, best - 1) : best + 2]).strip()
-        out = around if len(around) <= most else out
-    return out + "..." if len(out) == most else out
-
-
 def snippet(content: Column, terms: Column, most: int = 500) -> Column:
-    """``best_passage`` as a vectorised function; meant for the few rows left after ranking."""
-
-    @F.pandas_udf("string")
-    def run(c, t):
-        return type(c)([best_passage(x, None if y is None else list(y), most) for x, y in zip(c, t, strict=True)], dtype=object)
+    """The sentences of a text that match best, joined from the best down while they fit into ``most`` characters.
 
-    return run(content, terms)
+    Built-in array expressions; meant for the few rows left after ranking. A sentence's score is the number of its
+    occurrences of each term times the term's length; ties go to the earlier one. Without terms the start of the text;
+    without a match its start and ``...``; if less than half of ``most`` is filled, the best sentence with its neighbours
+    where these fit. Null for null, the cleaned text itself where it is short enough.
+    """
+    text = T.clean_for_search(content)
+    low_terms = F.filter(F.transform(terms, F.lower), lambda t: t != "")
+    sentences = T.sentence_parts(text)
+
+    def rated(sentence: Column, place: Column) -> Column:
+        low = F.lower(T.strip(sentence))
+        score = F.aggregate(low_terms, F.lit(0).cast("bigint"), lambda total, t: total + T.count_of(low, t) * F.length(t))
+        return F.struct((-score).alias("score"), place.alias("place"), T.strip(sentence).alias("sentence"))
+
+    ranked = F.array_sort(F.filter(F.transform(sentences, rated), lambda r: r["score"] < 0))
+    # the joined length up to each sentence grows, so those that fit are a prefix
+    lengths = F.transform(ranked, lambda r: F.length(r["sentence"]) + 1)
+    room = lambda i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(-1), lambda total, n: total + n)
+    packed = F.array_join(F.transform(F.filter(ranked, lambda r, i: room(i) <= most), lambda r: r["sentence"]), " ")
+    best = F.get(ranked, F.lit(0))["place"]
+    around = T.strip(F.array_join(F.slice(sentences, F.greatest(best, F.lit(1)), F.when(best > 0, 3).otherwise(2)), " "))
+    body = F.when((F.length(packed) < most // 2) & (F.length(around) <= most), around).otherwise(packed)
+    marked = F.when(F.length(body) == most, F.concat(body, F.lit("..."))).otherwise(body)
+    found = F.when(F.size(ranked) > 0, marked).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
+    return F.when(content.isNull() | (content == ""), content).when(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.substring(content, 1, most)).when(F.length(text) <= most, text).otherwise(found)
+
+
+def searched(questions: DataFrame, pages: DataFrame, texts: DataFrame, question_key: str, page_key: str, top: int = 10, least: float = 0.1) -> DataFrame:
+    """(question, page, rank, score, matched, snippet): the whole search of a batch of questions.
+
+    Exact and fuzzy term scores, combined with the cosine of the TF-IDF vectors where that is positive, pages from
+    ``least`` on, the ``top`` best of each question, and a snippet of each. ``texts`` holds (page_key, text) for the
+    vectors; pages without title and search text, and questions without terms, find nothing.
+    """
+    basic = cut(full_scores(questions, pages, question_key, page_key))
+    weights, vocabulary = tfidf(texts, page_key, "text")
+    asked = question_terms(questions, question_key).groupBy("question").agg(F.array_join(F.collect_list("term"), " ").alias("q"))
+    cos = cosine(query_vectors(asked, "question", "q", vocabulary), "question", weights, page_key).withColumnRenamed(page_key, "page")
+    both = basic.join(cos, ["question", "page"], "left").select("question", "page", "matched", combined(F.col("score"), F.col("cosine")).alias("score"))
+    best = best_pages(both, top, least)
+    contents = pages.select(F.col(page_key).alias("page"), "relevant_content")
+    return best.join(contents, "page").select("question", "page", "rank", "score", "matched", snippet(F.col("relevant_content"), F.col("matched")).alias("snippet"))

@@ -19,8 +19,8 @@ def _requests(spark, d):
 def cache_expiry(spark, d):
     """Entries that have expired at the end of the trace."""
     a = _accesses(spark, d)
-    end = a.agg(F.max("ts").alias("now"))
-    return a.join(F.broadcast(end)).filter(caches.expired(F.col("ts"), F.col("ttl"), F.col("now"))).select("seq", "cache_key", "category")
+    now = a.agg(F.max("ts").alias("now")).first()["now"]
+    return a.filter(caches.expired(F.col("ts"), F.col("ttl"), F.lit(now).cast("timestamp_ntz"))).select("seq", "cache_key", "category")
 
 
 def cache_statistics(spark, d):
@@ -41,6 +41,11 @@ def lru_hits(spark, d):
     return caches.lru_replay(_accesses(spark, d).select("seq", "cache_key"), capacity=100, block=2000).select("seq", "hit")
 
 
+def cache_replay(spark, d):
+    """Outcome of every access to a cache of 100 entries with times to live."""
+    return caches.cache_replay(_accesses(spark, d), capacity=100, block=2000).select("seq", "outcome")
+
+
 def oldest_searches(spark, d):
     """The 20 oldest entries of the research cache (what trimming drops)."""
     first = _accesses(spark, d).filter("category = 'research'").groupBy("cache_key").agg(F.min("ts").alias("ts"))
@@ -79,7 +84,7 @@ def retry_delays(spark, d):
     return running.request_metrics(_requests(spark, d)).filter("failures > 0").select("seq", F.least("failures", F.lit(3)).alias("attempt"), (F.least("failures", F.lit(3)) * 1.0).alias("delay"))
 
 
-QUERIES = {f.__name__: f for f in (cache_expiry, cache_statistics, ttl_hits, ttl_hit_rates, lru_hits, oldest_searches, request_totals, requests_by_model, requests_by_provider, errors_by_kind, request_metrics, retry_delays)}
+QUERIES = {f.__name__: f for f in (cache_expiry, cache_statistics, ttl_hits, ttl_hit_rates, lru_hits, cache_replay, oldest_searches, request_totals, requests_by_model, requests_by_provider, errors_by_kind, request_metrics, retry_delays)}
 
 _TTL = """WITH RECURSIVE a AS (SELECT DISTINCT seq, cache_key, ts, category, CASE WHEN coalesce(ttl, 3600) <= 0 THEN 1000000000 ELSE coalesce(ttl, 3600) END AS life FROM cache_access),
   r AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts, seq) AS i FROM a),
@@ -95,6 +100,12 @@ SQL = {
     "ttl_hit_rates": _TTL + " SELECT r.category, count(*) AS n, count(*) FILTER (f.hit) AS n_hits, round(count(*) FILTER (f.hit) * 100.0 / count(*), 2) AS hit_rate FROM f JOIN r USING (cache_key, i) GROUP BY r.category",
     "lru_hits": """WITH a AS (SELECT DISTINCT seq, cache_key FROM cache_access), p AS (SELECT seq, cache_key, lag(seq) OVER (PARTITION BY cache_key ORDER BY seq) AS before FROM a)
       SELECT p.seq, p.before IS NOT NULL AND (SELECT count(DISTINCT q.cache_key) FROM a q WHERE q.seq > p.before AND q.seq < p.seq) < 100 AS hit FROM p""",
+    "cache_replay": """WITH RECURSIVE a AS (SELECT DISTINCT seq, cache_key, ts, CASE WHEN coalesce(ttl, 3600) <= 0 THEN 1000000000 ELSE coalesce(ttl, 3600) END AS life FROM cache_access),
+      o AS (SELECT *, row_number() OVER (ORDER BY ts, seq) AS pos FROM a), p AS (SELECT *, lag(pos) OVER (PARTITION BY cache_key ORDER BY pos) AS before FROM o),
+      r AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY pos) AS i, before IS NOT NULL AND (SELECT count(DISTINCT q.cache_key) FROM o q WHERE q.pos > p.before AND q.pos < p.pos) < 100 AS kept FROM p),
+      f AS (SELECT cache_key, seq, i, ts + to_seconds(life) AS until, false AS hit, kept FROM r WHERE i = 1
+        UNION ALL SELECT r.cache_key, r.seq, r.i, CASE WHEN r.kept AND r.ts <= f.until THEN f.until ELSE r.ts + to_seconds(r.life) END, r.kept AND r.ts <= f.until, r.kept FROM f JOIN r ON r.cache_key = f.cache_key AND r.i = f.i + 1)
+      SELECT seq, CASE WHEN hit THEN 'hit' WHEN kept THEN 'expired' ELSE 'absent' END AS outcome FROM f""",
     "oldest_searches": "SELECT cache_key, min(ts) AS ts FROM cache_access WHERE category = 'research' GROUP BY cache_key ORDER BY ts, cache_key LIMIT 20",
     "request_totals": "SELECT count(*) AS n, count(*) FILTER (success) AS n_ok, round(count(*) FILTER (success) / count(*), 6) AS success_rate, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(CASE WHEN success THEN response_time END), 6) AS mean_time FROM (SELECT DISTINCT * FROM request_log)",
     "requests_by_model": "SELECT model, count(*) AS n, count(*) FILTER (success) AS n_ok, round(count(*) FILTER (success) / greatest(count(*), 1), 6) AS success_rate, round(avg(CASE WHEN success THEN response_time END), 6) AS mean_time, max(ts) AS last_seen, count(DISTINCT provider) AS n_providers FROM (SELECT DISTINCT * FROM request_log) GROUP BY model",

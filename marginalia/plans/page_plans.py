@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import addresses as A
@@ -11,7 +10,7 @@ from ..functions import text as T
 from ..operators import categories as C
 from ..operators import graph
 from ..session import table
-from .text_plans import arabic_sql, strip_sql, tokens_sql, words_sql
+from .text_plans import _AR, _SAMPLE, arabic_sql, strip_sql, tokens_sql, words_sql
 
 DICTIONARY_STOP = ["the", "and", "for", "of", "in", "to", "de", "la", "le", "der", "die", "das", "في", "من", "على"]
 
@@ -57,10 +56,17 @@ def file_type_counts(spark, d):
 def web_categories(spark, d):
     """Category of each page by weighted substring counts; ties to the first declared."""
     p = table(spark, d, "pages")
-    joined = F.lower(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), "\n"))
-    low = p.select("page_id", F.lower("title").alias("t"), F.lower("relevant_content").alias("c"), joined.alias("k"))  # lower case once, not once a term
-    weighted = [(F.col("t"), 3.0), (F.col("c"), 1.0), (F.col("k"), 2.0)]
-    return low.select("page_id", C.best_category(weighted, fixed.PAGE_CATEGORIES).alias("web_category"))
+    joined = F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), "\n")
+    best = C.scored_categories(p.withColumn("__k", joined), "page_id", [(F.col("title"), 3.0), (F.col("relevant_content"), 1.0), (F.col("__k"), 2.0)], fixed.PAGE_CATEGORIES)
+    return best.select("page_id", F.col("category").alias("web_category"))
+
+
+def document_categories(spark, d):
+    """Category of every page by the lexicon of its script (Arabic or English), with the score."""
+    p = table(spark, d, "pages")
+    title, content = F.coalesce("title", F.lit("")), F.coalesce("relevant_content", F.lit(""))
+    keywords = F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")
+    return C.document_categories(p, "page_id", title, keywords, content, T.script_language(F.concat_ws(" ", title, content)), table(spark, d, "lexicon")).select("page_id", "category", F.round("score", 6).alias("score"))
 
 
 def lexicon_categories(spark, d):
@@ -70,9 +76,8 @@ def lexicon_categories(spark, d):
 
 def best_lexicon_category(spark, d):
     """The best category of every document by lexicon hits; ties by category order."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "category")
     hits = C.lexicon_matches(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "lexicon"))
-    best = hits.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("doc_id", F.col("category").alias("best"))
+    best = hits.groupBy("doc_id").agg(F.min_by("category", F.struct(-F.col("n"), F.col("category"))).alias("best"))
     return table(spark, d, "documents").select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("best", F.lit("general")).alias("best"))
 
 
@@ -96,7 +101,7 @@ def reachable(spark, d):
     return graph.within_steps(graph.hit_edges(table(spark, d, "search_results")), table(spark, d, "search_results").agg(F.min("content_id").alias("node")), 3)
 
 
-QUERIES = {f.__name__: f for f in (searchable_pages, page_by_id, pages_by_category, result_projection, category_counts, host_counts, file_type_counts, web_categories, lexicon_categories, best_lexicon_category, category_dictionary, sorted_unions, not_yet_found, reachable)}
+QUERIES = {f.__name__: f for f in (searchable_pages, page_by_id, pages_by_category, result_projection, category_counts, host_counts, file_type_counts, web_categories, document_categories, lexicon_categories, best_lexicon_category, category_dictionary, sorted_unions, not_yet_found, reachable)}
 
 _BARE = r"regexp_replace(regexp_extract(lower(coalesce(source_url, url)), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^(.*?)www\.', '\1')"
 
@@ -105,6 +110,10 @@ def _count(x: str, term: str) -> str:
     return f"coalesce((length({x}) - length(replace({x}, '{term}', ''))) // {len(term)}, 0)"
 
 
+def _hits(x: str) -> str:
+    return f"((length({x}) - length(replace({x}, term, ''))) // length(term))"
+
+
 def _best() -> str:
     scores = []
     for i, (name, terms) in enumerate(fixed.PAGE_CATEGORIES.items()):
@@ -127,6 +136,13 @@ SQL = {
       min(crawled_at) AS first_crawl, max(crawled_at) AS last_crawl FROM pages GROUP BY 1""",
     "file_type_counts": "SELECT regexp_replace(coalesce(source, 'unknown'), '-?[0-9]+$', '') AS kind, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
     "web_categories": f"WITH p AS (SELECT page_id, lower(title) AS t, lower(relevant_content) AS c, lower(array_to_string(coalesce(keywords, []), chr(10))) AS k FROM pages), s AS (SELECT page_id, {_best()} AS b FROM p) SELECT page_id, CASE WHEN b.score > 0 THEN b.name ELSE 'general' END AS web_category FROM s",
+    "document_categories": rf"""WITH x AS (SELECT page_id, coalesce(title, '') AS t, array_to_string(coalesce(keywords, []), ' ') AS k, coalesce(relevant_content, '') AS c, concat_ws(' ', coalesce(title, ''), coalesce(relevant_content, '')) AS a FROM pages),
+      y AS (SELECT page_id, lower(t) AS t, lower(k) AS k, lower(c) AS c, {_SAMPLE.format(x='a')} AS s FROM x),
+      z AS (SELECT *, CASE WHEN coalesce(length(s) - length(regexp_replace(s, '{_AR}', '', 'g')) > (length(s) - length(regexp_replace(s, '[a-zA-Z]', '', 'g'))) * 1.5, false) THEN 'ar' ELSE 'en' END AS lang, list_concat({tokens_sql('t')}, {tokens_sql('k')}, {tokens_sql('c')}) AS own FROM y),
+      l AS (SELECT category, lang, lower(term) AS term FROM lexicon WHERE length(term) > 0),
+      h AS (SELECT page_id, category, 2.0::DOUBLE * {_hits('t')} + 1.5::DOUBLE * {_hits('k')} + {_hits('c')} + 2 * len(list_filter({tokens_sql('term')}, lambda w: length(w) > 2 AND list_contains(own, w))) AS score FROM z JOIN l USING (lang)),
+      g AS (SELECT page_id, category, sum(score) AS score FROM h WHERE score > 0 GROUP BY page_id, category), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, category) AS rn FROM g)
+      SELECT x.page_id, coalesce(r.category, 'general') AS category, round(coalesce(r.score, 0), 6)::DOUBLE AS score FROM x LEFT JOIN r ON x.page_id = r.page_id AND r.rn = 1""",
     "lexicon_categories": f"WITH {_LEX} SELECT * FROM g",
     "best_lexicon_category": f"WITH {_LEX}, r AS (SELECT doc_id, category, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, category) AS rn FROM g) SELECT d.doc_id, coalesce(r.category, 'general') AS best FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id AND r.rn = 1",
     "category_dictionary": f"""WITH p AS (SELECT page_id, lower({strip_sql("coalesce(category, '')")}) AS category, unnest(list_concat(coalesce(keywords, []), [title], [summary])) AS x FROM pages), k AS (SELECT DISTINCT page_id, category, unnest({_TOKENS}) AS keyword FROM p WHERE category <> '' AND category <> 'general'),

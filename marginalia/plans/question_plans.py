@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import questions as Q
 from ..session import table
-from .text_plans import _STOP, clean_sql, keywords_sql, strip_sql, tokens_sql, topics_sql, type_sql, words_sql
+from .text_plans import _STOP, arabic_sql, clean_sql, keywords_sql, strip_sql, tokens_sql, topics_sql, type_sql, words_sql
 
 
 def input_validation(spark, d):
@@ -25,13 +25,20 @@ def question_type_counts(spark, d):
     return done.groupBy("question_type", "is_valid").agg(F.count("*").alias("n"), F.round(F.avg("complexity_score"), 6).alias("mean_complexity"))
 
 
+def question_languages(spark, d):
+    """Language and confidence of every question by its frequent words (the tier with a detector)."""
+    q = table(spark, d, "question_analysis").select("question_id", "original_question").distinct()
+    language, confidence = Q.detected_language(F.col("original_question"), Q.T.guessed_language(F.col("original_question")))
+    return q.select("question_id", language.alias("language"), F.round(confidence, 6).alias("confidence"))
+
+
 def frequent_tokens(spark, d):
     return Q.frequent_tokens(table(spark, d, "documents"), "doc_id", "text")
 
 
 def token_antijoin(spark, d):
     """Corpus counts of question tokens that are no stop words (anti-join form)."""
-    stop = spark.createDataFrame([(w,) for w in fixed.STOPWORDS_EN], "token string")
+    stop = spark.createDataFrame([(w,) for w in fixed.STOPWORDS_EN], "token string")  # a fixed list, so the broadcast is bounded
     rows = table(spark, d, "question_analysis").select("question_id", F.explode(Q.T.tokens(F.col("original_question"))).alias("token")).filter(F.length("token") > 2)
     return rows.join(F.broadcast(stop), "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("question_id").alias("n_questions"))
 
@@ -52,7 +59,7 @@ def language_lookup(spark, d):
     return q.join(F.broadcast(known), "code", "left").select("question_id", F.coalesce("code", F.lit("en")).alias("code"), F.coalesce("instruction", F.lit("English")).alias("instruction")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (input_validation, question_analysis, question_type_counts, frequent_tokens, token_antijoin, recent_messages, language_lookup)}
+QUERIES = {f.__name__: f for f in (input_validation, question_analysis, question_type_counts, question_languages, frequent_tokens, token_antijoin, recent_messages, language_lookup)}
 
 _T = strip_sql("message")
 _MEANING = rf"""len(list_filter({words_sql(rf"regexp_replace(lower({_T}), '[^\p{{L}}\p{{N}}_\s]', '', 'g')")}, lambda w: length(w) > 2 AND w NOT IN ({_STOP}))) > 0"""
@@ -68,7 +75,13 @@ _ANALYSED = rf"""
   s AS (SELECT *, round(least(1.0, least(1.0, word_count / 50) * 0.3::DOUBLE + least(1.0, sentence_count / 5) * 0.2::DOUBLE + least(1.0, len(keywords) / 10) * 0.2::DOUBLE + least(1.0, len(topics) / 3) * 0.15::DOUBLE + CASE WHEN question_type IN ('comparison', 'procedure', 'definition') THEN 0.15::DOUBLE ELSE 0 END), 6) AS complexity_score,
     round(greatest(0.0, least(1.0, 0.15::DOUBLE + CASE WHEN word_count >= 3 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(keywords) > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(topics) > 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN question_type <> 'general' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN word_count < 2 OR word_count > 100 THEN 0.1::DOUBLE ELSE 0 END)), 6) AS confidence_score FROM f)
 """
+_WORDS_OF = {lang: ", ".join(f"'{w}'" for w in words) for lang, words in fixed.COMMON_WORDS.items()}
+_GUESS = "list_max([" + ", ".join(f"{{'n': len(list_filter(ws, lambda w: w IN ({words}))), 'o': {-i}, 'lang': '{lang}'}}" for i, (lang, words) in enumerate(_WORDS_OF.items())) + "])"
+_HINTS = " + ".join(f"CASE WHEN contains(lower(x), '{w}') THEN 1 ELSE 0 END" for w in fixed.ENGLISH_HINTS)
 SQL = {
+    "question_languages": f"""WITH q AS (SELECT DISTINCT question_id, original_question AS x FROM question_analysis), t AS (SELECT *, {tokens_sql('x')} AS ws, CAST(len({words_sql('x')}) AS BIGINT) AS n FROM q), g AS (SELECT *, {_GUESS} AS best FROM t),
+      d AS (SELECT *, CASE WHEN x IS NULL THEN NULL WHEN {arabic_sql('x')} THEN 'ar' WHEN best.n > 0 THEN best.lang END AS found, least(0.9::DOUBLE, 0.5::DOUBLE + n * 0.05::DOUBLE) AS base, {_HINTS} AS hints FROM g)
+      SELECT question_id, CASE WHEN n < 3 THEN 'en' ELSE coalesce(found, 'en') END AS language, round(CASE WHEN n < 3 THEN 0.7::DOUBLE WHEN found IS NULL THEN 0.6::DOUBLE WHEN found = 'en' THEN least(0.95::DOUBLE, base + hints * 0.05::DOUBLE) ELSE base END, 6) AS confidence FROM d""",
     "input_validation": f"SELECT message_id, {_ERROR} AS input_error, CASE WHEN message IS NULL OR {_T} = '' THEN 'Message is empty' WHEN length({_T}) < 2 THEN 'Message too short' WHEN length(message) > 2000 THEN 'Message too long' END AS message_error FROM user_messages",
     "question_analysis": _ANALYSED + """SELECT message_id, c AS cleaned, CASE WHEN c IS NOT NULL THEN 'en' END AS language, CASE WHEN c IS NOT NULL THEN 0.5::DOUBLE END AS language_confidence, topics, keywords, entities, question_type, word_count, sentence_count, CASE WHEN c IS NOT NULL THEN complexity_score END AS complexity_score, CASE WHEN c IS NOT NULL THEN confidence_score END AS confidence_score,
       c IS NOT NULL AND confidence_score >= 0.6 AND len(keywords) > 0 AS is_valid, CASE WHEN e IS NOT NULL THEN e WHEN len(keywords) = 0 THEN 'No keywords found' WHEN confidence_score < 0.6 THEN 'Confidence too low' END AS error_message FROM s""",

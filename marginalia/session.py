@@ -29,11 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests) make one."""
+    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests, the benchmark) gets a temporary one; a cluster raises, as its executors
+    share no local folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "marginalia-checkpoints"))
 
 

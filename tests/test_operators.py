@@ -68,9 +68,36 @@ def test_addresses(spark):
 
 
 def test_best_category_ties(spark):
-    lexicon = {"b": ["x"], "a": ["y"]}
-    assert one(spark, categories.best_category([(F.col("x"), 1.0)], lexicon), "x y") == "b"
-    assert one(spark, categories.best_category([(F.col("x"), 1.0)], lexicon), None) == "general"
+    lexicon = {"b": ["x", "xx"], "a": ["y"]}
+    df = spark.createDataFrame([(1, "X y"), (2, None), (3, ""), (4, "yy x"), (5, "xxx"), (6, "none")], "k long, t string").withColumn("extra", F.lit(1))
+    got = {r.k: (r.category, r.score) for r in categories.scored_categories(df, "k", [(F.col("t"), 1.0)], lexicon).collect()}
+    assert got == {1: ("b", 1.0), 2: ("general", 0.0), 3: ("general", 0.0), 4: ("a", 2.0), 5: ("b", 4.0), 6: ("general", 0.0)}
+    assert categories.scored_categories(df.limit(0), "k", [(F.col("t"), 1.0)], lexicon).count() == 0
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_lexicon_matches(spark, monkeypatch, limit):
+    """Against ``str.count``, with all terms in one automaton or in several passes."""
+    monkeypatch.setattr(categories, "LEXICON_ROWS", limit)
+    rnd = random.Random(3)
+    terms = [(rnd.choice("pqr"), "".join(rnd.choice("abA") for _ in range(rnd.randint(0, 3)))) for _ in range(14)]
+    texts = [(i, rnd.choice([None, "".join(rnd.choice("aBb ") for _ in range(30))])) for i in range(40)]
+    got = {(r.k, r.category): (r.n_terms, r.n) for r in categories.lexicon_matches(spark.createDataFrame(texts, "k long, t string"), "k", "t", spark.createDataFrame(terms, "category string, term string")).collect()}
+    want = {}
+    for k, t in texts:
+        for c, term in {(c, term.lower()) for c, term in terms if term}:
+            if t and (n := t.lower().count(term)):
+                a, b = want.get((k, c), (0, 0))
+                want[k, c] = (a + 1, b + n)
+    assert got == want and want
+
+
+def test_document_categories(spark):
+    lexicon = spark.createDataFrame([("fees", "en", "tuition fee", 1), ("sport", "en", "gym", 1), ("fees", "ar", "رسوم", 1)], "category string, lang string, term string, ord int")
+    rows = [(1, "Tuition fee", "gym", "the fee for tuition", "en"), (2, "", "", "رسوم رسوم", "ar"), (3, None, None, None, None), (4, "", "", "gym tuition fee", "de")]
+    df = spark.createDataFrame(rows, "k long, t string, w string, c string, l string")
+    got = {r.k: (r.category, r.score) for r in categories.document_categories(df, "k", F.col("t"), F.col("w"), F.col("c"), F.col("l"), lexicon).collect()}
+    assert got == {1: ("fees", 6.0), 2: ("fees", 4.0), 3: ("general", 0.0), 4: ("fees", 5.0)}
 
 
 def naive_lru(keys, capacity):
@@ -101,9 +128,44 @@ def test_cache_replays(spark, seed):
     assert {r.seq: r.hit for r in caches.ttl_replay(df, partitions=7).collect()} == want
 
 
+def naive_cache(rows, capacity):
+    """A cache as the operators describe it: an ordered map that is evicted before each write."""
+    held, out = OrderedDict(), {}
+    for i, k, t, ttl in sorted(rows, key=lambda r: (r[2], r[0])):
+        until = held.get(k)
+        if until is not None and t <= until:
+            held.move_to_end(k)
+            out[i] = "hit"
+            continue
+        out[i] = "absent" if until is None else "expired"
+        held.pop(k, None)
+        while len(held) >= capacity:
+            held.popitem(last=False)
+        life = 3600 if ttl is None else ttl
+        held[k] = t + life if life > 0 else float("inf")
+    return out
+
+
+@pytest.mark.parametrize("keys, capacity", [("aaaabcdefgh", 4), ("ab", 5), ("abcdefghijklmnop", 3), ("a", 1)])
+def test_cache_replay(spark, keys, capacity):
+    rnd = random.Random(len(keys))
+    rows = [(i, rnd.choice(keys), rnd.randint(0, 3000), rnd.choice([20, 100, 400, None, 0])) for i in range(500)]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [(900, None, 5, 5, "x")], "seq long, cache_key string, t long, ttl int, k string").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.seq: r.outcome for r in caches.cache_replay(df, capacity=capacity, block=23, partitions=9).collect()}
+    assert got == naive_cache(rows, capacity)
+
+
+def test_hot_key_over_many_blocks(spark):
+    """Regular accesses whose chain of misses depends on where it began: every block waits for the one before."""
+    rows = [(i, "hot", i, 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, cache_key string, t long, ttl int").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.seq: r.hit for r in caches.ttl_replay(df, partitions=11).collect()}
+    assert got == {i: i % 8 != 0 for i in range(300)}
+
+
 def test_cache_replays_empty(spark):
     df = spark.createDataFrame([], "seq long, cache_key string, ttl int, ts timestamp")
-    assert caches.ttl_replay(df).count() == 0 and caches.lru_replay(df).count() == 0
+    assert caches.ttl_replay(df).count() == 0 and caches.lru_replay(df).count() == 0 and caches.cache_replay(df).count() == 0
 
 
 @pytest.mark.parametrize("block", [1, 7, 1000])
@@ -166,26 +228,75 @@ def test_full_scores(spark):
     assert got == want
 
 
-def test_passage():
+def test_snippet(spark):
     text = "Alpha beta gamma. " * 10 + "The library opens at eight. " + "Delta epsilon. " * 40
-    got = search.best_passage(text, ["library"], 120)
-    assert "library opens" in got and len(got) <= 123
-    assert search.best_passage(text, [], 20) == text[:20]
-    assert search.best_passage("short", ["x"], 100) == "short"
-    assert search.best_passage(None, ["x"]) is None
+    long = "word " * 150
+    df = spark.createDataFrame([(1, text, ["library"]), (2, text, []), (3, "short  <b>text</b>", ["x"]), (4, None, ["x"]), (5, "", ["x"]), (6, long, ["none"]), (7, text, None), (8, text, ["", "Library", "gamma"]), (9, long + ". gamma here", ["gamma"])], "k long, c string, t array<string>")
+    got = {r.k: r.s for r in df.select("k", search.snippet(F.col("c"), F.col("t"), 120).alias("s")).collect()}
+    assert got[1] == "The library opens at eight" or got[1].startswith("Alpha beta gamma  The library opens at eight  Delta")
+    assert got[2] == text[:120] and got[3] == "short text" and got[4] is None and got[5] == "" and got[6] == long.strip()[:120] + "..." and got[7] == text[:120]
+    assert got[8].startswith("The library opens at eight Alpha beta gamma Alpha") and len(got[8]) <= 120 and got[9] == "gamma here"
+
+
+def naive_truncation(prompt, most, heading):
+    """By hand: keep context lines from the first while they fit into what the rest leaves."""
+    if len(prompt) <= most:
+        return prompt
+    lines = prompt.split("\n")
+    opens = [i for i, l in enumerate(lines) if heading in l]
+    if opens:
+        closes = [i for i, l in enumerate(lines) if i > opens[0] and l.startswith("###") and "Context" not in l]
+        first, end = opens[0] + 1, (closes or [len(lines)])[0]
+        room = most - 100 - len("\n".join(lines[:first] + lines[end:]))
+        if room > 0:
+            fits = [j for j in range(first, end + 1) if sum(len(l) + 1 for l in lines[first:j]) <= room]
+            note = ["...[Content truncated due to length limits]"] if first < fits[-1] < end else []
+            prompt = "\n".join(lines[:first] + lines[first : fits[-1]] + note + lines[end:])
+    return prompt if len(prompt) <= most else prompt[: most - 50] + "\n...[Truncated]"
+
+
+def test_truncation(spark):
+    rnd = random.Random(7)
+    heading = "### Knowledge Context"
+    prompts = [None, "", "short", "x" * 900, "intro\n" + heading + "\n" + "y" * 900, heading + "\n" + "a\n" * 400]
+    for _ in range(60):
+        body = ["line " + "z" * rnd.randint(0, 60) for _ in range(rnd.randint(0, 40))]
+        prompts.append("\n".join(["intro " * rnd.randint(1, 80), *([heading] if rnd.random() < 0.9 else []), *body, *rnd.choice([[], ["### Question", "q " * rnd.randint(1, 60)], ["### More Context", "c" * 80, "### Question"]])]))
+    df = spark.createDataFrame(list(enumerate(prompts)), "k long, p string")
+    got = {r.k: r.p for r in context.truncate_prompts(df, "k", "p", 600).collect()}
+    assert got == {k: None if p is None else naive_truncation(p, 600, heading) for k, p in enumerate(prompts)}
+
+
+def test_two_decimals(spark):
+    rnd = random.Random(8)
+    values = [i / 1000 for i in range(3000)] + [rnd.random() * 5 for _ in range(500)] + [0.125, 0.375, 2.675, 1.005, 0.295, 4.0]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in values], "x double").select(context.two_decimals(F.col("x")).alias("y")).collect()]
+    assert got == [f"{v:.2f}" for v in values]
 
 
 def test_context_and_prompt(spark):
     hits = spark.createDataFrame([(1, 1, "u1", 0.5, "a" * 300), (1, 2, None, 0.0, " "), (1, 3, "u3", 0.25, "b" * 4000), (1, 4, "u4", 0.1, "c")], "q long, r int, url string, s double, c string")
     row = context.pack_context(hits, "q", "r", "url", "s", "c", 1000).first()
     assert row.n_entries == 2 and "--- Source 1 ---\nURL: u1\nRelevance: 0.50\n" in row.context and "--- Source 3 ---" in row.context and "[truncated]" in row.context and "Source 4" not in row.context
-    prompt = "intro\n### Knowledge Context\n" + "\n".join(f"line {i}" for i in range(200)) + "\n### Question\nq?"
-    short = context._shorten(prompt, 600, "### Knowledge Context")
-    assert len(short) <= 600 and short.endswith("### Question\nq?") and "[Content truncated" in short
-    assert context._shorten("x" * 900, 600, "#").endswith("[Truncated]")
     assert one(spark, context.template_errors(F.col("x")), "{context} {question") == ["missing {question}", "missing {language_instruction}", "unequal braces"]
 
 
+@pytest.mark.parametrize("text, want", [("What is the fee for my course?", "en"), ("Comment est-ce que je peux payer les frais ?", "fr"), ("Wie kann ich das Buch zurückgeben?", "de"), ("¿Cómo puedo pagar la matrícula?", "es"), ("كيف أدفع الرسوم", "ar"), ("zzz yyy", None), (None, None)])
+def test_guessed_language(spark, text, want):
+    assert one(spark, T.guessed_language(F.col("x")), text) == want
+
+
+def test_whole_search(spark):
+    pages = spark.createDataFrame([(1, "Library hours", "Opening times", ["hours"], "the library opens at eight", None, "The library opens at eight. Bring a card."), (2, "Fees", None, None, "fee schedule", None, None), (3, None, None, None, None, None, "library")], PAGES + ", relevant_content string")
+    asked = spark.createDataFrame([(20, ["library"], ["opens"]), (40, [], None), (60, ["nothing here"], [])], "q long, topics array<string>, keywords array<string>")
+    texts = pages.select("page_id", F.concat_ws(" ", "title", "summary", "search_text").alias("text"))
+    got = search.searched(asked, pages, texts, "q", "page_id").collect()
+    assert [(r.question, r.page, r.rank, r.matched) for r in got] == [(20, 1, 1, ["library", "opens"])]
+    basic = naive_score((1, "Library hours", "Opening times", ["hours"], "the library opens at eight", None), ["library", "opens"])[0]
+    cos = {(r.q, r.page_id): r.cosine for r in search.cosine(search.query_vectors(spark.createDataFrame([(20, "library opens")], "q long, t string"), "q", "t", search.tfidf(texts, "page_id", "text")[1]), "q", search.tfidf(texts, "page_id", "text")[0], "page_id").collect()}[20, 1]
+    assert got[0].score == pytest.approx(0.6 * basic + 0.4 * cos) and got[0].snippet == "The library opens at eight. Bring a card."
+
+
 def test_fallbacks(spark):
     assert one(spark, questions.fallback_answer(F.col("x")), "Rate LIMIT hit") == "busy"
     assert one(spark, questions.fallback_answer(F.col("x"), "custom"), "boom") == "custom"
