@@ -183,26 +183,51 @@ def snippet(content: Column, terms: Column, most: int = 500) -> Column:
     without a match its start and ``...``; if less than half of ``most`` is filled, the best sentence with its neighbours
     where these fit. Null for null, the cleaned text itself where it is short enough.
     """
-    text = T.clean_for_search(content)
     low_terms = F.filter(F.transform(terms, F.lower), lambda t: t != "")
-    sentences = T.sentence_parts(text)
-
-    def rated(sentence: Column, place: Column) -> Column:
-        low = F.lower(T.strip(sentence))
-        score = F.aggregate(low_terms, F.lit(0).cast("bigint"), lambda total, t: total + T.count_of(low, t) * F.length(t))
-        return F.struct((-score).alias("score"), place.alias("place"), T.strip(sentence).alias("sentence"))
-
-    ranked = F.array_sort(F.filter(F.transform(sentences, rated), lambda r: r["score"] < 0))
-    # the joined length up to each sentence grows, so those that fit are a prefix
-    lengths = F.transform(ranked, lambda r: F.length(r["sentence"]) + 1)
-    room = lambda i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(-1), lambda total, n: total + n)
-    packed = F.array_join(F.transform(F.filter(ranked, lambda r, i: room(i) <= most), lambda r: r["sentence"]), " ")
-    best = F.get(ranked, F.lit(0))["place"]
-    around = T.strip(F.array_join(F.slice(sentences, F.greatest(best, F.lit(1)), F.when(best > 0, 3).otherwise(2)), " "))
-    body = F.when((F.length(packed) < most // 2) & (F.length(around) <= most), around).otherwise(packed)
-    marked = F.when(F.length(body) == most, F.concat(body, F.lit("..."))).otherwise(body)
-    found = F.when(F.size(ranked) > 0, marked).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
-    return F.when(content.isNull() | (content == ""), content).when(F.coalesce(F.size(terms), F.lit(0)) <= 0, F.substring(content, 1, most)).when(F.length(text) <= most, text).otherwise(found)
+
+    def ranked_sentences(sentences: Column) -> Column:
+        """(score negated, place from 0, sentence) of the sentences that match, the best first."""
+
+        def rated(sentence: Column, place: Column) -> Column:
+            score = F.aggregate(low_terms, F.lit(0).cast("bigint"), lambda total, t: total + T.count_of(F.lower(sentence), t) * F.length(t))
+            return F.struct((-score).alias("score"), place.alias("place"), sentence.alias("sentence"))
+
+        return F.array_sort(F.filter(F.transform(F.transform(sentences, T.strip), rated), lambda r: r["score"] < 0))
+
+    def packed_sentences(ranked: Column) -> Column:
+        """The ranked sentences that fit, joined; the first that does not ends the text."""
+        start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+
+        def add(state: Column, r: Column) -> Column:
+            longer = F.when(state["text"] == "", r["sentence"]).otherwise(F.concat_ws(" ", state["text"], r["sentence"]))
+            fits = ~state["full"] & (F.length(longer) <= most)
+            return F.struct(F.when(fits, longer).otherwise(state["text"]).alias("text"), (~fits).alias("full"))
+
+        return F.aggregate(ranked, start, add)["text"]
+
+    def finished(packed: Column, around: Column) -> Column:
+        body = F.when((F.length(packed) < most // 2) & (F.length(around) <= most), around).otherwise(packed)
+        return F.when(F.length(body) == most, F.concat(body, F.lit("..."))).otherwise(body)
+
+    def chosen(text: Column, sentences: Column) -> Column:
+        def with_ranked(ranked: Column) -> Column:
+            best = F.get(ranked, F.lit(0))["place"]
+            around = T.strip(F.array_join(F.slice(sentences, F.greatest(best, F.lit(1)), F.when(best > 0, 3).otherwise(2)), " "))
+            found = _let(packed_sentences(ranked), lambda packed: finished(packed, around))
+            return F.when(F.size(ranked) > 0, found).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
+
+        return _let(ranked_sentences(sentences), with_ranked)
+
+    def of_text(text: Column) -> Column:
+        return F.when(F.length(text) <= most, text).otherwise(_let(T.sentence_parts(text), lambda sentences: chosen(text, sentences)))
+
+    none = F.coalesce(F.size(terms), F.lit(0)) <= 0
+    return F.when(content.isNull() | (content == ""), content).when(none, F.substring(content, 1, most)).otherwise(_let(T.clean_for_search(content), of_text))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def searched(questions: DataFrame, pages: DataFrame, texts: DataFrame, question_key: str, page_key: str, top: int = 10, least: float = 0.1) -> DataFrame:
