@@ -53,7 +53,7 @@ def _shape(line: str) -> list[str]:
         out.append("b" + (b.group(1) or "1"))
     if text[-1] in ".?!؟":
         out.append("end" + text[-1])
-    parts = _PIECES.split(text)
+    parts = _PIECES.split(text) if "  " in text or any(m in text for m in "|·/»>›") else ()
     if len(parts) > 2:
         words = text.count(" ") + 1
         out.append("pieces%d" % min(len(parts), 6))
@@ -293,7 +293,7 @@ def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tupl
     pages: list[int] = []
     where: list[list[int]] = []
     lines_of: list[list[str]] = []
-    placed: dict[tuple[str, str], float] = {}
+    placed: dict[tuple[int, int], float] = {}
     block = -1
     for text in texts:
         lines = text.split("\n") if text else []
@@ -322,11 +322,13 @@ def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tupl
             blocks.append(block)
             kept.append(i)
         at = len(evidence) - len(kept)
+        first, last = (anchors[0], anchors[-1]) if anchors else (-1, -1)
         for i, kind in enumerate(kinds):
-            place = place_of(i, kind, anchors)
-            odds = placed.get(place)
+            gap = -1 - min(first - i, 4) if i < first else min(i - last, 4) if i > last else 0
+            spot = (gap if anchors else 9, kind if kind < 2 else 2)
+            odds = placed.get(spot)
             if odds is None:
-                odds = placed[place] = model.at(place)
+                odds = placed[spot] = model.at(place_of(i, kind, anchors))
             evidence[at + i] += odds
         where.append(kept)
     p = model.marginals(np.array(evidence), np.array(blocks, np.int64), np.array(pages, np.int64))

@@ -70,7 +70,7 @@ class Triples:
         for i, t in enumerate(texts):
             words = _WORD.findall(t.lower())
             lens[i] = len(words)
-            for w in set(words) - known.keys():
+            for w in set(words).difference(known):
                 known[w] = xxhash.xxh64_intdigest(w)
             flat += map(known.__getitem__, words)
         h = np.array(flat, np.uint64)
