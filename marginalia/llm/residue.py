@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import phrases
-from .boilerplate import STEM, _shape, _tokens, line_chances, line_model, slices
+from .boilerplate import STEM, _TOKEN, _shape, _tokens, line_chances, line_model, slices
 from .learn import fit_logistic
 from .spam import FUNCTION
 
@@ -101,6 +101,11 @@ class NoticeModel:
         self.telling_stems = {f: w for f in self.stems if (w := self.weights.get("p:" + f, 0.0)) > TELLING}
         self.said: dict[str, float] = {}
 
+    def present(self, words: set[str]) -> list[tuple[str, float]]:
+        """Telling words among these and telling beginnings of theirs, with their weights."""
+        begins = {w[:STEM] for w in words if len(w) > STEM} & self.telling_stems.keys()
+        return [(w, self.telling_words[w]) for w in words & self.telling_words.keys()] + [(b, self.telling_stems[b]) for b in begins]
+
     def telling(self, words: set[str], begins: set[str] | None = None) -> bool:
         """Whether the telling words among these, and their beginnings, weigh ``ENOUGH``; other sentences never count."""
         begins = {w[:STEM] for w in words if len(w) > STEM} if begins is None else begins
@@ -251,11 +256,17 @@ def filler(lines: list[str], model: NoticeModel) -> bool:
                 run = run + 1 if w in _FILLER else 0
                 if run >= 5:
                     return True
-        if not model.telling(seen):
+        present = model.present(seen)
+        if sum(w for _, w in present) <= ENOUGH:
             continue
-        parts = [(p, t) for p in _SENTENCE.split(line) if (t := set(_tokens(p)))]
-        odds = [model.odds(p) if model.telling(t) else NOTHING for p, t in parts]
-        parts = [p for p, _ in parts]
+        parts, odds = [], []
+        for p in _SENTENCE.split(line):
+            low = p.lower()
+            # telling words that stand in the sentence as letters bound those that stand in it as words
+            may = sum(w for t, w in present if t in low) > ENOUGH
+            if may or _TOKEN.search(low):
+                parts.append(p)
+                odds.append(model.odds(p) if may and model.telling(set(_tokens(p))) else NOTHING)
         if any(o > SURE and len(p) > 8 for p, o in zip(parts, odds, strict=True)):
             return True
         # neighbours are scored together where one of them leans towards filler
