@@ -64,3 +64,10 @@ COMMON_WORDS = {
     "de": ["der", "die", "das", "und", "ist", "ich", "sie", "mit", "nicht", "ein", "eine", "wie", "wann", "kann", "zu", "im", "auf", "den", "dem", "für"],
     "es": ["el", "la", "los", "las", "y", "es", "para", "con", "que", "una", "en", "mi", "se", "del", "como", "cuando", "por", "un", "qué", "cómo"],
 }
+# Markup of pages: tags whose text is no content, tags without an end, tags that end a paragraph, classes of the content's element,
+# words that are no keywords.
+DROPPED_TAGS = ["script", "style", "noscript", "header", "nav", "footer", "aside"]
+VOID_TAGS = ["meta", "link", "br", "img", "input", "hr", "source", "area", "base", "col", "embed", "track", "wbr"]
+CLOSE_PARAGRAPH = ["p", "ul", "ol", "div", "table", "section", "h1", "h2", "h3", "h4", "h5", "h6"]
+CONTENT_CLASSES = ["content", "main", "article", "post-body", "entry"]
+PAGE_STOPWORDS = ["the", "and", "for", "with", "this", "that", "our", "are", "you", "your", "not", "all", "from", "more", "about", "also", "have", "was", "but", "can", "page", "site", "click", "here", "content"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import re
 import zipfile
@@ -13,7 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _DC = "{http://purl.org/dc/elements/1.1/}"
+#: Modules with a ``PdfReader``, in the order in which they are tried.
+PDF_READERS = ("pypdf", "PyPDF2")
+#: Characters kept of a document; more is cut and marked.
+MOST_CONTENT = 75_000
 #: Rows read from each sheet, and sheets that hold no content.
 SHEET_ROWS, SKIPPED_SHEETS = 50, ("metadata", "summary", "info")
 SCHEMA = "path string, file_type string, size long, title string, content string, error string"
@@ -36,16 +42,25 @@ def docx_text(data: bytes, stem: str) -> tuple[str, str]:
     return named or (paragraphs[0] if paragraphs else stem), "\n".join(paragraphs + [r for r in rows if r])
 
 
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str | None, str]]:
+    """(name, file) of the sheets in the workbook's order, by its relations; without them sheets are numbered."""
+    sheets = list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"))
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target") or ""
+            targets[r.get("Id")] = target[1:] if target.startswith("/") else f"xl/{target}"
+    return [(s.get("name"), targets.get(s.get(f"{_R}id"), f"xl/worksheets/sheet{i}.xml")) for i, s in enumerate(sheets, 1)]
+
+
 def xlsx_text(data: bytes, stem: str) -> tuple[str, str]:
     """(title, text): a heading line per sheet, then its rows with cells between bars; sheets of metadata are skipped."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
         out = []
-        for name, file in zip(sheets, files, strict=False):
-            if any(w in (name or "").lower() for w in SKIPPED_SHEETS):
+        for name, file in _sheets(z):
+            if any(w in (name or "").lower() for w in SKIPPED_SHEETS) or file not in names:
                 continue
             out.append(f"Sheet: {name}")
             for row in list(ElementTree.fromstring(z.read(file)).iter(f"{_S}row"))[:SHEET_ROWS]:
@@ -59,12 +74,19 @@ def xlsx_text(data: bytes, stem: str) -> tuple[str, str]:
 
 
 def pdf_text(data: bytes, stem: str) -> tuple[str, str]:
-    """(title, text) with a mark before each page; needs ``pypdf``, and raises ImportError without it."""
-    from pypdf import PdfReader
+    """(title, text) with a mark before each page, by the first reader that is installed and can read the file.
 
-    reader = PdfReader(io.BytesIO(data))
-    pages = [f"--- Page {i + 1} ---\n{t}" for i, p in enumerate(reader.pages) if (t := (p.extract_text() or "").strip())]
-    return (reader.metadata and reader.metadata.title) or stem, "\n".join(pages)
+    Raises the last reader's error; ImportError where none is installed.
+    """
+    error: Exception = ImportError("no PDF reader is installed")
+    for name in PDF_READERS:
+        try:
+            reader = importlib.import_module(name).PdfReader(io.BytesIO(data))
+            pages = [f"--- Page {i + 1} ---\n{t}" for i, p in enumerate(reader.pages) if (t := (p.extract_text() or "").strip())]
+            return (reader.metadata and reader.metadata.title) or stem, "\n".join(pages)
+        except Exception as e:  # the next reader may do better
+            error = e
+    raise error
 
 
 READERS = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
@@ -81,7 +103,8 @@ def read_office(spark: SparkSession, folder: str) -> DataFrame:
                 stem, _, kind = path.rsplit("/", 1)[-1].rpartition(".")
                 try:
                     title, text = READERS[kind.lower()](bytes(data), stem)
-                    rows.append((path, kind.lower(), size, title, re.sub(r"[ \t]+", " ", text).strip()[:75000], None))
+                    text = re.sub(r"[ \t]+", " ", text).strip()
+                    rows.append((path, kind.lower(), size, title, text[:MOST_CONTENT] + "..." if len(text) > MOST_CONTENT else text, None))
                 except Exception as e:  # one bad file must not end the run
                     rows.append((path, kind.lower(), size, stem, None, f"{type(e).__name__}: {e}"[:200]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])

@@ -189,6 +189,15 @@ def test_graph(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
+def test_crawl(spark):
+    links = [("a", 0, "b"), ("a", 1, "c"), ("a", 2, "b"), ("c", 0, "e"), ("b", 0, "d"), ("b", 1, "a"), ("d", 0, "f"), ("f", 0, "g"), ("d", 1, None)]
+    df = spark.createDataFrame(links, "src string, pos int, dst string")
+    run = lambda **k: [(r.url, r.step) for r in graph.crawled(df, "a", **k).collect()]
+    assert run(depth=2) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 2), ("f", 3)]
+    assert run(most=3) == [("a", 0), ("b", 1), ("c", 1)] and run() == [*run(depth=2), ("g", 4)] and run(most=1) == [("a", 0)]
+    assert [r.url for r in graph.crawled(df.limit(0), "z").collect()] == ["z"]
+
+
 PAGES = "page_id long, title string, summary string, keywords array<string>, search_text string, structured_content struct<headings: array<string>, sections: int>"
 
 

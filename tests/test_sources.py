@@ -48,7 +48,8 @@ def test_office(spark, tmp_path):
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     (tmp_path / "sub").mkdir()
     with zipfile.ZipFile(tmp_path / "sub" / "b.xlsx", "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {s}><sheets><sheet name="Data"/><sheet name="Info"/></sheets></workbook>')
+        z.writestr("xl/workbook.xml", f'<workbook {s} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Info" r:id="r1"/><sheet name="Data" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet2.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>hello</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c><c><v>5</v></c></row></sheetData></worksheet>')
         z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {s}><sheetData><row><c><v>9</v></c></row></sheetData></worksheet>")
@@ -63,10 +64,16 @@ def test_office(spark, tmp_path):
 
 def test_web(spark):
     html = "<title>Big Library Guide</title><nav>menu</nav><article><h1>Opening hours</h1><p>The library opens at eight every single day.<ul><li>one<li>two</ul><a href='/x'>x</a><a href='#y'>y</a><img src='a.png'></article>"
-    rows = spark.createDataFrame([(html, "https://a.test/p"), (None, "https://a.test/q"), ("", "https://a.test/r")], "h string, u string").select(web.parsed(F.col("h"), F.col("u")).alias("p"), web.needs_scripts(F.col("h")).alias("js")).collect()
-    p = rows[0].p
-    assert p.title == "Big Library Guide" and "menu" not in p.content and p.headings[0].text == "Opening hours" and p.lists[0]["items"] == ["one", "two"] and p.hrefs == ["/x", "#y"] and "library" in p.keywords and rows[0].js
-    assert rows[1].p.title is None and rows[2].p.title == "/r"
+    rows = spark.createDataFrame([(1, html, "https://a.test/p", 0), (2, None, "https://a.test/q", 0), (3, "", "https://a.test/r", 0), (4, "<body>" + "word " * 20000, None, 0), (5, "<nav>x</nav><div class='page-content'>inside</div><div>outside</div>", None, 0), (6, "<div>all</div><script>no()</script> of it", None, 0)], "k long, h string, u string, title int")
+    got = {r.k: r for r in web.parsed(rows, "k", "h", "u").collect()}
+    p = got[1]
+    assert p.title == "Big Library Guide" and p.content == "Opening hours The library opens at eight every single day. one two x y" and p.headings[0].text == "Opening hours" and p.lists[0]["items"] == ["one", "two"] and p.hrefs == ["/x", "#y"]
+    assert p.keywords[:4] == ["opening", "hours", "library", "guide"] and "eight" in p.keywords and p.paragraphs == ["The library opens at eight every single day."] and p.images == ["a.png"]
+    assert got[2].title is None and got[2].keywords == [] and got[3].title == "/r" and got[4].title == "Untitled" and len(got[4].content) == 75003 and got[5].content == "inside" and got[6].content == "all of it"
+    assert [r.js for r in rows.orderBy("k").select(web.needs_scripts(F.col("h")).alias("js")).collect()] == [True, None, True, False, True, True]
+    index = "<sitemapindex><sitemap><loc>https://a.test/s1.xml</loc></sitemap><sitemap><loc>https://a.test/none.xml</loc></sitemap></sitemapindex>"
+    tree = spark.createDataFrame([("https://a.test/sitemap.xml", index), ("https://a.test/s1.xml", "<urlset><url><loc>https://a.test/in</loc></url></urlset>"), ("https://a.test/s2.xml", "<urlset><url><loc>https://a.test/out</loc></url></urlset>"), ("https://a.test/sitemap.txt", "https://a.test/line")], "address string, value string")
+    assert [r.url for r in web.sitemap_tree(tree, ["https://a.test/sitemap.xml", "https://a.test/sitemap.txt"]).collect()] == ["https://a.test/in", "https://a.test/line"]
     maps = spark.createDataFrame([("<urlset><url><loc>https://a.test/1</loc></url><url><loc> https://a.test/x.pdf </loc></url></urlset>",), ("https://a.test/2\nhttps://a.test/1\nnope",)], "value string")
     urls = web.sitemap_urls(maps)
     assert [r.url for r in urls.collect()] == ["https://a.test/1", "https://a.test/2"]
