@@ -101,25 +101,40 @@ def similarity_udf():
     return ratio
 
 
+def _without_one(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
+def _deletions(word: Column) -> Column:
+    """A word of at most nine letters and what is left of it without one or two letters, as far as its length allows."""
+    one = _without_one(word)
+    two = F.flatten(F.transform(one, _without_one))
+    n = F.length(word)
+    return F.array_distinct(F.when(n <= 2, F.array(word)).when(n <= 4, F.concat(F.array(word), one)).otherwise(F.concat(F.array(word), one, two)))
+
+
 def fuzzy_words(vocabulary: DataFrame, terms: DataFrame, least: float = 0.8) -> DataFrame:
-    """(term, word, similarity): distinct pairs more alike than ``least``.
+    """(term, word, similarity): distinct pairs more alike than ``least`` (0.8 or above).
 
-    The ratio is ``2m / (a + b)`` for m matching letters, so a pair above 0.8 has lengths within a factor of 1.5 and
-    shares more than 0.8 of the mean length in letters; for words of five letters or more some two letters in a row must
-    match, so pairs are joined on letter pairs and length, and only survivors reach the UDF. Shorter words are compared
-    by single letters.
+    The ratio is ``2m / (a + b)`` for m matching letters of words of a and b letters, so above 0.8 fewer than a fifth of all
+    letters have no match. Where a + b is at most 15 these are two at most: deleting them makes both words equal, so such
+    pairs are joined on what deletions leave. Longer pairs keep at least two matching letters in a row and are joined on
+    letter pairs together with the word's length. No pair is lost; only pairs with enough letters in common reach the UDF.
     """
-    t = terms.select("term", F.lower("term").alias("low")).distinct()
-    v = vocabulary.select("word").distinct()
-    length = (2 * F.least(F.length("low"), F.length("word")) > least * (F.length("low") + F.length("word")))
-    gram = lambda c: F.when(F.length(c) >= 5, _grams(c, 2)).otherwise(_grams(c, 1))
-    # a word of four letters may meet one of five, so both sides of that border use single letters too
-    gt = F.when(F.length("low").between(5, 7), F.array_union(_grams(F.col("low"), 2), _grams(F.col("low"), 1))).otherwise(gram(F.col("low")))
-    gv = F.when(F.length("word").between(5, 7), F.array_union(_grams(F.col("word"), 2), _grams(F.col("word"), 1))).otherwise(gram(F.col("word")))
-    pairs = t.withColumn("gram", F.explode(gt)).join(v.withColumn("gram", F.explode(gv)), "gram").filter(length).select("term", "low", "word").distinct()
-    # letters in common bound the matching blocks from above
-    letters = lambda c: F.split(c, "")
-    common = F.aggregate(F.array_distinct(letters(F.col("low"))), F.lit(0), lambda a, x: a + F.least(T.count_of(F.col("low"), x), T.count_of(F.col("word"), x)).cast("int"))
+    if least < 0.8:
+        raise ValueError("least must be 0.8 or above")
+    t = terms.select("term", F.lower("term").alias("low")).distinct().withColumn("a", F.length("low")).filter("a > 0")
+    v = vocabulary.select("word").distinct().withColumn("b", F.length("word")).filter("b > 0")
+    alike = 2 * F.least("a", "b") > least * (F.col("a") + F.col("b"))
+    short = t.filter("a <= 9").withColumn("part", F.explode(_deletions(F.col("low")))).join(v.filter("b <= 9").withColumn("part", F.explode(_deletions(F.col("word")))), "part").filter(F.col("a") + F.col("b") <= 15)
+    # the lengths of words that a term of this length can meet
+    lengths = F.sequence(F.ceil(F.col("a") * 2 / 3).cast("int"), F.floor(F.col("a") * 3 / 2).cast("int"))
+    asked = t.filter("a >= 7").withColumn("b", F.explode(lengths)).filter("a + b >= 16").withColumn("gram", F.explode(_grams(F.col("low"), 2)))
+    long = asked.join(v.filter("b >= 7").withColumn("gram", F.explode(_grams(F.col("word"), 2))), ["b", "gram"])
+    pairs = short.filter(alike).select("term", "low", "word").unionByName(long.filter(alike).select("term", "low", "word")).distinct()
+    # letters in common bound the matching letters from above
+    letters = F.array_distinct(F.split("low", ""))
+    common = F.aggregate(letters, F.lit(0), lambda total, x: total + F.least(T.count_of(F.col("low"), x), T.count_of(F.col("word"), x)).cast("int"))
     likely = pairs.filter(2 * common > least * (F.length("low") + F.length("word")))
     return likely.select("term", "word", similarity_udf()("low", "word").alias("similarity")).filter(F.col("similarity") > least)
 

@@ -219,6 +219,21 @@ def naive_score(page, terms):
     return total / len(terms) * (1.2 if len(matched) > 1 else 1), sorted(matched)
 
 
+def test_fuzzy_words(spark):
+    """Against all pairs, over words of all lengths and few letters."""
+    rnd = random.Random(13)
+    make = lambda: "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(1, 22)))
+    def edit(w):
+        for _ in range(rnd.randint(1, 3)):
+            i = rnd.randrange(len(w) + 1)
+            w = rnd.choice([w[:i] + rnd.choice("abx") + w[i:], w[:i] + w[i + 1 :], w[:i] + "x" + w[i + 1 :]]) or "a"
+        return w
+    terms = [make() for _ in range(150)] + ["a", "ab", "abc", "Abcd"]
+    words = list({*(edit(w) for w in terms for _ in range(3)), *(make() for _ in range(150)), "a", "ab", "abcd", "acbd"})
+    got = {(r.term, r.word) for r in search.fuzzy_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(t, w) for t in terms for w in words if SequenceMatcher(None, t.lower(), w).ratio() > 0.8} and len(got) > 60
+
+
 def test_full_scores(spark):
     pages = [
         (1, "Library hours", "Opening times of the library", ["libraries", "hours"], "the library opens at eight, librarys close", (["Library"], 1)), (2, "Fees", None, None, "fee schedule and feess, scheduled scheduling", None),
