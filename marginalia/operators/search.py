@@ -75,8 +75,11 @@ def _ranked(asked: DataFrame, per_term: DataFrame, top: int | None, least: float
     scores = pairs.select("question", "page", (F.col("s") / F.col("n_terms") * F.when(F.col("n") > 1, 1.2).otherwise(1.0)).alias("score"))
     if top is not None:
         scores = cut(best_pages(scores, top, least))
-    if not listed:
-        return scores
+    return with_matched(scores, asked, per_term) if listed else scores
+
+
+def with_matched(scores: DataFrame, asked: DataFrame, per_term: DataFrame) -> DataFrame:
+    """``scores`` with the sorted terms of each pair that match."""
     matched = scores.select("question", "page").join(asked, "question").join(per_term, ["term", "page"]).groupBy("question", "page").agg(F.array_sort(F.collect_set("term")).alias("matched"))
     return scores.join(matched, ["question", "page"])
 
@@ -113,13 +116,32 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.when(n <= 2, F.array(word)).when(n <= 4, F.concat(F.array(word), one)).otherwise(F.concat(F.array(word), one, two)))
 
 
+def _rare_grams(df: DataFrame, word: str, vocabulary: DataFrame) -> DataFrame:
+    """``df`` with ``grams``, the numbered letter pairs of a word, and ``rare``, all but its two most frequent ones.
+
+    The n-th occurrence of a letter pair in a word counts as its own, so words share as many as they have in common.
+    """
+    numbered = lambda c: F.transform(_letter_pairs(c), lambda g, i: F.concat(g, F.size(F.filter(F.slice(_letter_pairs(c), 1, i), lambda x: x == g)).cast("string")))
+    often = vocabulary.select(F.explode(numbered(F.col("word"))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    rows = df.withColumn("grams", numbered(F.col(word)))
+    ranked = rows.select(word, F.explode("grams").alias("g")).join(often, "g", "left").groupBy(word).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("r"))
+    rare = ranked.select(word, F.transform(F.slice("r", F.lit(1), F.greatest(F.size("r") - 2, F.lit(1))), lambda x: x["g"]).alias("rare"))
+    return rows.join(rare, word)
+
+
+def _letter_pairs(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: F.substring(word, i, F.lit(2)))
+
+
 def fuzzy_words(vocabulary: DataFrame, terms: DataFrame, least: float = 0.8) -> DataFrame:
     """(term, word, similarity): distinct pairs more alike than ``least`` (0.8 or above).
 
     The ratio is ``2m / (a + b)`` for m matching letters of words of a and b letters, so above 0.8 fewer than a fifth of all
     letters have no match. Where a + b is at most 15 these are two at most: deleting them makes both words equal, so such
-    pairs are joined on what deletions leave. Longer pairs keep at least two matching letters in a row and are joined on
-    letter pairs together with the word's length. No pair is lost; only pairs with enough letters in common reach the UDF.
+    pairs are joined on what deletions leave. Longer pairs have at least three pairs of neighbouring letters in common (m
+    matching letters fall into at most a + b - 2m + 1 runs), so the rarest letter pairs of both words, all but two, share
+    one: they are joined on these and the word's length. No pair is lost; only pairs with enough letters in common reach
+    the UDF.
     """
     if least < 0.8:
         raise ValueError("least must be 0.8 or above")
@@ -129,9 +151,12 @@ def fuzzy_words(vocabulary: DataFrame, terms: DataFrame, least: float = 0.8) ->
     short = t.filter("a <= 9").withColumn("part", F.explode(_deletions(F.col("low")))).join(v.filter("b <= 9").withColumn("part", F.explode(_deletions(F.col("word")))), "part").filter(F.col("a") + F.col("b") <= 15)
     # the lengths of words that a term of this length can meet
     lengths = F.sequence(F.ceil(F.col("a") * 2 / 3).cast("int"), F.floor(F.col("a") * 3 / 2).cast("int"))
-    asked = t.filter("a >= 7").withColumn("b", F.explode(lengths)).filter("a + b >= 16").withColumn("gram", F.explode(_grams(F.col("low"), 2)))
-    long = asked.join(v.filter("b >= 7").withColumn("gram", F.explode(_grams(F.col("word"), 2))), ["b", "gram"])
-    pairs = short.filter(alike).select("term", "low", "word").unionByName(long.filter(alike).select("term", "low", "word")).distinct()
+    words_ = _rare_grams(v.filter("b >= 7"), "word", v.filter("b >= 7"))
+    asked = _rare_grams(t.filter("a >= 7"), "low", v.filter("b >= 7")).withColumn("b", F.explode(lengths)).filter("a + b >= 16")
+    asked = asked.select("term", "low", "a", "b", F.col("grams").alias("mine"), F.explode("rare").alias("gram"))
+    met = asked.join(words_.select("word", "b", "grams", F.explode("rare").alias("gram")), ["b", "gram"]).filter(alike)
+    long = met.filter(F.size(F.array_intersect("mine", "grams")) >= 3)
+    pairs = short.filter(alike).select("term", "low", "word").unionByName(long.select("term", "low", "word")).distinct()
     # letters in common bound the matching letters from above
     letters = F.array_distinct(F.split("low", ""))
     common = F.aggregate(letters, F.lit(0), lambda total, x: total + F.least(T.count_of(F.col("low"), x), T.count_of(F.col("word"), x)).cast("int"))
@@ -139,16 +164,20 @@ def fuzzy_words(vocabulary: DataFrame, terms: DataFrame, least: float = 0.8) ->
     return likely.select("term", "word", similarity_udf()("low", "word").alias("similarity")).filter(F.col("similarity") > least)
 
 
-def full_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_key: str, top: int | None = None, least: float = 0.1) -> DataFrame:
-    """(question, page, score, matched): exact and fuzzy parts together; an exact word hit counts in both."""
+def full_term_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_key: str) -> tuple[DataFrame, DataFrame]:
+    """((question, term, n_terms), (term, page, w)): exact and fuzzy parts together; an exact word hit counts in both."""
     index = cut(postings(page_fields(pages, page_key)))
     asked = cut(question_terms(questions, question_key))
-    vocabulary, terms = index.select("word").distinct(), asked.select("term").distinct()
+    vocabulary, terms = cut(index.select("word").distinct()), asked.select("term").distinct()
     exact = words_with_term(vocabulary, terms).select("term", "word", (F.col("hits") * F.length("term") / 10.0).alias("s"))
     fuzzy = fuzzy_words(vocabulary, terms).select("term", "word", (F.col("similarity") * F.length("term") / 15.0 * 0.5).alias("s"))
     found = cut(exact.unionByName(fuzzy).groupBy("term", "word").agg(F.sum("s").alias("s")))
-    per_term = cut(index.join(found, "word").groupBy("term", "page").agg(F.sum(F.col("weight") * F.col("s")).alias("w")))
-    return _ranked(asked, per_term, top, least)
+    return asked, cut(index.join(found, "word").groupBy("term", "page").agg(F.sum(F.col("weight") * F.col("s")).alias("w")))
+
+
+def full_scores(questions: DataFrame, pages: DataFrame, question_key: str, page_key: str, top: int | None = None, least: float = 0.1) -> DataFrame:
+    """(question, page, score, matched): scores of exact and fuzzy matching together."""
+    return _ranked(*full_term_scores(questions, pages, question_key, page_key), top, least)
 
 
 def tfidf(docs: DataFrame, key: str, text: str, stopwords: list[str] = fixed.STOPWORDS_EN, features: int = 5000, bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -252,11 +281,12 @@ def searched(questions: DataFrame, pages: DataFrame, texts: DataFrame, question_
     ``least`` on, the ``top`` best of each question, and a snippet of each. ``texts`` holds (page_key, text) for the
     vectors; pages without title and search text, and questions without terms, find nothing.
     """
-    basic = cut(full_scores(questions, pages, question_key, page_key))
+    asked, per_term = full_term_scores(questions, pages, question_key, page_key)
+    basic = _ranked(asked, per_term, None, least, listed=False)
     weights, vocabulary = tfidf(texts, page_key, "text")
-    asked = question_terms(questions, question_key).groupBy("question").agg(F.array_join(F.collect_list("term"), " ").alias("q"))
-    cos = cosine(query_vectors(asked, "question", "q", vocabulary), "question", weights, page_key).withColumnRenamed(page_key, "page")
-    both = basic.join(cos, ["question", "page"], "left").select("question", "page", "matched", combined(F.col("score"), F.col("cosine")).alias("score"))
-    best = best_pages(both, top, least)
+    joined = asked.groupBy("question").agg(F.array_join(F.collect_list("term"), " ").alias("q"))
+    cos = cosine(query_vectors(joined, "question", "q", vocabulary), "question", weights, page_key).withColumnRenamed(page_key, "page")
+    both = basic.join(cos, ["question", "page"], "left").select("question", "page", combined(F.col("score"), F.col("cosine")).alias("score"))
+    best = with_matched(cut(best_pages(both, top, least)), asked, per_term)
     contents = pages.select(F.col(page_key).alias("page"), "relevant_content")
     return best.join(contents, "page").select("question", "page", "rank", "score", "matched", snippet(F.col("relevant_content"), F.col("matched")).alias("snippet"))
