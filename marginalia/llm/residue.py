@@ -34,7 +34,9 @@ SURE = 2.0
 #: Probability from which a line is surely main text.
 SURELY = 0.95
 #: Probability above which a line that reads like a notice may be main text.
-DOUBTFUL = 0.05
+DOUBTFUL = 0.01
+#: Wording odds from which a doubtful line reads like a notice.
+LEANING = 0.5
 #: Probability from which a page of low information is a notice.
 LEAST = 0.5
 #: Share of a host's addresses at which duplication counts 1, the addresses added to each host so that a few pages prove
@@ -60,7 +62,7 @@ _SENTENCE = re.compile(r"(?<=[.!?؟…])\s+")
 MEMO = 100_000
 #: Weight from which a word (or its beginning) is telling of filler, the sum that a sentence needs, and the log odds of a
 #: line without any known word.
-TELLING, ENOUGH, NOTHING = 0.4, 1.4, -12.0
+TELLING, ENOUGH, NOTHING = 0.4, 1.0, -12.0
 # The public filler passage, words that are no words of the five languages.
 _FILLER = frozenset((
     "lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
@@ -290,7 +292,7 @@ def main_or_notice(lines: list[str], chances: np.ndarray, notices: NoticeModel)
     main, sure = [], []
     for l, c in zip(lines, chances.tolist(), strict=True):
         p = abs(c)
-        if p <= 0.5 and p > DOUBTFUL and (odds := notices.odds(l)) > 1:
+        if p <= 0.5 and p > DOUBTFUL and (odds := notices.odds(l)) > 0.5:
             p = 1 - (1 - p) / (1 + np.exp(odds))
         if p > 0.5:
             main.append(l)
