@@ -71,3 +71,9 @@ VOID_TAGS = ["meta", "link", "br", "img", "input", "hr", "source", "area", "base
 CLOSE_PARAGRAPH = ["p", "ul", "ol", "div", "table", "section", "h1", "h2", "h3", "h4", "h5", "h6"]
 CONTENT_CLASSES = ["content", "main", "article", "post-body", "entry"]
 PAGE_STOPWORDS = ["the", "and", "for", "with", "this", "that", "our", "are", "you", "your", "not", "all", "from", "more", "about", "also", "have", "was", "but", "can", "page", "site", "click", "here", "content"]
+# Answers when every model failed, by a part of the error, and the general one.
+FALLBACK_ANSWERS = {
+    "rate limit": "I'm currently experiencing high demand. Please try again in a few minutes.",
+    "timeout": "The request is taking longer than expected. Please try again with a shorter question.",
+}
+GENERAL_FALLBACK = "I apologize, but I'm currently experiencing technical difficulties. Please try again in a few moments."

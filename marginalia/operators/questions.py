@@ -54,9 +54,13 @@ def message_error(text: Column) -> Column:
 
 
 def fallback_answer(error: Column, first: str | None = None) -> Column:
-    """Answer when every model failed, by the error's wording (the answers' texts are parameters of the caller)."""
-    low = F.lower(error)
-    return F.when(low.contains("rate limit"), "busy").when(low.contains("timeout"), "slow").otherwise(F.lit(first or "down"))
+    """Answer when every model failed, by the error's wording; ``first`` replaces the general one. Null errors count as
+    of no known wording."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    known = F
+    for part, answer in fixed.FALLBACK_ANSWERS.items():
+        known = known.when(low.contains(part), F.lit(answer))
+    return known.otherwise(F.lit(first or fixed.GENERAL_FALLBACK))
 
 
 def frequent_tokens(df: DataFrame, key: str, text: str, n: int = 20, least: int = 4, stopwords: list[str] = fixed.BASIC_STOPWORDS) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import caches, running
+from ..operators.questions import fallback_answer
 from ..session import table
 
 
@@ -84,7 +86,21 @@ def retry_delays(spark, d):
     return running.request_metrics(_requests(spark, d)).filter("failures > 0").select("seq", F.least("failures", F.lit(3)).alias("attempt"), (F.least("failures", F.lit(3)) * 1.0).alias("delay"))
 
 
-QUERIES = {f.__name__: f for f in (cache_expiry, cache_statistics, ttl_hits, ttl_hit_rates, lru_hits, cache_replay, oldest_searches, request_totals, requests_by_model, requests_by_provider, errors_by_kind, request_metrics, retry_delays)}
+def fallback_answers(spark, d):
+    """The answer that each failed request gives."""
+    failed = _requests(spark, d).filter(~F.coalesce("success", F.lit(False)))
+    return failed.select("seq", fallback_answer(F.col("error")).alias("answer"))
+
+
+def log_times(spark, d):
+    """Time of each request in ISO form, and the seconds since the first."""
+    r = _requests(spark, d).filter("ts is not null")
+    first = r.agg(F.min("ts").alias("first")).first()["first"]
+    elapsed = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))
+    return r.select("seq", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.round(elapsed / 1_000_000, 3).alias("elapsed"))
+
+
+QUERIES = {f.__name__: f for f in (cache_expiry, cache_statistics, ttl_hits, ttl_hit_rates, lru_hits, cache_replay, oldest_searches, request_totals, requests_by_model, requests_by_provider, errors_by_kind, request_metrics, retry_delays, fallback_answers, log_times)}
 
 _TTL = """WITH RECURSIVE a AS (SELECT DISTINCT seq, cache_key, ts, category, CASE WHEN coalesce(ttl, 3600) <= 0 THEN 1000000000 ELSE coalesce(ttl, 3600) END AS life FROM cache_access),
   r AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY ts, seq) AS i FROM a),
@@ -93,7 +109,10 @@ _TTL = """WITH RECURSIVE a AS (SELECT DISTINCT seq, cache_key, ts, category, CAS
 _METRICS = """WITH r AS (SELECT DISTINCT * FROM request_log), s AS (SELECT seq, model, success, ts, error, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER w AS ok, sum(CASE WHEN success THEN CAST(round(coalesce(response_time, 0) * 1000000) AS BIGINT) END) OVER w AS t, max(CASE WHEN success THEN ts END) OVER w AS last_used,
   arg_max(error, seq) FILTER (NOT coalesce(success, false)) OVER w AS last_error FROM r WINDOW w AS (PARTITION BY model ORDER BY seq ROWS UNBOUNDED PRECEDING)),
   g AS (SELECT *, sum(CASE WHEN coalesce(success, false) THEN 0 ELSE 1 END) OVER (PARTITION BY model, ok ORDER BY seq ROWS UNBOUNDED PRECEDING) AS failures FROM s)"""
+_FALLBACK = " ".join("WHEN contains(lower(coalesce(error, '')), '{}') THEN '{}'".format(part, answer.replace("'", "''")) for part, answer in fixed.FALLBACK_ANSWERS.items())
 SQL = {
+    "fallback_answers": "SELECT seq, CASE " + _FALLBACK + " ELSE '" + fixed.GENERAL_FALLBACK.replace("'", "''") + "' END AS answer FROM (SELECT DISTINCT * FROM request_log) WHERE NOT coalesce(success, false)",
+    "log_times": "WITH r AS (SELECT DISTINCT * FROM request_log WHERE ts IS NOT NULL) SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, round((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM r)) / 1000000.0::DOUBLE, 3) AS elapsed FROM r",
     "cache_expiry": "WITH a AS (SELECT DISTINCT * FROM cache_access) SELECT seq, cache_key, category FROM a WHERE ttl > 0 AND (SELECT max(ts) FROM a) > ts + to_seconds(ttl)",
     "cache_statistics": "SELECT category, count(*) AS n, count(DISTINCT cache_key) AS n_keys, CAST(sum(size_bytes) AS BIGINT) AS n_bytes, round(sum(size_bytes) / 1048576.0, 2) AS megabytes, count(*) FILTER (ttl IS NULL) AS n_without_ttl FROM (SELECT DISTINCT * FROM cache_access) GROUP BY category",
     "ttl_hits": _TTL + " SELECT seq, hit FROM f",

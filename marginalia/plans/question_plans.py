@@ -32,6 +32,12 @@ def question_languages(spark, d):
     return q.select("question_id", language.alias("language"), F.round(confidence, 6).alias("confidence"))
 
 
+def token_estimates(spark, d):
+    """Words of question and cleaned question together (the estimate of tokens of a request)."""
+    q = table(spark, d, "question_analysis").select("question_id", "original_question", "cleaned_question").distinct()
+    return q.select("question_id", (Q.T.word_count(F.col("original_question")) + Q.T.word_count(F.col("cleaned_question"))).alias("tokens"))
+
+
 def frequent_tokens(spark, d):
     return Q.frequent_tokens(table(spark, d, "documents"), "doc_id", "text")
 
@@ -59,7 +65,7 @@ def language_lookup(spark, d):
     return q.join(F.broadcast(known), "code", "left").select("question_id", F.coalesce("code", F.lit("en")).alias("code"), F.coalesce("instruction", F.lit("English")).alias("instruction")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (input_validation, question_analysis, question_type_counts, question_languages, frequent_tokens, token_antijoin, recent_messages, language_lookup)}
+QUERIES = {f.__name__: f for f in (input_validation, question_analysis, question_type_counts, question_languages, token_estimates, frequent_tokens, token_antijoin, recent_messages, language_lookup)}
 
 _T = strip_sql("message")
 _MEANING = rf"""len(list_filter({words_sql(rf"regexp_replace(lower({_T}), '[^\p{{L}}\p{{N}}_\s]', '', 'g')")}, lambda w: length(w) > 2 AND w NOT IN ({_STOP}))) > 0"""
@@ -82,6 +88,7 @@ SQL = {
     "question_languages": f"""WITH q AS (SELECT DISTINCT question_id, original_question AS x FROM question_analysis), t AS (SELECT *, {tokens_sql('x')} AS ws, CAST(len({words_sql('x')}) AS BIGINT) AS n FROM q), g AS (SELECT *, {_GUESS} AS best FROM t),
       d AS (SELECT *, CASE WHEN x IS NULL THEN NULL WHEN {arabic_sql('x')} THEN 'ar' WHEN best.n > 0 THEN best.lang END AS found, least(0.9::DOUBLE, 0.5::DOUBLE + n * 0.05::DOUBLE) AS base, {_HINTS} AS hints FROM g)
       SELECT question_id, CASE WHEN n < 3 THEN 'en' ELSE coalesce(found, 'en') END AS language, round(CASE WHEN n < 3 THEN 0.7::DOUBLE WHEN found IS NULL THEN 0.6::DOUBLE WHEN found = 'en' THEN least(0.95::DOUBLE, base + hints * 0.05::DOUBLE) ELSE base END, 6) AS confidence FROM d""",
+    "token_estimates": f"SELECT question_id, CAST(coalesce(len({words_sql('original_question')}), 0) + coalesce(len({words_sql('cleaned_question')}), 0) AS BIGINT) AS tokens FROM (SELECT DISTINCT question_id, original_question, cleaned_question FROM question_analysis)",
     "input_validation": f"SELECT message_id, {_ERROR} AS input_error, CASE WHEN message IS NULL OR {_T} = '' THEN 'Message is empty' WHEN length({_T}) < 2 THEN 'Message too short' WHEN length(message) > 2000 THEN 'Message too long' END AS message_error FROM user_messages",
     "question_analysis": _ANALYSED + """SELECT message_id, c AS cleaned, CASE WHEN c IS NOT NULL THEN 'en' END AS language, CASE WHEN c IS NOT NULL THEN 0.5::DOUBLE END AS language_confidence, topics, keywords, entities, question_type, word_count, sentence_count, CASE WHEN c IS NOT NULL THEN complexity_score END AS complexity_score, CASE WHEN c IS NOT NULL THEN confidence_score END AS confidence_score,
       c IS NOT NULL AND confidence_score >= 0.6 AND len(keywords) > 0 AS is_valid, CASE WHEN e IS NOT NULL THEN e WHEN len(keywords) = 0 THEN 'No keywords found' WHEN confidence_score < 0.6 THEN 'Confidence too low' END AS error_message FROM s""",

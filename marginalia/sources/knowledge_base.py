@@ -65,6 +65,27 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
     dictionary.orderBy("category").write.mode("overwrite").parquet(path)
 
 
+def write_dictionary_yaml(dictionary: DataFrame, path: str) -> None:
+    """A dictionary (category, keywords) as YAML text, categories in order, keywords below them as they are listed.
+
+    Every string is double-quoted, so no value is read as another type; files follow each other in the order of their
+    names. A category without keywords gives an empty list.
+    """
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\\\])', r"\\$1"), F.lit('"'))
+    entries = F.transform("keywords", lambda k: F.concat(F.lit("- "), quoted(k)))
+    lines = F.concat(quoted(F.col("category")), F.when(F.size("keywords") > 0, F.concat(F.lit(":\n"), F.array_join(entries, "\n"))).otherwise(F.lit(": []")))
+    dictionary.orderBy("category").select(lines.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_cache_statistics(accesses: DataFrame, path: str) -> None:
+    """Statistics of replayed accesses (cache_key, category, size_bytes, outcome) per category, as JSON lines: hits, misses,
+    hit rate in per cent, keys and bytes; null sizes count nothing."""
+    hits = F.count_if(F.col("outcome") == "hit")
+    keys = accesses.groupBy("category", "cache_key").agg(hits.alias("hits"), F.count("*").alias("n"), F.max(F.coalesce("size_bytes", F.lit(0))).alias("size_bytes"))
+    by = keys.groupBy("category").agg(F.sum("hits").alias("hits"), (F.sum("n") - F.sum("hits")).alias("misses"), F.round(F.sum("hits") * 100.0 / F.sum("n"), 2).alias("hit_rate"), F.count("*").alias("entries"), F.sum("size_bytes").alias("size_bytes"))
+    by.write.mode("overwrite").json(path)
+
+
 def write_cache(entries: DataFrame, path: str, persistent: list[str], now: str) -> None:
     """Entries of persistent categories that have not expired, as compressed JSON lines."""
     from ..operators.caches import expired

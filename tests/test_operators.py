@@ -322,7 +322,7 @@ def test_whole_search(spark):
 
 
 def test_fallbacks(spark):
-    assert one(spark, questions.fallback_answer(F.col("x")), "Rate LIMIT hit") == "busy"
+    assert "high demand" in one(spark, questions.fallback_answer(F.col("x")), "Rate LIMIT hit") and "technical" in one(spark, questions.fallback_answer(F.col("x")), None)
     assert one(spark, questions.fallback_answer(F.col("x"), "custom"), "boom") == "custom"
     lang, conf = questions.detected_language(F.col("x"), F.lit("en"))
     assert one(spark, lang, "what is the plan") == "en" and one(spark, conf, "what is the plan") == pytest.approx(0.8)

@@ -39,6 +39,12 @@ def test_stopwords_and_cache(spark, tmp_path):
     assert [r.cache_key for r in kb.read_cache(spark, str(tmp_path / "cache"), schema, "2024-01-01 00:01:01").collect()] == ["b"]
     kb.write_dictionary(spark.createDataFrame([("b", ["x"]), ("a", ["y"])], "category string, keywords array<string>"), str(tmp_path / "dict"))
     assert spark.read.parquet(str(tmp_path / "dict")).count() == 2
+    kb.write_dictionary_yaml(spark.createDataFrame([("b", ["x\\y", 'say "no"']), ("a", ["yes", "كلمة"]), ("c", [])], "category string, keywords array<string>"), str(tmp_path / "yaml"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "yaml").glob("part-*")))
+    assert text == '"a":\n- "yes"\n- "كلمة"\n"b":\n- "x\\\\y"\n- "say \\"no\\""\n"c": []\n'
+    log = spark.createDataFrame([("k", "a", 10, "hit"), ("k", "a", 10, "absent"), ("l", "a", None, "expired"), ("m", "b", 5, "absent")], "cache_key string, category string, size_bytes int, outcome string")
+    kb.write_cache_statistics(log, str(tmp_path / "stats"))
+    assert {r.category: (r.hits, r.misses, r.hit_rate, r.entries, r.size_bytes) for r in spark.read.json(str(tmp_path / "stats")).collect()} == {"a": (1, 2, 33.33, 2, 10), "b": (0, 1, 0.0, 1, 5)}
 
 
 def test_office(spark, tmp_path):
