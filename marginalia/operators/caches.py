@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..session import cut
+from ..session import broadcast_if_small, cut
 
 #: Rows of a trace in one block, about.
 BLOCK_ROWS = 500_000
+#: Block numbers up to this many rows (16 bytes each) are broadcast.
+BROADCAST_BLOCKS = 1_000_000
 #: Later than any instant, in microseconds.
 NEVER = 1 << 62
 
@@ -124,7 +126,7 @@ def _starts(rows: DataFrame, capacity: int) -> DataFrame:
         last = df.groupBy("block", "k").agg(F.max("pos").alias("pos"))
         return last.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= capacity).drop("rn")
 
-    # dense numbers for the blocks that hold rows; a block's own keys belong to the start of the next
+    # a block's own keys belong to the start of the next
     first, last = rows.agg(F.min("block"), F.max("block")).first()
     if first is None:
         return rows.select("block", "k", "pos")
@@ -143,7 +145,9 @@ def _starts(rows: DataFrame, capacity: int) -> DataFrame:
 
 def _lru_flags(rows: DataFrame, capacity: int) -> DataFrame:
     """Rows (k, seq, pos, block) with ``kept``: whether the key is among the ``capacity`` keys used last before it."""
-    rows = cut(rows)
+    # blocks are numbered without gaps, so that empty stretches of the order cost nothing
+    dense = positions(rows.select("block").distinct(), "block").select("block", F.col("pos").alias("dense"))
+    rows = cut(rows.join(broadcast_if_small(dense, BROADCAST_BLOCKS), "block").select("k", "seq", "pos", F.col("dense").alias("block")))
     starts = _starts(rows, capacity)
 
     def replay(block, held_before):

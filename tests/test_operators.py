@@ -155,6 +155,16 @@ def test_cache_replay(spark, keys, capacity):
     assert got == naive_cache(rows, capacity)
 
 
+def test_sparse_order(spark):
+    """Order numbers far apart: only blocks that hold rows count."""
+    rnd = random.Random(21)
+    seqs = sorted(rnd.sample(range(10**15), 200))
+    keys = [rnd.choice("abcdefgh") for _ in seqs]
+    df = spark.createDataFrame(list(zip(seqs, keys, strict=True)), "seq long, cache_key string")
+    got = {r.seq: r.hit for r in caches.lru_replay(df, capacity=3, block=10).collect()}
+    assert [got[i] for i in seqs] == naive_lru(keys, 3)
+
+
 def test_hot_key_over_many_blocks(spark):
     """Regular accesses whose chain of misses depends on where it began: every block waits for the one before."""
     rows = [(i, "hot", i, 7) for i in range(300)]
