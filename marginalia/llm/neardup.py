@@ -16,6 +16,7 @@ Edge cases: null titles and texts count as empty; records with too few words tak
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -114,11 +115,11 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def _records(batch: pa.RecordBatch, models, memo: dict) -> tuple[list[int], list[str]]:
-    """(row numbers, title and main text) of the pages of a batch that take part."""
+def _records(batch: pa.RecordBatch, models, memo: dict, judge: bool = True) -> tuple[list[int], list[str]]:
+    """(row numbers, title and main text) of the pages of a batch that take part; all pages, if they are known to."""
     lines_m, (notices, fillers), score = models
     titles, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-    lines_of, chances_of = line_chances(texts, lines_m, memo, lambda seen, begins: suspicious(seen, begins, fillers))
+    lines_of, chances_of = line_chances(texts, lines_m, memo, (lambda seen, begins: suspicious(seen, begins, fillers)) if judge else None)
     keep, out = [], []
     for i, (title, lines, chances) in enumerate(zip(titles, lines_of, chances_of, strict=True)):
         main, sure = [], []
@@ -127,6 +128,10 @@ def _records(batch: pa.RecordBatch, models, memo: dict) -> tuple[list[int], list
                 main.append(l)
                 sure.append(c)
         body = "\n".join(main)
+        if not judge:
+            keep.append(i)
+            out.append((title or "") + "\n" + body)
+            continue
         if len(body) < 2 * LEAST_WORDS - 1 or body.count(" ") < 2 * LEAST_WORDS and len(_WORD.findall(body)) < LEAST_WORDS:
             continue
         reason, odds, words = verdict(title, main, sure, notices, fillers, score)
@@ -151,6 +156,7 @@ def page_signatures(pages: DataFrame) -> DataFrame:
     models = _models()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 20, 20)  # the memos hold no cycles, so looking for them often is wasted
         memo, triples = {}, Triples()
         for batch in slices(batches):
             rows, texts = _records(batch, models, memo)
@@ -200,7 +206,7 @@ def near_duplicates(pages: DataFrame, similarity: float = 0.6) -> tuple[DataFram
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, triples = {}, Triples()
         for batch in slices(batches):
-            rows, texts = _records(batch, models, memo)
+            rows, texts = _records(batch, models, memo, judge=False)
             lens, t = triples.of(texts)
             ends = np.cumsum(lens).tolist()
             chosen = batch.column(3).to_pylist()

@@ -12,6 +12,7 @@ title alone; a null address has no slug terms and counts as no mismatch; repeate
 
 from __future__ import annotations
 
+import gc
 import random
 import re
 from collections.abc import Iterator
@@ -292,7 +293,7 @@ def main_or_notice(lines: list[str], chances: np.ndarray, notices: NoticeModel)
     main, sure = [], []
     for l, c in zip(lines, chances.tolist(), strict=True):
         p = abs(c)
-        if p <= 0.5 and p > DOUBTFUL and (odds := notices.odds(l)) > 0.5:
+        if p <= 0.5 and p > DOUBTFUL and (odds := notices.odds(l)) > LEANING:
             p = 1 - (1 - p) / (1 + np.exp(odds))
         if p > 0.5:
             main.append(l)
@@ -334,6 +335,7 @@ def template_residue(pages: DataFrame) -> DataFrame:
     score = page_score()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(200_000, 20, 20)  # the memos hold no cycles, so looking for them often is wasted
         memo: dict = {}
         for batch in slices(batches):
             ids, urls, titles, texts = (c.to_pylist() for c in batch.columns)
