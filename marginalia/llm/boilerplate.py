@@ -36,9 +36,12 @@ TRAINING_PAGES = 3500
 MEMO = 200_000
 #: Longer lines are not kept, as they seldom recur.
 MEMO_LENGTH = 220
-_TOKEN = re.compile(r"\d+|[^\W\d_]+")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _BULLET = re.compile(r"\s*(?:([•*›»–-])\s|\d{1,2}\.\s)")
 ENDS = (".", "!", "?", "؟", "…", ".)", ".»", "»)", ".\"")
+#: Signs with which a bullet or a number begins, and the features of a line of so many words.
+_BULLETS = frozenset("•*›»–-0123456789٠١٢٣٤٥٦٧٨٩")
+_LENGTHS = [["n%d" % min(n, 4), "w%d" % (n >= 6), "w%d" % (2 + (n >= 10)), "w%d" % (4 + (n >= 18)), "w%d" % (6 + (n >= 30))] for n in range(31)]
 _PIECES = re.compile(r"\s+[|·/»>›]\s+|\s{2,}")
 _MARKS = ("|", "·", "/", "»", ">", ";", "#", "©", ":", "@", "(", "?", "!", "_", "{", "%", "[", "<")
 
@@ -47,9 +50,9 @@ def _shape(line: str) -> list[str]:
     """Shape features over the whole line."""
     text = line.strip()
     n = text.count(" ") + 1
-    out = ["n%d" % min(n, 4), "w%d" % (n >= 6), "w%d" % (2 + (n >= 10)), "w%d" % (4 + (n >= 18)), "w%d" % (6 + (n >= 30))]
+    out = list(_LENGTHS[min(n, 30)])
     out += ["m" + m + str(min(text.count(m), 2)) for m in _MARKS if m in text]
-    if b := _BULLET.match(line):
+    if text[0] in _BULLETS and (b := _BULLET.match(line)):
         out.append("b" + (b.group(1) or "1"))
     if text[-1] in ".?!؟":
         out.append("end" + text[-1])
@@ -245,7 +248,7 @@ class LineModel:
 
 def block_kind(line: str) -> int:
     """The shape by which neighbouring lines form a block: long, short, or the kind of bullet."""
-    if b := _BULLET.match(line):
+    if (line[0] in _BULLETS or line[0].isspace()) and (b := _BULLET.match(line)):
         return 2 + "•*›»–-".find(b.group(1) or "?")
     return int(line.count(" ") >= 11)
 
