@@ -134,7 +134,7 @@ def _records(batch: pa.RecordBatch, models, memo: dict, judge: bool = True) -> t
             continue
         if len(body) < 2 * LEAST_WORDS - 1 or body.count(" ") < 2 * LEAST_WORDS and len(_WORD.findall(body)) < LEAST_WORDS:
             continue
-        reason, odds, words = verdict(title, main, sure, notices, fillers, score)
+        reason, odds, words = verdict(title, main, sure, notices, fillers, score, alone=True)
         if reason in ("placeholder", "filler") or reason == "notice" and score.chances([odds], [words], [(False,) * 4], [0.0])[0] >= LEAST:
             continue
         keep.append(i)

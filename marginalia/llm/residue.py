@@ -13,6 +13,7 @@ title alone; a null address has no slug terms and counts as no mismatch; repeate
 from __future__ import annotations
 
 import gc
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -212,12 +213,13 @@ class PageScore:
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(len(w)), x.T @ (y - q) - 0.5 * w)
         self.weights = w
+        self.base, self.slope = float(w[0]), float(w[3])
         #: The most that slug, title and duplication can give.
         self.most = max(float(self.features(0.0, 0, m, s)[4:] @ w[4:]) for m in np.ndindex(2, 2, 2, 2) for s in (0.0, 1.0))
 
-    def hopeless(self, words: int) -> bool:
-        """Whether a body of so many words needs a notice's wording, as no other evidence can make it one."""
-        return bool(self.weights[0] + self.weights[3] * np.log2(1 + words) + self.most < 0)
+    def hopeless(self, words: int, alone: bool = False) -> bool:
+        """Whether a body of so many words needs a notice's wording, as no other evidence (or none at all) can make it one."""
+        return self.base + self.slope * math.log2(1 + words) + (0.0 if alone else self.most) < 0
 
     @staticmethod
     def features(odds: float, words: int, terms: tuple[bool, bool, bool, bool], share: float) -> np.ndarray:
@@ -301,11 +303,11 @@ def main_or_notice(lines: list[str], chances: np.ndarray, notices: NoticeModel)
     return main, sure
 
 
-def verdict(title: str | None, main: list[str], chances: list[float], notices: NoticeModel, fillers: NoticeModel, score: PageScore) -> tuple[str | None, float, int]:
+def verdict(title: str | None, main: list[str], chances: list[float], notices: NoticeModel, fillers: NoticeModel, score: PageScore, alone: bool = False) -> tuple[str | None, float, int]:
     """(reason, wording odds, words) by title and main lines: placeholder, filler, notice (open until scored) or None.
 
     Lines of negative ``chances`` are searched for filler. The wording odds are the mean over lines, each weighted by how
-    surely it is main text. A page that needs a notice's wording and has a sure main line without it is none.
+    surely it is main text. A page that needs a notice's wording and has a sure main line without it is none; with ``alone`` no evidence but wording and length will follow.
     """
     whole = "\n".join([title or "", *main])
     if has_placeholder(whole):
@@ -314,7 +316,7 @@ def verdict(title: str | None, main: list[str], chances: list[float], notices: N
     if filler([title or "", *(l for l, c in body if c < 0)], fillers):
         return "filler", 9.0, 0
     words = sum(l.count(" ") + 1 for l, _ in body)
-    hopeless = score.hopeless(words)
+    hopeless = score.hopeless(words, alone)
     total = weight = 0.0
     for l, c in ((l, abs(c)) for l, c in body):
         odds = notices.odds(l)
