@@ -343,3 +343,53 @@ def test_dictionary(spark):
     pages = spark.createDataFrame([("News", ["Apple", "pear"], "Apple day", None), ("news ", ["apple"], None, "pear"), (None, ["x1"], "t", None), ("general", ["apple"], None, None)], "category string, keywords array<string>, title string, summary string")
     got = categories.build_dictionary(pages, least=2, excluded=("general",)).collect()
     assert [(r.category, r.keywords, r.n_pages) for r in got] == [("news", ["apple", "pear"], [2, 2])]
+
+
+def test_best_by_blocks(spark, monkeypatch):
+    """Blocks of few questions and pages against all pairs, ties by page included."""
+    monkeypatch.setattr(search, "PAGE_BLOCK", 50)
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 4)
+    rnd = random.Random(5)
+    asked = {q: rnd.sample("abcdefgh", rnd.randint(1, 5)) for q in range(12)}
+    held = {p: {t: rnd.choice([0.05, 0.5, 1.0]) for t in rnd.sample("abcdefxy", rnd.randint(0, 3))} for p in range(400)}
+    own = {q: {t: rnd.choice([0.25, 0.5]) for t in rnd.sample("klmn", 2)} for q in range(10)}
+    vector = {p: {t: rnd.choice([0.125, 0.5]) for t in rnd.sample("klmno", rnd.randint(0, 3))} for p in range(100, 500)}
+    want, want_cos = {}, {}
+    for q, terms in asked.items():
+        rows, cosines = [], []
+        for p in range(500):
+            met = sorted(t for t in terms if t in held.get(p, {}))
+            cos = sum(w * vector.get(p, {}).get(t, 0) for t, w in own.get(q, {}).items())
+            basic = sum(held[p][t] for t in met) / len(terms) * (1.2 if len(met) > 1 else 1) if met else 0
+            score = basic * 0.6 + cos * 0.4 if cos > 0 else basic
+            rows += [(-round(score, 9), p, met)] * (len(met) > 0 and score >= 0.1)
+            cosines += [(-round(cos, 9), p)] * (cos > 0)
+        want |= {(q, r): (p, -s, met) for r, (s, p, met) in enumerate(sorted(rows)[:3], 1)}
+        want_cos |= {(q, r): (p, -s) for r, (s, p) in enumerate(sorted(cosines)[:3], 1)}
+    flat = lambda d, names: spark.createDataFrame([(k, t, float(w)) for k, ts in d.items() for t, w in ts.items()], names)
+    terms = spark.createDataFrame([(q, t, len(ts)) for q, ts in asked.items() for t in ts], "question long, term string, n_terms int"), flat(held, "page long, term string, w double")
+    vectors = flat(own, "question long, term string, weight double"), flat(vector, "page long, term string, weight double")
+    got = {(r.question, r.rank): (r.page, round(r.score, 9), r.matched) for r in search.best_by_blocks(500, 3, 0.1, terms, vectors, listed=True).collect()}
+    assert got == {k: (p, round(s, 9), m) for k, (p, s, m) in want.items()} and len(got) > 30
+    got = {(r.question, r.rank): (r.page, round(r.score, 9)) for r in search.best_by_blocks(500, 3, 0.0, vectors=vectors).collect()}
+    assert got == want_cos
+
+
+@pytest.mark.parametrize("name", ["tfidf_top5"])
+def test_searches_write_little(spark, data_dir, tmp_path, monkeypatch, name):
+    """Tables written on the way hold terms and words: repeating the pages leaves them as they are."""
+    from marginalia.plans import registry
+
+    pages = spark.read.parquet(f"{data_dir}/pages.parquet")
+    many = spark.range(10).withColumnRenamed("id", "copy").crossJoin(pages).withColumn("page_id", F.col("page_id") + F.col("copy") * 100_000).drop("copy")
+    many.coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet(f"{data_dir}/question_analysis.parquet").coalesce(1).write.parquet(f"{tmp_path}/question_analysis.parquet")
+    written, cut = [], search.cut
+
+    def counted(df):
+        written.append((done := cut(df)).count())
+        return done
+
+    monkeypatch.setattr(search, "cut", counted)
+    assert registry.queries()[name](spark, str(tmp_path)).count() > 0
+    assert written and max(written) < 50 * pages.count() * 10 / 3
