@@ -2,8 +2,8 @@
 
 Word features (the word itself, affixes, letter trigrams, script) with weights for five languages, "other" and "none" (names,
 filler, codes) plus learned transitions; forward-backward gives each word's marginals. A unit (a line of a page, a
-sentence of a question) gets the language with the largest mass and that mass as confidence; a unit that mixes languages
-is also cut into segments where the labelling changes.
+sentence of a question) gets the language with the largest mass and that mass as confidence. Every non-blank line or
+sentence, quotations and addresses included, is also cut into segments where the labelling changes.
 
 Edge cases: null or blank texts and texts without a letter have no units; a null, blank or unknown label names nothing;
 units of any length are labelled whole.
@@ -201,14 +201,14 @@ def paragraph_lines(text: str) -> list[str]:
     return out
 
 
-def unit_marginals(units: list[str], model: LanguageModel, memo: dict[str, int], table: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of words of each unit, marginals of all words)."""
+def unit_marginals(units: list[str], model: LanguageModel, memo: dict[str, int], table: list[np.ndarray], every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words of each unit, marginals of all words); quotations and addresses count only with ``every``."""
     ids: list[int] = []
     lens = np.zeros(len(units), np.int64)
     for i, u in enumerate(units):
-        if "«" in u:
+        if "«" in u and not every:
             u = _QUOTED.sub(" ", u)
-        if "@" in u or "[" in u:
+        if ("@" in u or "[" in u) and not every:
             u = _ADDRESS.sub(" ", u)
         words = _WORD.findall(u.lower())
         lens[i] = len(words)
@@ -230,10 +230,12 @@ def languages(df: DataFrame, key: str, text: str, kind: str, segments: bool = Fa
 
     ``kind`` is ``paragraphs`` or ``sentences``. One row per unit: (rec_id, unit_no INT from 1, lang, confidence DOUBLE,
     unit): the language of the whole unit, null where none reaches ``WHOLE`` of the word mass. With ``segments`` instead
-    one row per run of words in one language: (rec_id, unit_no, first_word INT, n_words INT, lang, confidence).
+    one row per run of words in one language: (rec_id, unit_no, first_word INT, n_words INT, lang, confidence). Units are
+    then all non-blank lines instead of paragraphs, and quotations and addresses stay in them, so every word of a record
+    is in one segment.
     """
     model = language_model()
-    cut = paragraph_lines if kind == "paragraphs" else sentences
+    cut = sentences if kind != "paragraphs" else all_lines if segments else paragraph_lines
     schema = "rec_id bigint, unit_no int, first_word int, n_words int, lang string, confidence double" if segments else "rec_id bigint, unit_no int, lang string, confidence double, unit string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +251,7 @@ def languages(df: DataFrame, key: str, text: str, kind: str, segments: bool = Fa
                 units += us
                 ids += [i] * len(us)
                 numbers += range(1, len(us) + 1)
-            lens, p = unit_marginals(units, model, memo, table)
+            lens, p = unit_marginals(units, model, memo, table, segments)
             some = np.flatnonzero(lens)
             first = np.r_[0, np.cumsum(lens[some])[:-1]] if len(some) else np.zeros(0, np.int64)
             rows = []

@@ -122,6 +122,17 @@ def test_unlabelled(spark, odd, empty):
     assert language.sentences("Hier B. Halidor. Am 9. Dezember kommt er. Gut?\nJa") == ["Hier B. Halidor.", "Am 9. Dezember kommt er.", "Gut?", "Ja"]
 
 
+def test_segments_hold_every_word(spark):
+    """Headings, list entries, quotations and addresses too."""
+    text = "Opening hours\n\n• Le menuisier va réparer les marches\nThe carpenter reads «Le menuisier va réparer les marches de bois» every evening in the garden.\nWrite to anna.holm@example.org"
+    df = pages(spark, [{"relevant_content": text}])
+    parts = sorted((r.unit_no, r.first_word, r.n_words, r.lang) for r in language.languages(df, "page_id", "relevant_content", "paragraphs", segments=True).collect())
+    lines = [l for l in text.split("\n") if l]
+    assert [sum(n for u, _, n, _ in parts if u == k) for k in range(1, 5)] == [len(language._WORD.findall(l)) for l in lines]
+    assert all(b == (0 if u != v else a + n) for (v, a, n, _), (u, b, _, _) in zip([(0, 0, 0, None), *parts], parts, strict=False))
+    assert "fr" in {l for u, _, _, l in parts if u == 2} and {"en", "fr"} <= {l for u, _, _, l in parts if u == 3}
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 REAL = "A guide tells visitors what code 404 on the meter means. Two sisters from Kormond used to sell the wooden bridge before the snow melts. My neighbour never forgot the windows of the chapel."
 
