@@ -375,7 +375,7 @@ def test_best_by_blocks(spark, monkeypatch):
     assert got == want_cos
 
 
-@pytest.mark.parametrize("name", ["tfidf_top5", "search_full", "search_combined", "search_top10", "snippets"])
+@pytest.mark.parametrize("name", ["tfidf_top5", "search_full", "search_combined", "search_top10", "snippets", "search_fuzzy"])
 def test_searches_write_little(spark, data_dir, tmp_path, monkeypatch, name):
     """Tables written on the way hold terms and words: repeating the pages leaves them as they are."""
     from marginalia.plans import registry
