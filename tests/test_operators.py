@@ -393,3 +393,24 @@ def test_searches_write_little(spark, data_dir, tmp_path, monkeypatch, name):
     monkeypatch.setattr(search, "cut", counted)
     assert registry.queries()[name](spark, str(tmp_path)).count() > 0
     assert written and max(written) < 50 * pages.count() * 10 / 3
+
+
+@pytest.mark.parametrize(("name", "most"), [("search_full", 1400)])
+def test_searches_shuffle_little(spark, data_dir, tmp_path, name, most):
+    """Pages meet the questions as lists of numbered terms, their words are not shuffled: bytes a page that all stages write for shuffles."""
+    from marginalia.plans import registry
+
+    pages, q = spark.read.parquet(f"{data_dir}/pages.parquet"), spark.read.parquet(f"{data_dir}/question_analysis.parquet")
+    many = spark.range(20).withColumnRenamed("id", "copy").crossJoin(pages).withColumn("page_id", F.col("page_id") + F.col("copy") * 100_000).drop("copy")
+    many.coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
+    q.coalesce(1).write.parquet(f"{tmp_path}/question_analysis.parquet")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    nothing = gateway.jvm.java.util.ArrayList()
+
+    def shuffled():
+        stages = store.stageList(nothing, False, False, gateway.new_array(gateway.jvm.double, 0), nothing)
+        return sum({(x := stages.apply(i)).stageId(): x.shuffleWriteBytes() for i in range(stages.size())}.values())
+
+    before = shuffled()
+    assert registry.queries()[name](spark, str(tmp_path)).count() > 0
+    assert (shuffled() - before) / (pages.count() * 20) < most
