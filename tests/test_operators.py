@@ -395,7 +395,7 @@ def test_searches_write_little(spark, data_dir, tmp_path, monkeypatch, name):
     assert written and max(written) < 50 * pages.count() * 10 / 3
 
 
-@pytest.mark.parametrize(("name", "most"), [("search_full", 1400), ("search_fuzzy", 250), ("search_combined", 1400), ("snippets", 200)])
+@pytest.mark.parametrize(("name", "most"), [("search_full", 1400), ("search_fuzzy", 250), ("search_combined", 1400), ("snippets", 200), ("search_top10", 200)])
 def test_searches_shuffle_little(spark, data_dir, tmp_path, name, most):
     """Pages meet the questions as lists of numbered terms, their words are not shuffled: bytes a page that all stages write for shuffles."""
     from marginalia.plans import registry
