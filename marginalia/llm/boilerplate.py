@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ MEMO = 200_000
 #: Longer lines are not kept, as they seldom recur.
 MEMO_LENGTH = 220
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_WORD = re.compile(r"[^\W_]+")
 _BULLET = re.compile(r"\s*(?:([•*›»–-])\s|\d{1,2}\.\s)")
 ENDS = (".", "!", "?", "؟", "…", ".)", ".»", "»)", ".\"")
 #: Signs with which a bullet or a number begins, and the features of a line of so many words.
@@ -56,7 +59,7 @@ def _shape(line: str) -> list[str]:
         out.append("b" + (b.group(1) or "1"))
     if text[-1] in ".?!؟":
         out.append("end" + text[-1])
-    parts = _PIECES.split(text) if "  " in text or any(m in text for m in "|·/»>›") else ()
+    parts = _PIECES.split(text) if "  " in text or "|" in text or "·" in text or "/" in text or "»" in text or ">" in text or "›" in text else ()
     if len(parts) > 2:
         words = text.count(" ") + 1
         out.append("pieces%d" % min(len(parts), 6))
@@ -129,6 +132,40 @@ def _disturb(page: list[tuple[str, int]], rnd: random.Random) -> list[tuple[str,
     return out
 
 
+class Watch(NamedTuple):
+    """A test of lines: the weights of their tokens and of their tokens' beginnings, each once, sum to more than ``least``."""
+
+    words: dict[str, float]
+    stems: dict[str, float]
+    least: float
+
+
+class _Codes(dict):
+    """Numbers of tokens as they come, digits alike, and a row of figures for each token and each beginning."""
+
+    def __init__(self, model: LineModel, watch: list[Watch]) -> None:
+        self.model, self.watch = model, watch
+        self.rows, self.stems, self.stem_rows, self.mixed = array("d"), {}, array("d"), []
+
+    def __missing__(self, t: str) -> int:
+        if t <= ":" and t != "0" and t.isdecimal():
+            self[t] = n = self["0"]
+            return n
+        m, stem = self.model, -1
+        if len(t) > STEM:
+            b = t[:STEM]
+            stem = self.stems.get(b)
+            if stem is None:
+                stem = self.stems[b] = len(self.stems)
+                self.stem_rows.extend((m.begun.get(b, 0.0), *(w.stems.get(b, 0.0) for w in self.watch)))
+        n = len(self.rows) // (3 + len(self.watch))
+        self[t] = n
+        self.rows.extend((m.names.get(t, 0), stem, m.said.get(t, 0.0), *(w.words.get(t, 0.0) for w in self.watch)))
+        if not t.isalpha() and not t.isdecimal() and len(_TOKEN.findall(t)) > 1:
+            self.mixed.append(n)
+        return n
+
+
 class LineModel:
     """Evidence of single lines and places, and the tree's potentials, fitted on labelled pages."""
 
@@ -153,6 +190,10 @@ class LineModel:
         self.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
         self.said = {w: self.weights["w:" + w] for w in (*self.words, "0") if "w:" + w in self.weights}
         self.begun = {t: self.weights["p:" + t] for t in self.stems if "p:" + t in self.weights}
+        #: Numbers of the words and marks that pairs are made of, the pairs by number, ascending, and their weights.
+        self.names = {t: i for i, t in enumerate(("_", "0", "^", "$", *sorted(self.words - set("_0^$"))))}
+        numbered = sorted((self.names[f.partition(" ")[0]] * len(self.names) + self.names[f.partition(" ")[2]], w) for f, w in self.weights.items() if " " in f)
+        self.pairs, self.pair_weights = np.array([p for p, _ in numbered]), np.array([w for _, w in numbered])
         self.prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         self._count_potentials(pages)
 
@@ -174,27 +215,51 @@ class LineModel:
 
     def evidence(self, line: str) -> float:
         """Log-odds that the line is main text by shape and words, without place and prior."""
-        return self.read(line)[0]
-
-    def read(self, line: str) -> tuple[float, set[str], set[str]]:
-        """(evidence, distinct words, their beginnings) of a line; sums the same weights as ``features`` names, without naming them all."""
         get = self.weights.get
-        tokens = _TOKEN.findall(line.lower())
-        seen = {t if t > ":" else "0" for t in tokens}
-        known = seen & self.said.keys()
-        total = sum(map(self.said.__getitem__, known))
-        begins = {t[:STEM] for t in seen if len(t) > STEM}
-        total += sum(map(self.begun.__getitem__, begins & self.begun.keys()))
-        if len(tokens) <= PAIRED:
-            last = "^"
-            for t in tokens:
-                t = "0" if t <= ":" else t if t in self.words else "_"
-                if t != last or t not in "_0":
-                    total += get(last + " " + t, 0.0)
-                last = t
-            total += get(last + " $", 0.0)
-        scale = 1.0 / max(1.0, len(tokens) / 8) ** 0.5
-        return get("bias", 0.0) + sum([get(f, 0.0) for f in _shape(line)]) + scale * total - self.prior, seen, begins
+        shape, words, scale = self.features(line)
+        return get("bias", 0.0) + sum([get(f, 0.0) for f in shape]) + scale * sum([get(f, 0.0) for f in words]) - self.prior
+
+    def read(self, lines: list[str], watch: list[Watch] = ()) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """(evidence, whether a watch is exceeded, words in order) of each line; sums the same weights as ``features`` names, over all lines at once."""
+        codes = _Codes(self, watch)
+        words = [_WORD.findall(l.lower()) for l in lines]
+        flat = np.array([c for ws in words for c in map(codes.__getitem__, ws)], np.int64)
+        lens = np.array([len(ws) for ws in words], np.int64)
+        if codes.mixed:
+            # words that mix letters and digits are several tokens
+            held = np.bincount(np.repeat(np.arange(len(lines)), lens)[np.isin(flat, codes.mixed)], minlength=len(lines)) > 0
+            parts = np.split(flat, np.cumsum(lens)[:-1])
+            for i in np.flatnonzero(held).tolist():
+                parts[i] = np.array([codes[t] for t in _TOKEN.findall(lines[i].lower())], np.int64)
+                lens[i] = len(parts[i])
+            flat = np.concatenate(parts)
+        names, stems, said, *watched = np.array(codes.rows).reshape(-1, 3 + len(watch)).T
+        begun, *watched_stems = np.array(codes.stem_rows).reshape(-1, 1 + len(watch)).T
+        owner = np.repeat(np.arange(len(lines)), lens)
+        # each token of a line counts once, as does each beginning
+        own, seen = np.divmod(np.unique(owner * len(said) + flat), max(1, len(said)))
+        of = stems[seen].astype(np.int64)
+        own_b, seen_b = np.divmod(np.unique((own * len(begun) + of)[of >= 0]), max(1, len(begun)))
+        n = len(lines)
+        total = np.zeros(n) + np.bincount(own, said[seen], n) + np.bincount(own_b, begun[seen_b], n)
+        exceeded = np.zeros(n, bool)
+        for w, by_token, by_stem in zip(watch, watched, watched_stems, strict=True):
+            exceeded |= np.bincount(own, by_token[seen], n) + np.bincount(own_b, by_stem[seen_b], n) > w.least
+        # pairs of neighbours, with both ends of the line
+        at = np.flatnonzero((lens <= PAIRED)[owner])
+        owner, name = owner[at], names[flat[at]].astype(np.int64)
+        inner = owner[1:] == owner[:-1]
+        short = np.flatnonzero(lens <= PAIRED)
+        bare = short[lens[short] == 0]
+        first, last = np.r_[True, ~inner][: len(at)], np.r_[~inner, True][: len(at)]
+        inner &= (name[1:] != name[:-1]) | (name[1:] > 1)
+        k = len(self.names)
+        pair = np.r_[name[:-1][inner] * k + name[1:][inner], 2 * k + name[first], name[last] * k + 3, np.full(len(bare), 2 * k + 3)]
+        where = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        total += np.bincount(np.r_[owner[1:][inner], owner[first], owner[last], bare], np.where(self.pairs[where] == pair, self.pair_weights[where], 0.0), n)
+        get = self.weights.get
+        shape = np.array([sum([get(f, 0.0) for f in _shape(l)]) for l in lines])
+        return get("bias", 0.0) + shape + total / np.maximum(1.0, lens / 8) ** 0.5 - self.prior, exceeded, words
 
     def at(self, place: tuple[str, ...]) -> float:
         """Log-odds of a place."""
@@ -285,34 +350,34 @@ def split_main(texts: list[str | None], model: LineModel, memo: dict) -> tuple[l
     return lines_of, [c > 0.5 for c in chances]
 
 
-def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool, bool]], watch=None) -> tuple[list[list[str]], list[np.ndarray]]:
+def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tuple[float, int, bool, bool]], watch: list[Watch] = (), said: dict[str, list[str]] | None = None) -> tuple[list[list[str]], list[np.ndarray]]:
     """Per text its lines and their probabilities of being main text (0 for blank lines).
 
-    With ``watch``, a test of a line's words and their beginnings, the probabilities of lines that pass it are negated.
+    With ``watch``, the probabilities of lines that exceed one of these are negated. ``said`` gets the words of lines that
+    were not in the memo.
     """
     evidence: list[float] = []
     watched: list[bool] = []
     blocks: list[int] = []
     pages: list[int] = []
     where: list[list[int]] = []
-    lines_of: list[list[str]] = []
     placed: dict[tuple[int, int], float] = {}
     block = -1
-    for text in texts:
-        lines = text.split("\n") if text else []
-        lines_of.append(lines)
+    lines_of = [text.split("\n") if text else [] for text in texts]
+    fresh_lines = [l for l in dict.fromkeys(l for lines in lines_of for l in lines) if l and not l.isspace() and l not in memo]
+    read: dict[str, tuple[float, int, bool, bool]] = {}
+    if fresh_lines:
+        odds_of, exceeded, words = model.read(fresh_lines, watch)
+        for line, odds, over in zip(fresh_lines, odds_of.tolist(), exceeded.tolist(), strict=True):
+            read[line] = (odds, block_kind(line), line.count(" ") >= ANCHOR and line.rstrip().endswith(ENDS), over)
+        if said is not None:
+            said.update(zip(fresh_lines, words, strict=True))
+    for lines in lines_of:
         kept, last, fresh, kinds, anchors = [], None, True, [], []
         for i, line in enumerate(lines):
             if not line or line.isspace():
                 continue
-            known = memo.get(line)
-            if known is None:
-                odds, seen, begins = model.read(line)
-                known = (odds, block_kind(line), line.count(" ") >= ANCHOR and line.rstrip().endswith(ENDS), watch is not None and watch(seen, begins))
-                if len(line) <= MEMO_LENGTH:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[line] = known
+            known = read.get(line) or memo[line]
             if fresh or known[1] != last:
                 block += 1
                 pages.append(len(where))
@@ -335,8 +400,11 @@ def line_chances(texts: list[str | None], model: LineModel, memo: dict[str, tupl
             evidence[at + i] += odds
         where.append(kept)
     p = model.marginals(np.array(evidence), np.array(blocks, np.int64), np.array(pages, np.int64))
-    if watch is not None and watched:
+    if watch and watched:
         p = np.where(watched, -p, p)
+    if len(memo) + len(read) > MEMO:
+        memo.clear()
+    memo.update((line, known) for line, known in read.items() if len(line) <= MEMO_LENGTH)
     out, at = [], 0
     for lines, kept in zip(lines_of, where, strict=True):
         chance = np.zeros(len(lines))

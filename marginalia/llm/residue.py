@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import phrases
-from .boilerplate import STEM, _TOKEN, _shape, _tokens, line_chances, line_model, slices
+from .boilerplate import STEM, _TOKEN, Watch, _shape, _tokens, line_chances, line_model, slices
 from .learn import fit_logistic
 from .spam import FUNCTION
 
@@ -110,9 +110,9 @@ class NoticeModel:
         begins = {w[:STEM] for w in words if len(w) > STEM} & self.telling_stems.keys()
         return [(w, self.telling_words[w]) for w in words & self.telling_words.keys()] + [(b, self.telling_stems[b]) for b in begins]
 
-    def telling(self, words: set[str], begins: set[str] | None = None) -> bool:
+    def telling(self, words: set[str]) -> bool:
         """Whether the telling words among these, and their beginnings, weigh ``ENOUGH``; other sentences never count."""
-        begins = {w[:STEM] for w in words if len(w) > STEM} if begins is None else begins
+        begins = {w[:STEM] for w in words if len(w) > STEM}
         total = sum(map(self.telling_words.__getitem__, words & self.telling_words.keys()))
         return total + sum(map(self.telling_stems.__getitem__, begins & self.telling_stems.keys())) > ENOUGH
 
@@ -132,10 +132,10 @@ class NoticeModel:
         said.update(f"{a} {b}" for a, b in zip(known, known[1:], strict=False) if "_" not in (a, b))
         return shape, list(said), 1.0 / max(1.0, len(tokens) / 8) ** 0.5
 
-    def _sum(self, line: str) -> float:
+    def _sum(self, line: str, tokens: list[str] | None = None) -> float:
         """The sum of the weights that ``_features`` names, without naming them all."""
         get = self.weights.get
-        tokens = _tokens(line)
+        tokens = _tokens(line) if tokens is None else tokens
         if not tokens:
             return get("bias", 0.0) + get("u0", 0.0) + get("again0", 0.0)
         words, last, pairs, missing = self.words, "_", set(), 0
@@ -155,17 +155,17 @@ class NoticeModel:
         shape += get("u%d" % min(4, int(5 * missing / len(tokens))), 0.0) + get("again%d" % min(3, again * 4 // max(1, plain)), 0.0)
         return shape + total / max(1.0, len(tokens) / 8) ** 0.5
 
-    def odds(self, line: str) -> float:
-        """Log odds; a line without any known word or beginning is none, whatever its shape."""
+    def odds(self, line: str, tokens: list[str] | None = None) -> float:
+        """Log odds; a line without any known word or beginning is none, whatever its shape. ``tokens``: the line's, if at hand."""
         known = self.said.get(line)
         if known is None:
             if len(self.said) >= MEMO:
                 self.said.clear()
-            tokens = set(_tokens(line))
-            if tokens.isdisjoint(self.words) and self.stems.isdisjoint([t[:STEM] for t in tokens]):
+            tokens = _tokens(line) if tokens is None else tokens
+            if self.words.isdisjoint(tokens) and self.stems.isdisjoint([t[:STEM] for t in tokens]):
                 known = NOTHING
             else:
-                known = self._sum(line)
+                known = self._sum(line, tokens)
             self.said[line] = known
         return known
 
@@ -245,15 +245,16 @@ def page_score() -> PageScore:
     return PageScore()
 
 
-def suspicious(words: set[str], begins: set[str], model: NoticeModel) -> bool:
-    """Whether a line of these words can hold filler: some of the filler's vocabulary, or telling words."""
-    return len(words & _FILLER) >= 3 or model.telling(words, begins)
+def suspicious(model: NoticeModel) -> list[Watch]:
+    """What lines exceed that can hold filler: three words of the filler's vocabulary, or telling words."""
+    return [Watch(dict.fromkeys(_FILLER, 1.0), {}, 2.5), Watch(model.telling_words, model.telling_stems, ENOUGH)]
 
 
-def filler(lines: list[str], model: NoticeModel) -> bool:
-    """Whether the lines hold a passage of scrambled Latin or of layout filler."""
+def filler(lines: list[str], model: NoticeModel, said: dict[str, list[str]] | None = None) -> bool:
+    """Whether the lines hold a passage of scrambled Latin or of layout filler. ``said``: the words of some lines."""
     for line in lines:
-        words = _WORD.findall(line.lower())
+        words = said.get(line) if said and "_" not in line else None
+        words = _WORD.findall(line.lower()) if words is None else words
         seen = set(words)
         if len(seen & _FILLER) >= 3:
             run = 0
@@ -268,10 +269,10 @@ def filler(lines: list[str], model: NoticeModel) -> bool:
         for p in _SENTENCE.split(line):
             low = p.lower()
             # telling words that stand in the sentence as letters bound those that stand in it as words
-            may = sum(w for t, w in present if t in low) > ENOUGH
+            may = sum([w for t, w in present if t in low]) > ENOUGH
             if may or _TOKEN.search(low):
                 parts.append(p)
-                odds.append(model.odds(p) if may and model.telling(set(_tokens(p))) else NOTHING)
+                odds.append(model.odds(p, tokens) if may and model.telling(set(tokens := _tokens(p))) else NOTHING)
         if any(o > SURE and len(p) > 8 for p, o in zip(parts, odds, strict=True)):
             return True
         # neighbours are scored together where one of them leans towards filler
@@ -303,17 +304,18 @@ def main_or_notice(lines: list[str], chances: np.ndarray, notices: NoticeModel)
     return main, sure
 
 
-def verdict(title: str | None, main: list[str], chances: list[float], notices: NoticeModel, fillers: NoticeModel, score: PageScore, alone: bool = False) -> tuple[str | None, float, int]:
+def verdict(title: str | None, main: list[str], chances: list[float], notices: NoticeModel, fillers: NoticeModel, score: PageScore, alone: bool = False, said: dict[str, list[str]] | None = None) -> tuple[str | None, float, int]:
     """(reason, wording odds, words) by title and main lines: placeholder, filler, notice (open until scored) or None.
 
     Lines of negative ``chances`` are searched for filler. The wording odds are the mean over lines, each weighted by how
     surely it is main text. A page that needs a notice's wording and has a sure main line without it is none; with ``alone`` no evidence but wording and length will follow.
+    ``said``: the words of some lines.
     """
     whole = "\n".join([title or "", *main])
     if has_placeholder(whole):
         return "placeholder", 9.0, 0
     body = [(l, c) for l, c in zip(main, chances, strict=True) if not _TECHNICAL.match(l)]
-    if filler([title or "", *(l for l, c in body if c < 0)], fillers):
+    if filler([title or "", *(l for l, c in body if c < 0)], fillers, said):
         return "filler", 9.0, 0
     words = sum(l.count(" ") + 1 for l, _ in body)
     hopeless = score.hopeless(words, alone)
@@ -341,7 +343,7 @@ def template_residue(pages: DataFrame) -> DataFrame:
         memo: dict = {}
         for batch in slices(batches):
             ids, urls, titles, texts = (c.to_pylist() for c in batch.columns)
-            lines_of, chances_of = line_chances(texts, lines_m, memo, lambda seen, begins: suspicious(seen, begins, fillers))
+            lines_of, chances_of = line_chances(texts, lines_m, memo, suspicious(fillers))
             rows = []
             for i, url, title, lines, chances in zip(ids, urls, titles, lines_of, chances_of, strict=True):
                 main, sure = main_or_notice(lines, chances, notices)

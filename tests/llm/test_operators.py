@@ -275,6 +275,29 @@ def test_repeated_lines(spark, empty):
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
+def test_near_duplicates_read_lines_together():
+    rnd = random.Random(8)
+    model, fillers = boilerplate.line_model(), residue.notice_models()[1]
+    lines = [t for page in [boilerplate._training_page(lang, rnd) for lang in phrases.MENU for _ in range(20)] for t, _ in page if t.strip()]
+    lines += ["7", "...", "Room b12a, 3x4, 10 10 ٣٤ a_b", "x² ½", "ΟΔΟΣ Σ", "lorem ipsum dolor", "lorem ipsum lorem ipsum", "word " * 500, *(phrases.fill(t, lang, rnd) for lang in phrases.FILLERS for t in phrases.FILLERS[lang])]
+    odds, exceeded, words = model.read(lines, residue.suspicious(fillers))
+    for line, got, over, said in zip(lines, odds, exceeded, words, strict=True):
+        tokens = set(boilerplate._tokens(line))
+        assert got == pytest.approx(model.evidence(line)), line
+        assert over == (len(tokens & residue._FILLER) >= 3 or fillers.telling(tokens)), line
+        assert said == neardup._WORD.findall(line.lower())
+    assert 0 < exceeded.sum() < len(lines)
+    alone, none, _ = model.read(["...", "—"], residue.suspicious(fillers))
+    assert alone == pytest.approx([model.evidence("..."), model.evidence("—")]) and not none.any()
+    assert [list(map(float, model.read([l])[0])) for l in lines[:50]] == [[pytest.approx(o)] for o in odds[:50]]
+    # lines in the memo are read again for their words
+    texts = ["\n".join(lines[i : i + 30]) for i in range(0, 300, 30)]
+    models, memo = (model, residue.notice_models(), residue.page_score()), {}
+    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array(range(10)), neardup.pa.array(["A_b Title"] * 10), neardup.pa.array(texts)], names=["page_id", "title", "text"])
+    first, again = (neardup._records(batch, models, memo) for _ in range(2))
+    assert first == again and len(first[0]) > 5 and all(w[:3] == ["a", "b", "title"] and len(w) >= neardup.LEAST_WORDS for w in first[1])
+
+
 def test_near_duplicates(spark, empty, odd):
     rnd = random.Random(8)
     base = [" ".join(phrases.sentence("en", rnd) for _ in range(10)) for _ in range(12)]
