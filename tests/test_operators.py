@@ -414,3 +414,17 @@ def test_searches_shuffle_little(spark, data_dir, tmp_path, name, most):
     before = shuffled()
     assert registry.queries()[name](spark, str(tmp_path)).count() > 0
     assert (shuffled() - before) / (pages.count() * 20) < most
+
+
+@pytest.mark.parametrize("name", ["search_full"])
+def test_searches_take_every_question(spark, data_dir, tmp_path, name):
+    """The ids of the questions do not matter: twenty times each id gives the same rows."""
+    from marginalia.plans import registry
+
+    q = spark.read.parquet(f"{data_dir}/question_analysis.parquet").filter("question_id % 20 <= 2")
+    found = []
+    for k in (1, 20):
+        spark.read.parquet(f"{data_dir}/pages.parquet").coalesce(2).write.parquet(f"{tmp_path}/{k}/pages.parquet")
+        q.withColumn("question_id", F.col("question_id") * k).coalesce(1).write.parquet(f"{tmp_path}/{k}/question_analysis.parquet")
+        found.append(sorted(((r.question_id // k, *r[1:]) for r in registry.queries()[name](spark, f"{tmp_path}/{k}").collect()), key=str))
+    assert found[0] == found[1] and any(r[0] % 20 for r in found[0])
